@@ -42,8 +42,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     labels = maps[-1].select(F.col("u").alias("id"), F.col("to").alias("root"))
     for step in reversed(maps[:-1]):
         later = labels.select(F.col("id").alias("to"), "root")
-        labels = step.join(later, "to", "left").select(F.col("u").alias("id"), F.coalesce("root", "to").alias("root"))
-    labels = cut(labels)
+        # cut at once: the optimizer's work on constraints doubles with each coalesce above another
+        labels = cut(step.join(later, "to", "left").select(F.col("u").alias("id"), F.coalesce("root", "to").alias("root")))
     least = labels.groupBy("root").agg(F.min("id").alias("least"))
     least = least.select("root", F.least("least", "root").alias("component"))
     return labels.join(least, "root").select("id", "component")

@@ -4,7 +4,7 @@ Each round maps every vertex to the neighbour (or itself) of least random priori
 the edges to the images. A constant share of the vertices goes in each round whatever the shape of
 the graph, so long chains need a logarithmic number of rounds too. Vertices of very high degree
 are met by partial aggregation (the minimum) and by joins that adaptive execution can split.
-Nothing is collected; each round is cut off with a reliable checkpoint.
+Nothing is collected; each round is cut off by a written table in the shared folder.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodemark.session import cut
+from lodemark.session import cut, discard
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
@@ -36,14 +36,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         maps.append(step)
         left, right = step.select("u", F.col("to").alias("ua")), step.select(F.col("u").alias("v"), F.col("to").alias("va"))
         moved = e.join(left, "u").join(right, "v").where("ua <> va")
-        e = cut(moved.select(F.least("ua", "va").alias("u"), F.greatest("ua", "va").alias("v")).distinct())
+        e, old = cut(moved.select(F.least("ua", "va").alias("u"), F.greatest("ua", "va").alias("v")).distinct()), e
+        discard(old)
     if not maps:
         return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     labels = maps[-1].select(F.col("u").alias("id"), F.col("to").alias("root"))
     for step in reversed(maps[:-1]):
         later = labels.select(F.col("id").alias("to"), "root")
-        # cut at once: the optimizer's work on constraints doubles with each coalesce above another
-        labels = cut(step.join(later, "to", "left").select(F.col("u").alias("id"), F.coalesce("root", "to").alias("root")))
+        labels, old = cut(step.join(later, "to", "left").select(F.col("u").alias("id"), F.coalesce("root", "to").alias("root"))), labels
+        discard(old)
+        discard(step)
     least = labels.groupBy("root").agg(F.min("id").alias("least"))
     least = least.select("root", F.least("least", "root").alias("component"))
     return labels.join(least, "root").select("id", "component")

@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,21 +111,29 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -
 
 
 def _cross(match: int):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        other = pdf[pdf["is_other"]]
-        side = pdf[~pdf["is_other"]]
-        if not len(other) or not len(side):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        so, sa = np.stack(other["sig"].to_numpy()), np.stack(side["sig"].to_numpy())
-        co, ca = other["comp"].to_numpy(), side["comp"].to_numpy()
-        io, ia = other["id"].to_numpy(), side["id"].to_numpy()
-        a, b = [], []
-        for p in range(len(io)):
-            rows = np.flatnonzero(ca != co[p])
-            hit = rows[(sa[rows] == so[p]).sum(axis=1) >= match]
-            a.append(np.minimum(ia[hit], io[p]))
-            b.append(np.maximum(ia[hit], io[p]))
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+    """Pairs of different components in each block (token, bo, ba) of a bucket of blocks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        token, bo, ba, ids, comp, other = (table.column(c).to_numpy() for c in ("token", "bo", "ba", "id", "comp", "is_other"))
+        sig = np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy() for c in table.column("sig").chunks)]).reshape(len(ids), -1)
+        order = np.lexsort((other, ba, bo, token))
+        token, bo, ba = token[order], bo[order], ba[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (token[1:] != token[:-1]) | (bo[1:] != bo[:-1]) | (ba[1:] != ba[:-1])
+        heads = np.flatnonzero(new)
+        out = []
+        for lo, hi in zip(heads, np.append(heads[1:], len(order)), strict=True):
+            part = order[lo:hi]
+            mine, side = part[other[part]], part[~other[part]]
+            if len(mine) and len(side):
+                s_side, c_side, i_side = sig[side], comp[side], ids[side]
+                for p in mine:
+                    hit = i_side[((s_side == sig[p]).sum(axis=1) >= match) & (c_side != comp[p])]
+                    if len(hit):
+                        out.append(np.stack([np.minimum(hit, ids[p]), np.maximum(hit, ids[p])], axis=1))
+        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
 
@@ -158,7 +165,7 @@ def near_duplicates(docs: DataFrame, coords: int = COORDS, match: int = MATCH, s
     star = cut(star.join(sig_h, "h").join(sig_i, "id").where(agree).select(F.col("h").alias("a"), F.col("id").alias("b")))
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
     first = _confirmed(star, texts, shingle, percent)
-    comp1 = connected_components(first, "a", "b")
+    comp1 = cut(connected_components(first, "a", "b"))
     # 2: within each list, members outside its largest component against all others of the list
     member = posted.select("id", "token").join(comp1, "id", "left").select("token", "id", F.coalesce("component", "id").alias("comp"))
     member = cut(member)
@@ -166,14 +173,20 @@ def near_duplicates(docs: DataFrame, coords: int = COORDS, match: int = MATCH, s
     top = per.groupBy("token").agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("m")).where("n > m.c")
     top = top.select("token", F.col("m.comp").alias("main"), F.ceil(F.col("n") / BLOCK_ALL).cast("int").alias("na"), F.ceil((F.col("n") - F.col("m.c")) / BLOCK_OTHERS).cast("int").alias("no"))
     rows = member.join(top, "token").join(reps, "id")
+    buckets = max(64, base.count() // 1000)
     h = F.abs(F.xxhash64("id"))
     others = rows.where("comp <> main").select("token", "id", "comp", "sig", F.lit(True).alias("is_other"), F.pmod(h, "no").cast("int").alias("bo"), F.explode(F.expr("sequence(0, na - 1)")).alias("ba"))
     every = rows.select("token", "id", "comp", "sig", F.lit(False).alias("is_other"), F.explode(F.expr("sequence(0, no - 1)")).alias("bo"), F.pmod(h, "na").cast("int").alias("ba"))
-    cross = others.unionByName(every).groupBy("token", "bo", "ba").applyInPandas(_cross(match), "a long, b long").distinct()
+    blocks = others.unionByName(every).withColumn("bucket", F.pmod(F.xxhash64("token", "bo", "ba"), F.lit(buckets)))
+    cross = blocks.groupBy("bucket").applyInArrow(_cross(match), "a long, b long").distinct()
     second = _confirmed(cut(cross), texts, shingle, percent)
     same = full.join(sets.select("h1", "h2", "n_shingles", "id"), ["h1", "h2", "n_shingles"]).groupBy("doc_id").agg(F.min("id").alias("a"), F.collect_set("id").alias("ids"))
     same = same.where("size(ids) > 1").select("a", F.explode("ids").alias("b"))
-    comp = connected_components(first.union(second).union(same), "a", "b")
+    la, lb = comp1.select(F.col("id").alias("a"), F.col("component").alias("ca")), comp1.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+    more = second.union(same).join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    comp2 = connected_components(more, "a", "b")
+    comp = sets.select("id").distinct().join(comp1, "id", "left").select("id", F.coalesce("component", "id").alias("one"))
+    comp = comp.join(comp2.select(F.col("id").alias("one"), F.col("component").alias("two")), "one", "left").select("id", F.coalesce("two", "one").alias("component"))
     of_set = sets.join(comp, "id", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "id").alias("set_component"))
     out = base.select("doc_id", "n_shingles", "h1", "h2").join(of_set, ["h1", "h2", "n_shingles"], "left")
     label = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("set_component"))

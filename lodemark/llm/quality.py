@@ -110,7 +110,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 ORACLE_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS tx FROM documents),
 w AS (SELECT doc_id, tx, regexp_extract_all(tx, '[^\x20\x09-\x0D]+') AS ws,
-      list_filter(string_split(tx, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
+      list_filter(string_split(tx, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
 win AS (SELECT doc_id, p, ws[p] || ' ' || ws[p + 1] || ' ' || ws[p + 2] AS g
         FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS p FROM w)),
 rep AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
@@ -126,8 +126,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR 10 * n_dup_lines > 3 * len(ls)
     OR 5 * (length(tx) - length(replace(tx, '!', ''))) > n_words
     OR 2 * (length(tx) - length(regexp_replace(tx, '\p{Lu}', '', 'g'))) > length(tx) - length(regexp_replace(tx, '\p{L}', '', 'g'))
-    OR 2 * len(list_filter(ws, x -> regexp_matches(x, '\p{L}'))) < n_words
-    OR 10 * len(list_filter(ls, x -> regexp_matches(x, '^[ \t]*[-*•]'))) > 9 * len(ls)
-    OR 10 * len(list_filter(ls, x -> regexp_matches(x, '(\.\.\.|…)[ \t\r]*$'))) > 3 * len(ls)) AS kept
+    OR 2 * len(list_filter(ws, lambda x: regexp_matches(x, '\p{L}'))) < n_words
+    OR 10 * len(list_filter(ls, lambda x: regexp_matches(x, '^[ \t]*[-*•]'))) > 9 * len(ls)
+    OR 10 * len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[ \t\r]*$'))) > 3 * len(ls)) AS kept
 FROM b
 """

@@ -5,21 +5,73 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from lodemark.llm import embed, quality
+from lodemark.session import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodemark.llm.quality import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodemark.llm.embed import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodemark.llm.mixing import mix_positions
+
+    return mix_positions(table(spark, sf_dir, "documents"))
+
+
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodemark.llm.pii import surrogates
+
+    return surrogates(table(spark, sf_dir, "documents"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodemark.llm.substring import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodemark.llm.minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    run.__name__ = query.__name__
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    f.__name__: _shipped(f)
+    for f in (
+        op1_quality_rules,
+        op2_embedding_near_dedup,
+        op3_mix_sources,
+        op4_pii_surrogates,
+        op5_substring_dedup,
+        op10_minhash_near_dedup,
+    )
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_quality_rules": quality.ORACLE_SQL,
+    "op2_embedding_near_dedup": embed.ORACLE_SQL,
+}

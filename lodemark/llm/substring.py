@@ -58,14 +58,15 @@ def _starts(first: np.ndarray, width: int, m: int) -> tuple[np.ndarray, np.ndarr
 
 def _deal(kind: int, bucket: np.ndarray, *cols: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One row for each bucket that occurs, with its part of each column as bytes."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     cut = np.flatnonzero(np.diff(bucket, prepend=-1))
     ends = np.append(cut[1:], len(bucket))
     packed = [c[order] for c in cols]
     rows = [[c[p:q].tobytes() for p, q in zip(cut, ends, strict=True)] for c in packed] + [[b""] * len(cut)] * (3 - len(cols))
-    if len(cut):
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), kind, np.int32)), pa.array(bucket[cut].astype(np.int32)), *(pa.array(r, pa.binary()) for r in rows)], schema=_SCHEMA)
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), kind, np.int32)), pa.array(bucket[cut].astype(np.int32)), *(pa.array(r, pa.binary()) for r in rows)], schema=_SCHEMA)
 
 
 def _merged(table: pa.Table, name: str, dtype) -> np.ndarray:

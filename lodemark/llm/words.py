@@ -108,7 +108,7 @@ def grams(w: np.ndarray, n: int) -> np.ndarray:
     m = len(w) - n + 1
     if m <= 0:
         return np.zeros(0, U)
-    g = np.full(m, U(n) * U(0x2545F4914F6CDD1D), U)
+    g = np.full(m, (n * 0x2545F4914F6CDD1D) % (1 << 64), U)
     for j in range(n):
         g += w[j : j + m] * _COEF[j]
     return mix(g)

@@ -44,6 +44,30 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodemark.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodemark.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodemark.llm.tokens import counts_with_edits
+
+    return counts_with_edits(table(spark, sf_dir, "documents"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodemark.llm.spm import sample_encodings
+
+    return sample_encodings(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodemark.llm.minhash import near_duplicates
 
@@ -67,6 +91,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_mix_sources,
         op4_pii_surrogates,
         op5_substring_dedup,
+        op6_html_extraction,
+        op7_warc,
+        op8_token_counts,
+        op9_sentencepiece,
         op10_minhash_near_dedup,
     )
 }

@@ -8,8 +8,8 @@ count reaches ``match`` are confirmed on the full shingle sets.
 
 Large groups: equal sets are one vertex from the start. Each posting list first links its members
 to the member whose coordinates are the most common ones (the centre of a group of copies), then
-only members of different components of a list are compared, in blocks. No list is expanded into
-all its pairs when it is one component, and none is cut.
+only members of different components are compared, in blocks: signatures first, full sets next, and
+what comes out is one link for each component met. No list is expanded into pairs, and none is cut.
 """
 
 from __future__ import annotations
@@ -110,28 +110,43 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -
     return cut(rows.mapInArrow(_confirm(percent, 100), "a long, b long"))
 
 
-def _cross(match: int):
-    """Pairs of different components in each block (token, bo, ba) of a bucket of blocks."""
+def _cross(match: int, num: int, den: int):
+    """Confirmed links between different components in each block (main, bo, ba) of a bucket of blocks.
+
+    Signatures that agree on ``match`` coordinates come first, then the full sets are compared. A
+    member gives one link for each component that it meets, so the answer is not quadratic.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        token, bo, ba, ids, comp, other = (table.column(c).to_numpy() for c in ("token", "bo", "ba", "id", "comp", "is_other"))
+        main, bo, ba, ids, comp, other = (table.column(c).to_numpy() for c in ("main", "bo", "ba", "id", "comp", "is_other"))
         sig = np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy() for c in table.column("sig").chunks)]).reshape(len(ids), -1)
-        order = np.lexsort((other, ba, bo, token))
-        token, bo, ba = token[order], bo[order], ba[order]
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        order = np.lexsort((other, ba, bo, main))
+        main, bo, ba = main[order], bo[order], ba[order]
         new = np.ones(len(order), bool)
-        new[1:] = (token[1:] != token[:-1]) | (bo[1:] != bo[:-1]) | (ba[1:] != ba[:-1])
+        new[1:] = (main[1:] != main[:-1]) | (bo[1:] != bo[:-1]) | (ba[1:] != ba[:-1])
         heads = np.flatnonzero(new)
         out = []
         for lo, hi in zip(heads, np.append(heads[1:], len(order)), strict=True):
             part = order[lo:hi]
             mine, side = part[other[part]], part[~other[part]]
-            if len(mine) and len(side):
-                s_side, c_side, i_side = sig[side], comp[side], ids[side]
-                for p in mine:
-                    hit = i_side[((s_side == sig[p]).sum(axis=1) >= match) & (c_side != comp[p])]
+            if not len(mine) or not len(side):
+                continue
+            s_side, c_side = sig[side], comp[side]
+            for p in mine:
+                near = side[((s_side == sig[p]).sum(axis=1) >= match) & (c_side != comp[p])]
+                own = sets[p]
+                for at in range(0, len(near), 256):
+                    some = near[at : at + 256]
+                    flat = np.concatenate([sets[q] for q in some])
+                    size = np.array([len(sets[q]) for q in some])
+                    place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                    both = np.add.reduceat(own[place] == flat, np.cumsum(size) - size)
+                    hit = some[den * both >= num * (size + len(own) - both)]
                     if len(hit):
-                        out.append(np.stack([np.minimum(hit, ids[p]), np.maximum(hit, ids[p])], axis=1))
+                        _, one = np.unique(comp[hit], return_index=True)
+                        out.append(np.stack([np.full(len(one), ids[p]), ids[hit[one]]], axis=1))
         pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -166,20 +181,21 @@ def near_duplicates(docs: DataFrame, coords: int = COORDS, match: int = MATCH, s
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
     first = _confirmed(star, texts, shingle, percent)
     comp1 = cut(connected_components(first, "a", "b"))
-    # 2: within each list, members outside its largest component against all others of the list
+    # 2: lists with more than one component: members outside the largest one against all others. Lists
+    # with the same largest component are taken together, so a set travels once for all of them.
     member = posted.select("id", "token").join(comp1, "id", "left").select("token", "id", F.coalesce("component", "id").alias("comp"))
     member = cut(member)
     per = member.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-    top = per.groupBy("token").agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("m")).where("n > m.c")
-    top = top.select("token", F.col("m.comp").alias("main"), F.ceil(F.col("n") / BLOCK_ALL).cast("int").alias("na"), F.ceil((F.col("n") - F.col("m.c")) / BLOCK_OTHERS).cast("int").alias("no"))
-    rows = member.join(top, "token").join(reps, "id")
-    buckets = max(64, base.count() // 1000)
+    top = per.groupBy("token").agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("m")).where("n > m.c").select("token", F.col("m.comp").alias("main"))
+    family = cut(member.join(top, "token").select("main", "id", "comp").distinct())
+    blobs = cut(texts.join(family.select("id").distinct(), "id").select("id", "text").mapInArrow(_blobs(shingle), "id long, shingles binary"))
+    size = family.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ALL).cast("int").alias("na"), F.ceil(F.count_if(F.col("comp") != F.col("main")) / BLOCK_OTHERS).cast("int").alias("no"))
+    rows = family.join(size, "main")
     h = F.abs(F.xxhash64("id"))
-    others = rows.where("comp <> main").select("token", "id", "comp", "sig", F.lit(True).alias("is_other"), F.pmod(h, "no").cast("int").alias("bo"), F.explode(F.expr("sequence(0, na - 1)")).alias("ba"))
-    every = rows.select("token", "id", "comp", "sig", F.lit(False).alias("is_other"), F.explode(F.expr("sequence(0, no - 1)")).alias("bo"), F.pmod(h, "na").cast("int").alias("ba"))
-    blocks = others.unionByName(every).withColumn("bucket", F.pmod(F.xxhash64("token", "bo", "ba"), F.lit(buckets)))
-    cross = blocks.groupBy("bucket").applyInArrow(_cross(match), "a long, b long").distinct()
-    second = _confirmed(cut(cross), texts, shingle, percent)
+    others = rows.where("comp <> main").select("main", "id", "comp", F.lit(True).alias("is_other"), F.pmod(h, "no").cast("int").alias("bo"), F.explode(F.expr("sequence(0, na - 1)")).alias("ba"))
+    every = rows.select("main", "id", "comp", F.lit(False).alias("is_other"), F.explode(F.expr("sequence(0, no - 1)")).alias("bo"), F.pmod(h, "na").cast("int").alias("ba"))
+    blocks = others.unionByName(every).join(reps, "id").join(blobs, "id").withColumn("bucket", F.pmod(F.xxhash64("main", "bo", "ba"), F.lit(max(64, base.count() // 1000))))
+    second = cut(blocks.groupBy("bucket").applyInArrow(_cross(match, percent, 100), "a long, b long"))
     same = full.join(sets.select("h1", "h2", "n_shingles", "id"), ["h1", "h2", "n_shingles"]).groupBy("doc_id").agg(F.min("id").alias("a"), F.collect_set("id").alias("ids"))
     same = same.where("size(ids) > 1").select("a", F.explode("ids").alias("b"))
     la, lb = comp1.select(F.col("id").alias("a"), F.col("component").alias("ca")), comp1.select(F.col("id").alias("b"), F.col("component").alias("cb"))

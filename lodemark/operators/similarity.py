@@ -34,50 +34,57 @@ def with_similarity(pairs: DataFrame, df: DataFrame, order: str, tokens: str, ex
     return pairs.join(left, "a").join(right, "b").withColumn("similarity", jaccard(F.col("_x"), F.col("_y"))).drop("_x", "_y")
 
 
-def set_join(df: DataFrame, order: str, tokens: str, group: str, threshold: float) -> DataFrame:
-    """(a, b, similarity) of all pairs a < b within a group whose token sets have at least that similarity.
+def set_join(df: DataFrame, order: str, tokens: str, group: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, similarity), a < b, of different token sets of a group that are similar enough, each
+    set standing for its first row; and (rep, id) of the later rows with an equal set.
 
     Prefix filter: with tokens by ascending frequency, similar sets share one of their first
-    n - ceil(threshold * n) + 1 tokens. Equal sets meet in their representative only.
+    n - ceil(threshold * n) + 1 tokens. Nothing is cut: the filter loses no pair.
     """
     rows = df.select(F.col(group).alias("g"), F.col(order).alias("o"), F.array_sort(F.array_distinct(tokens)).alias("x")).where(F.size("x") > 0)
-    sets = rows.groupBy("g", "x").agg(F.min("o").alias("o"))
+    sets = cut(rows.groupBy("g", "x").agg(F.min("o").alias("o")))
+    copies = rows.join(sets.select("g", "x", F.col("o").alias("rep")), ["g", "x"]).where("o > rep").select("rep", F.col("o").alias("id"))
     post = sets.select("g", "o", F.size("x").alias("n"), F.explode("x").alias("t"))
     freq = post.groupBy("g", "t").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     near = post.join(freq, ["g", "t"]).groupBy("g", "o", "n").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("p"))
     keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-    singles = F.col("n") - F.size("p")
-    near = near.select("g", "o", "n", F.explode(F.slice("p", F.lit(1), F.greatest(F.lit(0), keep - singles).cast("int"))).alias("q")).select("g", "o", "n", F.col("q.t").alias("t"))
+    prefix = F.slice("p", F.lit(1), F.greatest(F.lit(0), keep - (F.col("n") - F.size("p"))).cast("int"))
+    near = near.select("g", "o", "n", F.explode(prefix).alias("q")).select("g", "o", "n", F.col("q.t").alias("t"))
     a, b = near.select("g", "t", F.col("o").alias("a"), F.col("n").alias("na")), near.select("g", "t", F.col("o").alias("b"), F.col("n").alias("nb"))
     fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9)
     pairs = a.join(b, ["g", "t"]).where(fits).select("a", "b").distinct()
     left, right = sets.select(F.col("o").alias("a"), F.col("x").alias("xa")), sets.select(F.col("o").alias("b"), F.col("x").alias("xb"))
-    found = pairs.join(left, "a").join(right, "b").withColumn("similarity", jaccard(F.col("xa"), F.col("xb"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
-    same = rows.join(sets.select("g", "x", F.col("o").alias("rep")), ["g", "x"]).where("o > rep").select(F.col("rep").alias("a"), F.col("o").alias("b"), F.lit(1.0).alias("similarity"))
-    return found.unionByName(same)
+    found = pairs.join(left, "a").join(right, "b").withColumn("similarity", jaccard(F.col("xa"), F.col("xb"))).where(F.col("similarity") >= threshold)
+    return found.select("a", "b", "similarity"), copies
 
 
-def first_kept(df: DataFrame, order: str, pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(id, leader) for each row that is near an earlier row that is itself kept.
+def first_kept(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """(id, leader) for each row with an earlier row near it that is itself kept: the greedy rule in id order.
 
-    In the order of ``order`` a row is dropped if a kept earlier row is near it: the greedy rule. All
-    rows without an undecided earlier neighbour are decided at once, round by round.
+    ``pairs`` holds (a, b) with a < b. All rows without an undecided earlier neighbour are decided at
+    once, round by round; the leader is the first kept row near the dropped one.
     """
-    edges = cut(pairs.select("a", "b"))
-    undecided = edges
-    dropped: DataFrame | None = None
+    edges = cut(pairs.select("a", "b").distinct())
+    undecided, gone = edges, edges.where("false").select(F.col("b").alias("id"))
     for _ in range(max_rounds):
         if undecided.isEmpty():
             break
         waiting = undecided.select(F.col("b").alias("a")).distinct()
-        ready = undecided.join(waiting, "a", "left_anti")  # a is kept for sure
-        gone = cut(ready.groupBy("b").agg(F.min("a").alias("leader")))
-        dropped = gone if dropped is None else dropped.unionByName(gone)
-        left = undecided.join(gone.select("b"), "b", "left_anti").join(gone.select(F.col("b").alias("a")), "a", "left_anti")
-        undecided, old = cut(left), undecided
-        discard(old)
-    empty = edges.where("false").select(F.col("b").alias("id"), F.col("a").alias("leader"))
-    return empty if dropped is None else dropped.select(F.col("b").alias("id"), "leader")
+        ready = undecided.join(waiting, "a", "left_anti")  # here a is kept for sure
+        now = cut(ready.select(F.col("b").alias("id")).distinct())
+        gone = gone.union(now)
+        left = undecided.join(now.select(F.col("id").alias("b")), "b", "left_anti").join(now.select(F.col("id").alias("a")), "a", "left_anti")
+        undecided = cut(left)
+    kept = edges.join(gone.select(F.col("id").alias("a")), "a", "left_anti").join(gone.select(F.col("id").alias("b")), "b", "left_semi")
+    return kept.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader"))
+
+
+def near_copies(df: DataFrame, order: str, tokens: str, group: str, threshold: float) -> DataFrame:
+    """(id, leader) of rows near an earlier kept row of their group."""
+    pairs, copies = set_join(df, order, tokens, group, threshold)
+    dropped = cut(first_kept(pairs))
+    more = copies.join(dropped.select(F.col("id").alias("rep"), "leader"), "rep", "left").select("id", F.coalesce("leader", "rep").alias("leader"))
+    return dropped.unionByName(more)
 
 
 def clusters(edges: DataFrame, prefix: str) -> DataFrame:

@@ -241,8 +241,7 @@ def interval_join(spark, sf):
 def near_dup_author(spark, sf):
     """Near copies by one author of an earlier text that is itself kept; the greedy rule in rounds."""
     c = corpus(spark, sf).select("ord", "author", "toks")
-    pairs = SIM.set_join(c, "ord", "toks", "author", S.RULES["same_author_near_duplicate_similarity"])
-    return SIM.first_kept(c, "ord", pairs)
+    return SIM.near_copies(c, "ord", "toks", "author", S.RULES["same_author_near_duplicate_similarity"])
 
 
 @query()

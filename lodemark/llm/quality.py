@@ -58,6 +58,9 @@ def base_figures(docs: DataFrame) -> DataFrame:
         (F.size("lines_") - F.size(F.array_distinct("lines_"))).cast("long").alias("n_dup_lines"),
         F.expr("aggregate(zip_with(p_, slice(p_, 2, greatest(size(p_) - 1, 0)), (a, b) -> least(3, coalesce(b - a, 3))), 0L, (s, x) -> s + x)").alias("n_repeat_words"),
         F.size("lines_").cast("long").alias("n_lines"),
+        # an expression that is not deterministic keeps the optimizer from pushing filters on the
+        # figures below this point, where it would compute each of them many times over
+        F.monotonically_increasing_id().alias("row_"),
     )
 
 
@@ -92,13 +95,13 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = S
     that repeat are judged alike. Input columns of the same names as the added ones are replaced.
     An empty table gives an empty result.
     """
-    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "text_", "w_", "lines_", "g_", "r_", "p_"]
+    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "row_", "text_", "w_", "lines_", "g_", "r_", "p_"]
     docs = docs.drop(*added)
     figures = base_figures(docs)
     order = rule_order(figures, rules, sample_rows)
     failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
     out = figures.withColumn("base_failed", failed)
-    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(~cascade(order))
+    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(~cascade(order)) & (F.col("row_") >= 0)
     return out.withColumn("kept", kept).select(*docs.columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

@@ -105,7 +105,7 @@ def _writer(folder: str, file_bytes: int) -> Callable:
                         out.close()
                     fs.create_dir(path, recursive=True)
                     name, at = f"pages-{uuid.uuid4().hex}.warc.gz", 0
-                    out = fs.open_output_stream(f"{path}/{name}")
+                    out = fs.open_output_stream(f"{path}/{name}", compression=None)
                 member = record(page_id.as_py(), url.as_py(), (html.as_py() or "").encode(), to.as_py(), revisit.as_py())
                 out.write(member)
                 rows.append((url_key(url.as_py()), page_id.as_py(), f"{folder}/{name}", at, len(member)))
@@ -127,7 +127,7 @@ def _indexer(folder: str, lines: int) -> Callable:
             nonlocal out, at
             if out is None:
                 fs.create_dir(path, recursive=True)
-                out = fs.open_output_stream(f"{path}/{name}")
+                out = fs.open_output_stream(f"{path}/{name}", compression=None)
             packed = gzip.compress("\n".join(json.dumps(x) for x in block).encode(), 4, mtime=0)
             out.write(packed)
             done.append((block[0][0], block[-1][0], f"{folder}/{name}", at, len(packed), len(block)))

@@ -39,28 +39,35 @@ RULES = (
 )
 
 
+def _here(x: Column) -> Column:
+    """``x``, computed in this projection and nowhere else.
+
+    The optimizer moves filters below projections by putting in the expressions, also inside lambda
+    functions, where an array would be split anew for each of its elements. It leaves alone what is
+    not deterministic.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, x)
+
+
 def base_figures(docs: DataFrame) -> DataFrame:
     """Adds text_, w_ (words), lines_ (lines with a word) and the base figures to ``doc_id``'s rows."""
     df = docs.withColumn("text_", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    df = df.withColumn("w_", F.expr(r"filter(split(text_, '[\\x20\\x09-\\x0D]+'), x -> x <> '')"))
-    df = df.withColumn("lines_", F.expr(r"filter(split(text_, '\n'), x -> x RLIKE '[^\\x20\\x09-\\x0D]')"))
-    df = df.withColumn("g_", F.expr("CASE WHEN size(w_) >= 3 THEN sort_array(transform(sequence(0, size(w_) - 3), i -> named_struct('h', xxhash64(w_[i], w_[i + 1], w_[i + 2]), 'p', i))) ELSE array() END"))
-    df = df.withColumn("r_", F.expr("filter(zip_with(g_, slice(g_, 2, greatest(size(g_) - 1, 0)), (a, b) -> IF(a.h = b.h, array(a.p, b.p), NULL)), x -> x IS NOT NULL)"))
-    df = df.withColumn("p_", F.expr("array_sort(array_distinct(flatten(r_)))"))
+    df = df.withColumn("w_", _here(F.expr(r"filter(split(text_, '[\\x20\\x09-\\x0D]+'), x -> x <> '')")))
+    df = df.withColumn("lines_", _here(F.expr(r"filter(split(text_, '\n'), x -> x RLIKE '[^\\x20\\x09-\\x0D]')")))
+    df = df.withColumn("g_", _here(F.expr("CASE WHEN size(w_) >= 3 THEN sort_array(transform(sequence(0, size(w_) - 3), i -> named_struct('h', xxhash64(w_[i], w_[i + 1], w_[i + 2]), 'p', i))) ELSE array() END")))
+    df = df.withColumn("r_", _here(F.expr("filter(zip_with(g_, slice(g_, 2, greatest(size(g_) - 1, 0)), (a, b) -> IF(a.h = b.h, array(a.p, b.p), NULL)), x -> x IS NOT NULL)")))
+    df = df.withColumn("p_", _here(F.expr("array_sort(array_distinct(flatten(r_)))")))
     return df.select(
         *docs.columns,
         "text_",
         "w_",
         "lines_",
-        F.size("w_").cast("long").alias("n_words"),
-        F.length(F.translate("text_", BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length("text_") - F.length(F.translate("text_", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        (F.size("lines_") - F.size(F.array_distinct("lines_"))).cast("long").alias("n_dup_lines"),
-        F.expr("aggregate(zip_with(p_, slice(p_, 2, greatest(size(p_) - 1, 0)), (a, b) -> least(3, coalesce(b - a, 3))), 0L, (s, x) -> s + x)").alias("n_repeat_words"),
-        F.size("lines_").cast("long").alias("n_lines"),
-        # an expression that is not deterministic keeps the optimizer from pushing filters on the
-        # figures below this point, where it would compute each of them many times over
-        F.monotonically_increasing_id().alias("row_"),
+        _here(F.size("w_").cast("long")).alias("n_words"),
+        _here(F.length(F.translate("text_", BLANKS, "")).cast("long")).alias("word_chars"),
+        _here((F.length("text_") - F.length(F.translate("text_", "#*$%&|<>", ""))).cast("long")).alias("n_symbols"),
+        _here((F.size("lines_") - F.size(F.array_distinct("lines_"))).cast("long")).alias("n_dup_lines"),
+        _here(F.expr("aggregate(zip_with(p_, slice(p_, 2, greatest(size(p_) - 1, 0)), (a, b) -> least(3, coalesce(b - a, 3))), 0L, (s, x) -> s + x)")).alias("n_repeat_words"),
+        _here(F.size("lines_").cast("long")).alias("n_lines"),
     )
 
 
@@ -95,13 +102,13 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = S
     that repeat are judged alike. Input columns of the same names as the added ones are replaced.
     An empty table gives an empty result.
     """
-    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "row_", "text_", "w_", "lines_", "g_", "r_", "p_"]
+    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "text_", "w_", "lines_", "g_", "r_", "p_"]
     docs = docs.drop(*added)
     figures = base_figures(docs)
     order = rule_order(figures, rules, sample_rows)
     failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
     out = figures.withColumn("base_failed", failed)
-    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(~cascade(order)) & (F.col("row_") >= 0)
+    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(~cascade(order))
     return out.withColumn("kept", kept).select(*docs.columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

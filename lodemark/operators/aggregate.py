@@ -48,7 +48,7 @@ def effective_sample_size(weight: Column) -> Column:
 
 def index_of(mean: Column) -> Column:
     """0 to 100 from a mean sentiment in [-1, 1]; null stays null."""
-    return F.least(F.greatest((mean + 1) / 2, F.lit(0.0)), F.lit(1.0)) * 100
+    return F.when(mean.isNotNull(), F.least(F.greatest((mean + 1) / 2, F.lit(0.0)), F.lit(1.0)) * 100)
 
 
 def rep_weight() -> Column:

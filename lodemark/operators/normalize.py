@@ -34,7 +34,9 @@ def parse_date(raw: Column, now: Column) -> Column:
     number = F.when(F.regexp_like(s, F.lit(r"^\d{9,14}(\.\d+)?$")), s.try_cast("double"))
     epoch = F.timestamp_micros((F.when(number > 1e10, number / 1000).otherwise(number) * 1_000_000).cast("long"))
     iso = F.when(F.regexp_like(s, F.lit(r"^\d{4}-\d{2}-\d{2}")), s.try_cast("timestamp"))
-    formats = [F.try_to_timestamp(s, F.lit(f)) for f in ("dd/MM/yyyy", "dd-MM-yyyy", "EEE, dd MMM yyyy HH:mm:ss Z", "EEE MMM dd HH:mm:ss Z yyyy", "MMM dd, yyyy")]
+    bare = F.regexp_replace(s, "^[A-Z][a-z]{2},? ", "")  # without the day of the week
+    bare = F.when(F.regexp_like(s, F.lit("^(Mon|Tue|Wed|Thu|Fri|Sat|Sun),? ")), bare).otherwise(s)
+    formats = [F.try_to_timestamp(bare, F.lit(f)) for f in ("dd/MM/yyyy", "dd-MM-yyyy", "dd MMM yyyy HH:mm:ss Z", "MMM dd HH:mm:ss Z yyyy", "MMM dd, yyyy")]
     n = F.regexp_extract(F.lower(s), r"^(\d+) (second|minute|hour|day|week|month|year)s? ago$", 1).try_cast("long")
     unit = F.regexp_extract(F.lower(s), r"^(\d+) (second|minute|hour|day|week|month|year)s? ago$", 2)
     sizes = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 7 * 86400, "month": 30 * 86400, "year": 365 * 86400}

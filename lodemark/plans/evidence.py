@@ -16,7 +16,7 @@ SENTIMENTS, STANCES = ("positive", "neutral", "negative"), ("supportive", "neutr
 GROUPS = ("person", "media", "brand_owned", "organization", "unknown")
 _W = "CASE WHEN eligible THEN reputation_weight ELSE 0 END"
 _MEAN = "sum(reputation_weight * sentiment_score) FILTER (WHERE eligible) / nullif(sum(reputation_weight) FILTER (WHERE eligible), 0)"
-_IDX = f"least(greatest((({_MEAN}) + 1) / 2, 0), 1) * 100"
+_IDX = f"(CASE WHEN ({_MEAN}) IS NOT NULL THEN least(greatest((({_MEAN}) + 1) / 2, 0), 1) * 100 END)"
 _ESS = "coalesce(pow(sum(reputation_weight) FILTER (WHERE eligible), 2) / nullif(sum(reputation_weight * reputation_weight) FILTER (WHERE eligible), 0), 0)"
 _NEG = "sum(CASE WHEN sentiment_label = 'negative' THEN reputation_weight ELSE 0 END) FILTER (WHERE eligible) / nullif(sum(reputation_weight) FILTER (WHERE eligible), 0)"
 

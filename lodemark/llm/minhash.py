@@ -26,7 +26,7 @@ from lodemark.operators.components import connected_components
 from lodemark.session import cut
 
 COORDS, MATCH, SHINGLE = 32, 14, 5
-BLOCK_OTHERS, BLOCK_ALL = 512, 4096
+BLOCK_OTHERS, BLOCK_ALL = 4096, 4096
 
 
 def _sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:

@@ -25,6 +25,9 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$
 ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+RAW_END = {n: re.compile(rf"</{n}(?=[\t\n\f\r />])", re.I | re.A) for n in RAW}
+#: What moves a script in and out of the escaped states, in which an inner script's end tag is not its own.
+SCRIPT = re.compile(r"<!--(-?>)?|-->|<(/?)script(?=[\t\n\f\r />])", re.I | re.A)
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 DROP = frozenset("head nav footer aside form script style noscript template button select option textarea title iframe object svg math canvas audio video menu dialog fieldset xmp noembed noframes".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -71,19 +74,33 @@ def _other(name: str, attrs: str, up: Element | None) -> bool:
     return False
 
 
+def _raw_end(page: str, start: int, name: str) -> int:
+    """Where the end tag of a raw element stands whose content begins at ``start``; the page's end if there is none."""
+    if name != "script":
+        m = RAW_END[name].search(page, start)
+        return m.start() if m else len(page)
+    escaped = inner = False
+    for m in SCRIPT.finditer(page, start):
+        if m[0].startswith("<!--"):
+            escaped, inner = m[1] is None, inner and m[1] is None
+        elif m[0] == "-->":
+            escaped = inner = False
+        elif m[2]:
+            if not inner:
+                return m.start()
+            inner = False
+        else:
+            inner = escaped
+    return len(page)
+
+
 def text_nodes(page: str) -> list[tuple[Element, int, str]]:
     """(element, block number, text) of each text node outside dropped elements, in page order."""
     root = Element("", None, False, ())
     stack, block, out = [root], 0, []
-    raw: str | None = None
-    for m in TOKEN.finditer(page):
+    tokens = TOKEN.finditer(page)
+    while (m := next(tokens, None)) is not None:
         name = m[2]
-        if raw is not None:  # inside script and the like only its end counts
-            if name and m[1] and name.lower() == raw:
-                raw = None
-                if len(stack) > 1:
-                    stack.pop()
-            continue
         if name is None:
             text = m[0]
             if text.startswith("<![CDATA["):
@@ -129,8 +146,8 @@ def text_nodes(page: str) -> list[tuple[Element, int, str]]:
         stack.append(Element(name, up, up.drop or _other(name, m[3], up), (*up.path, name)))
         if m[3].endswith("/") and name in ("svg", "path", "use"):
             stack.pop()
-        elif name in RAW:
-            raw = name
+        elif name in RAW:  # inside script and the like only its end counts
+            tokens = TOKEN.finditer(page, _raw_end(page, m.end(), name))
     return out
 
 

@@ -131,6 +131,22 @@ def test_main_text():
     assert html.main_text("<p>" + "word, " * 100_000) == ("word, " * 100_000).strip()
 
 
+@pytest.mark.parametrize(
+    "raw",
+    [
+        "<script>for(var i=0;i<n;i++){f(i)}</script>",
+        "<SCRIPT>if (a<b) s = \"it's\"; // don't</Script >",
+        "<style>a<b{content:'\"'}</style>",
+        "<script><!-- document.write('<script src=x></script>') //--></script>",
+        "<script>x = '<!-->'; y = '<script>'</script>",
+        "<script>a</scripts>b<c</script>",
+        "<textarea>1<two '</textarea>",
+    ],
+)
+def test_code_does_not_swallow_its_end(raw):
+    assert html.main_text(f"<body>{raw}<article><p>All of it, kept.</p></article>{raw}<p>x</p>") == "All of it, kept."
+
+
 def test_extract(spark):
     rows = [(1, "u", PAGE, "x"), (2, None, None, "x"), (None, "u", "", "x"), (1, "u", PAGE, "x")]
     out = html.extract(spark.createDataFrame(rows, "page_id int, url string, html string, text string")).collect()

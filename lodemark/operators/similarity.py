@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from lodemark.functions.text import jaccard
 from lodemark.operators.components import connected_components
@@ -58,11 +62,36 @@ def set_join(df: DataFrame, order: str, tokens: str, group: str, threshold: floa
     return found.select("a", "b", "similarity"), copies
 
 
-def first_kept(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
+def _in_sequence(edges: DataFrame) -> DataFrame:
+    """(id) of the rows that the greedy rule drops: component by component, one edge after the other.
+
+    A task holds the dropped ids of one component at a time; the edges pass through it.
+    """
+    kind = edges.schema["a"].dataType
+    comp = connected_components(edges, "a", "b").select(F.col("id").alias("b"), F.col("component").alias("c"))
+    rows = edges.join(comp, "b").select("c", "b", "a").repartition("c").sortWithinPartitions("c", "b", "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, gone = None, set()
+        for batch in batches:
+            out = []
+            for c, b, a in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if c != now:
+                    now, gone = c, set()
+                if a not in gone and b not in gone:  # all edges that end in a have passed
+                    gone.add(b)
+                    out.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(out, batch.column(1).type)], ["id"])
+
+    return rows.mapInArrow(run, StructType([StructField("id", kind)]))
+
+
+def first_kept(pairs: DataFrame, max_rounds: int = 12) -> DataFrame:
     """(id, leader) for each row with an earlier row near it that is itself kept: the greedy rule in id order.
 
     ``pairs`` holds (a, b) with a < b. All rows without an undecided earlier neighbour are decided at
-    once, round by round; the leader is the first kept row near the dropped one.
+    once, round by round; what long chains leave after ``max_rounds`` is decided in sequence. The
+    leader is the first kept row near the dropped one.
     """
     edges = cut(pairs.select("a", "b").distinct())
     undecided, gone = edges, edges.where("false").select(F.col("b").alias("id"))
@@ -75,6 +104,8 @@ def first_kept(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
         gone = gone.union(now)
         left = undecided.join(now.select(F.col("id").alias("b")), "b", "left_anti").join(now.select(F.col("id").alias("a")), "a", "left_anti")
         undecided = cut(left)
+    if not undecided.isEmpty():
+        gone = gone.union(cut(_in_sequence(undecided)))
     kept = edges.join(gone.select(F.col("id").alias("a")), "a", "left_anti").join(gone.select(F.col("id").alias("b")), "b", "left_semi")
     return kept.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader"))
 

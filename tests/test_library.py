@@ -124,6 +124,14 @@ def test_near_copies(spark):
     assert got == want and len(want) > 10
 
 
+def test_long_chains_are_settled(spark):
+    n = 450
+    chain = [(i, i + 1) for i in range(n)]
+    star = [(1000, 1000 + i) for i in range(1, 30)] + [(1000 + i, 1001 + i) for i in range(1, 29)]
+    got = {r["id"]: r["leader"] for r in similarity.first_kept(spark.createDataFrame(chain + star, "a long, b long")).collect()}
+    assert got == {i: i - 1 for i in range(1, n + 1, 2)} | {1000 + i: 1000 for i in range(1, 30)}
+
+
 def test_recent_pairs(spark):
     rows = [(i, [f"tok{i % 3}", "common", f"own{i}"]) for i in range(40)]
     df = spark.createDataFrame(rows, "ord long, toks array<string>")

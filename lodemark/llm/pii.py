@@ -7,14 +7,17 @@ Surrogates. Digits stay digits, capitals stay capitals, small letters stay small
 stay hexadecimal and punctuation stays, so type, script and format match. Two passes shift each
 character by keyed digests of what stands before and after it. Either pass can be undone with the key,
 so the map is one to one on the strings of a format: distinct entities get distinct surrogates and
-equal ones the same, in every document, without a table of the corpus. Of a telephone number the
+equal ones the same, in every document, without a table of the corpus. Secrets of more than 200
+characters go block by block, each under a digest of what stands before it. Of a telephone number the
 country code stays, of a card number all is changed; an address keeps valid octets (1 to 223, 0 to
 255 is mapped one to one per octet), and an e-mail address keeps its dots and its last label.
 
-Names after a form of address come from lists by gender and script. Lists are finite, so each document
-is checked: if two of its entities share a surrogate, or a surrogate equals an entity of the same
-document, the whole document is drawn again with the next tweak; after the last tweak the names are
-numbered, which cannot collide.
+Names are found after a form of address. Given names and surnames are drawn apart from each other, from
+lists by gender and script, so a surname has one surrogate with and without a given name. Where it stands
+again without a form of address in the same document, alone or after a given name of the document, it is
+replaced too. Lists are finite, so each document is checked: if two of its surnames (or given names) share
+a surrogate, or one equals a surname (given name) of the document, these alone are drawn again with the
+next tweak; after the last tweak they are numbered, which cannot collide. All else keeps its surrogate.
 """
 
 from __future__ import annotations
@@ -22,9 +25,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+FORMS = r"Mr|Mrs|Ms|Miss|Mme|Mlle|Herr|Frau|Sr|Sra|Se\u00f1or|Se\u00f1ora|\u03ba|\u039a\u03cd\u03c1\u03b9\u03bf\u03c2|\u039a\u03c5\u03c1\u03af\u03b1|\u0433-\u043d|\u0433-\u0436\u0430"
 #: Types in the order of the alternation; each has one pattern without groups (Java syntax).
 PATTERNS = {
-    "secret": r"(?i:\b(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?[A-Za-z0-9+/_\-]{8,200}[\"']?)",
+    "secret": r"(?i:\b(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?[A-Za-z0-9+/_.~\-]{7,}[A-Za-z0-9+/_~\-]={0,2})",
     "access_key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
     "email": r"(?<![\w.+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}\b",
     "ipv4": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
@@ -32,7 +36,7 @@ PATTERNS = {
     "card": r"(?<![\w.\-])\d(?:[ \-]?\d){12,18}(?![\w]|[.\-]\d)",
     "phone": r"(?<![\w.+])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\w)|(?<![\w.+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}(?!\w)|(?<![\w.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w])",
     "national_id": r"(?<![\w.\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
-    "name": r"\b(?:Mr|Mrs|Ms|Miss|Mme|Mlle|Herr|Frau|Sr|Sra|Se\u00f1or|Se\u00f1ora|\u03ba|\u039a\u03cd\u03c1\u03b9\u03bf\u03c2|\u039a\u03c5\u03c1\u03af\u03b1|\u0433-\u043d|\u0433-\u0436\u0430)\.? \p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30})?",
+    "name": rf"\b(?:{FORMS})\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?",
 }
 
 #: Fixed lists of invented replacements: given names by gender and surnames, by script.
@@ -48,6 +52,9 @@ NAMES = {
     ("s", "cyrillic"): "Белых Долгих Крутых Малых Польских Седых Тонких Черных Широких Юных",
 }
 TWEAKS = 3
+#: A name without a form of address, where the document has it with one.
+BARE = r"^(?:\p{Lu}\p{Ll}{1,30} )?\p{Lu}\p{Ll}{1,30}$"
+BLOCK = 200
 UNION = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -58,7 +65,7 @@ def _lit(s: str) -> str:
 
 def kind_sql(e: str) -> str:
     """SQL: the type of entity ``e``, the first whose pattern matches all of it."""
-    return "CASE " + " ".join(f"WHEN {e} RLIKE {_lit('^(?:' + p + ')$')} THEN '{k}'" for k, p in PATTERNS.items()) + " ELSE 'secret' END"
+    return "CASE " + " ".join(f"WHEN {e} RLIKE {_lit('^(?:' + p + ')$')} THEN '{k}'" for k, p in PATTERNS.items()) + f" WHEN {e} RLIKE {_lit(BARE)} THEN 'name' ELSE 'secret' END"
 
 
 def _byte(key: str, x: str) -> str:
@@ -94,64 +101,103 @@ def _pick(words: str, x: str) -> str:
     return f"split({_lit(words)}, ' ')[cast({x} % {n} as int)]"
 
 
-def _named(e: str, key: str, number: str) -> str:
-    """SQL: the form of address and a name of the same gender, script and number of parts."""
-    form = f"regexp_extract({e}, '^(\\\\S+) ', 1)"
-    gender = f"IF(regexp_replace({form}, '[.]', '') IN ('Mrs', 'Ms', 'Miss', 'Mme', 'Mlle', 'Frau', 'Sra', 'Señora', 'Κυρία', 'г-жа'), 'f', 'm')"
-    script = f"CASE WHEN {e} RLIKE '\\\\p{{IsGreek}}' THEN 'greek' WHEN {e} RLIKE '\\\\p{{IsCyrillic}}' THEN 'cyrillic' ELSE 'latin' END"
-    draw = _byte(key, f"concat({number}, substr({e}, length({form}) + 2))")
-    given = "CASE " + " ".join(f"WHEN {gender} = '{g}' AND {script} = '{s}' THEN {_pick(w, draw)}" for (g, s), w in NAMES.items() if g != "s") + " END"
-    sur = "CASE " + " ".join(f"WHEN {script} = '{s}' THEN {_pick(w, f'floor({draw} / 1000)')}" for (g, s), w in NAMES.items() if g == "s") + " END"
-    two = f"{e} RLIKE ' \\\\S+ \\\\S+$'"
-    return f"concat({form}, ' ', IF({two}, concat({given}, ' ', {sur}), {sur}))"
+def _blocks(s: str, key: str) -> str:
+    """SQL: one-to-one image of a string of any length, block by block."""
+    part = _scramble("q.x", f"concat({key}, q.k)")
+    more = f"transform(sequence(0, (length(v) - 1) div {BLOCK}), b -> named_struct('x', substr(v, b * {BLOCK} + 1, {BLOCK}), 'k', IF(b = 0, '', sha2(substr(v, 1, b * {BLOCK}), 256))))"
+    return f"concat_ws('', transform(array({s}), v -> IF(v = '', '', concat_ws('', transform({more}, q -> {part})))))"
 
 
-def surrogate_sql(e: str, kind: str, key: str, number: str = "''") -> str:
-    """SQL: the surrogate of entity ``e`` of type ``kind``."""
+def _form(e: str) -> str:
+    return f"regexp_extract({e}, {_lit('^(?:' + FORMS + ')[.]? ')}, 0)"
+
+
+def _surname(e: str) -> str:
+    return f"regexp_extract({e}, '(\\\\S+)$', 1)"
+
+
+def _given(e: str) -> str:
+    """SQL: the given name, or the empty string."""
+    return f"regexp_extract(substr({e}, length({_form(e)}) + 1), '^(\\\\S+) ', 1)"
+
+
+def _gender(e: str) -> str:
+    return f"IF(regexp_replace({_form(e)}, '[. ]', '') IN ('Mrs', 'Ms', 'Miss', 'Mme', 'Mlle', 'Frau', 'Sra', 'Señora', 'Κυρία', 'г-жа'), 'f', 'm')"
+
+
+def _name(w: str, lists: dict[str, str], key: str) -> str:
+    """SQL: an invented name of the script of ``w``, from ``lists`` by script."""
+    script = f"CASE WHEN {w} RLIKE '\\\\p{{IsGreek}}' THEN 'greek' WHEN {w} RLIKE '\\\\p{{IsCyrillic}}' THEN 'cyrillic' ELSE 'latin' END"
+    return f"CASE {script} " + " ".join(f"WHEN '{s}' THEN {_pick(x, _byte(key, w))}" for s, x in lists.items()) + " END"
+
+
+def _lists(which: str) -> dict[str, str]:
+    return {s: x for (g, s), x in NAMES.items() if g == which}
+
+
+def _surnames(key: str, number: str = "''") -> str:
+    """SQL: the surrogates of the surnames ``_u``."""
+    return f"transform(_u, (w, i) -> concat({_name('w', _lists('s'), key)}, {number}))"
+
+
+def _givens(key: str, number: str = "''") -> str:
+    """SQL: the surrogates of the given names ``_g``, which have their gender in front."""
+    one = f"IF(startswith(g, 'f'), {_name('substr(g, 2)', _lists('f'), key)}, {_name('substr(g, 2)', _lists('m'), key)})"
+    return f"transform(_g, (g, i) -> concat({one}, {number}))"
+
+
+def _named(e: str) -> str:
+    """SQL: the form of address, if any, and the surrogates of a name of the document."""
+    given = f"IF({_form(e)} = '', get(filter(_g, g -> substr(g, 2) = {_given(e)}), 0), concat({_gender(e)}, {_given(e)}))"
+    first = f"IF({_given(e)} = '', '', concat(element_at(_gs, cast(array_position(_g, {given}) as int)), ' '))"
+    return f"concat({_form(e)}, {first}, element_at(_us, cast(array_position(_u, {_surname(e)}) as int)))"
+
+
+def surrogate_sql(e: str, kind: str, key: str) -> str:
+    """SQL: the surrogate of entity ``e`` of type ``kind``; of a name, from ``_g``, ``_gs``, ``_u`` and ``_us``."""
     head = f"regexp_extract({e}, '^(?i:[a-z]+(?:[_-]?key)?[\"\\']?[ \\\\t]*[=:][ \\\\t]*[\"\\']?)', 0)"
     at = f"regexp_extract({e}, '[.][A-Za-z]+$', 0)"
     code = f"regexp_extract({e}, '^[+][0-9]{{1,3}}(?=[ .(-])', 0)"
     rest = lambda h: f"substr({e}, length({h}) + 1)"
     return (
-        f"CASE {kind} WHEN 'secret' THEN concat({head}, {_scramble(rest(head), key)})"
+        f"CASE {kind} WHEN 'secret' THEN concat({head}, {_blocks(rest(head), key)})"
         f" WHEN 'access_key' THEN concat(substr({e}, 1, 4), {_scramble(f'substr({e}, 5)', key)})"
         f" WHEN 'email' THEN concat({_scramble(f'substr({e}, 1, length({e}) - length({at}))', key)}, {at})"
         f" WHEN 'ipv4' THEN {_octets(e, key)}"
         f" WHEN 'phone' THEN concat({code}, {_scramble(rest(code), key)})"
-        f" WHEN 'name' THEN {_named(e, key, number)}"
+        f" WHEN 'name' THEN {_named(e)}"
         f" ELSE {_scramble(e, key)} END"
     )
 
 
-def _drawn(tweak: int, secret: str) -> str:
-    """SQL: the surrogates of ``_e``, or null where they collide with each other or with ``_e``."""
-    key = _lit(f"{secret}/{tweak}/")
-    made = f"transform(_e, e -> {surrogate_sql('e', kind_sql('e'), key)})"
-    return f"filter(array({made}), m -> size(array_distinct(m)) = size(_e) AND NOT arrays_overlap(m, _e))[0]"
-
-
-def _numbered(secret: str) -> str:
-    """SQL: surrogates that cannot collide: names take their number in the document."""
-    key = _lit(f"{secret}/numbered/")
-    name = _named("e", key, "cast(i as string)")
-    other = surrogate_sql("e", kind_sql("e"), key)
-    return f"transform(_e, (e, i) -> CASE WHEN {kind_sql('e')} = 'name' THEN concat({name}, ' ', cast(i + 2 as string)) ELSE {other} END)"
+def _drawn(made: str, words: str) -> str:
+    """SQL: the array ``made``, or null where its names collide with each other or with ``words``."""
+    return f"get(filter(array({made}), m -> size(array_distinct(m)) = size(m) AND NOT arrays_overlap(m, {words})), 0)"
 
 
 def pseudonymize(docs: DataFrame, secret: str = "lodemark", tweaks: int = TWEAKS) -> DataFrame:
-    """The columns of ``docs`` with ``text`` replaced, and n_entities (long), kinds (array of types, as found) and tweak (int).
+    """The columns of ``docs`` with ``text`` replaced, and n_entities (long) and kinds (array of types, as found).
 
     A text without entities is returned unchanged; a null text stays null with 0 entities. Rows that
     repeat are treated alike. n_chars, where present, is left as it is. Input columns named as the
     added ones are replaced.
     """
-    names = [c for c in docs.columns if c not in ("n_entities", "kinds", "tweak", "_m", "_gaps", "_e", "_s", "_t")]
-    df = docs.select(*names).withColumn("_m", F.expr(f"coalesce(regexp_extract_all(text, {_lit(UNION)}, 0), array())"))
-    df = df.withColumn("_e", F.array_distinct("_m"))
+    names = [c for c in docs.columns if c not in ("n_entities", "kinds", "tweak", "_m", "_p", "_n", "_g", "_gs", "_u", "_us", "_gaps", "_e", "_s", "_t")]
+    union = _lit(UNION)
+    df = docs.select(*names).withColumn("_m", F.expr(f"coalesce(regexp_extract_all(text, {union}, 0), array())"))
+    df = df.withColumn("_n", F.expr(f"filter(_m, e -> {kind_sql('e')} = 'name')"))
+    df = df.withColumn("_u", F.expr(f"array_distinct(transform(_n, e -> {_surname('e')}))"))
+    df = df.withColumn("_g", F.expr(f"array_distinct(transform(filter(_n, e -> {_given('e')} <> ''), e -> concat({_gender('e')}, {_given('e')})))"))
+    word = r"[\p{L}\p{N}_]"
+    bare = f"concat({_lit(f'|(?<!{word})(?:(?:(?!)')}, concat_ws('', transform(_g, g -> concat('|', substr(g, 2)))), {_lit(') )?(?:')}, array_join(_u, '|'), {_lit(f')(?!{word})')})"
+    df = df.withColumn("_p", F.expr(f"IF(size(_u) = 0, {union}, concat({union}, {bare}))"))
+    df = df.withColumn("_m", F.expr("IF(size(_u) = 0, _m, regexp_extract_all(text, _p, 0))")).withColumn("_e", F.array_distinct("_m"))
+    for out, words, plain, draw, number in (("_us", "_u", "_u", _surnames, "concat(' ', i + 2)"), ("_gs", "_g", "transform(_g, g -> substr(g, 2))", _givens, "cast(i + 2 as string)")):
+        choices: list[Column] = [F.expr(_drawn(draw(_lit(f"{secret}/{t}/{words}/")), plain)) for t in range(tweaks)]
+        df = df.withColumn(out, F.when(F.size(words) > 0, F.coalesce(*choices, F.expr(draw(_lit(f"{secret}/numbered/{words}/"), number)))))
     found = F.size("_m") > 0
-    choices: list[Column] = [F.expr(_drawn(t, secret)) for t in range(tweaks)]
-    df = df.withColumn("_s", F.when(found, F.coalesce(*choices, F.expr(_numbered(secret)))))
-    put = f"""concat_ws('', flatten(zip_with(split(text, {_lit(UNION)}, -1), _m,
+    df = df.withColumn("_s", F.when(found, F.expr(f"transform(_e, e -> {surrogate_sql('e', kind_sql('e'), _lit(f'{secret}/0/'))})")))
+    put = """concat_ws('', flatten(zip_with(split(text, _p, -1), _m,
         (g, m) -> IF(m IS NULL, array(g), array(g, element_at(_s, cast(array_position(_e, m) as int)))))))"""
     kinds = F.expr(f"transform(_m, e -> {kind_sql('e')})")
     return df.select(

@@ -102,6 +102,28 @@ def test_surrogates(spark):
     assert got[7]["text"].startswith("a" * 200_000) and "x@y.org" not in got[7]["text"]
 
 
+def test_secrets_go_to_their_end(spark):
+    long = "".join(f"{i:04d}kq" for i in range(2000))
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NSJ9.SflKxwRJSMeKKF2QT4f"
+    rows = [(1, f"token={long} end"), (2, f'auth: "{jwt}", and password=abcd1234. Next'), (3, f"api_key={long[:-1]}z end")]
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert all(len(got[i]) == len(t) for i, t in rows) and got[1].endswith(" end") and got[2].endswith(". Next")
+    assert not any(p in got[2] for p in (*jwt.split("."), "abcd1234")) and re.search(r'auth: "\w+\.\w+\.\w+", and', got[2])
+    assert not any(long[k : k + 12] in got[1] for k in range(0, len(long) - 12, 6)) and got[1][6:-4] != got[3][8:-4]
+
+
+def test_names_corefer(spark):
+    text = "Mr John Smith came. Mr Smith left; Smith, or John Smith, and Smithson stayed. Mrs. John Brown. Smith's x@y.org"
+    many = ", ".join(f"Mr. {a}{b}" for a in "ABCDEFGH" for b in ("bel", "cor", "dun", "eck")) + " and x@y.org"
+    rows = [(1, text), (2, "Mr Smith and x@y.org"), (3, many)]
+    got = {r["doc_id"]: r for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    m = re.fullmatch(r"Mr (\w+) (\w+) came\. Mr (\w+) left; (\w+), or (\w+) (\w+), and Smithson stayed\. Mrs\. (\w+) (\w+)\. (\w+)'s (\S+)", got[1]["text"])
+    assert m and len({m[2], m[3], m[4], m[6], m[9]}) == 1 and m[1] == m[5] and not {"John", "Smith", "Brown"} & set(m.groups())
+    assert m[8] != m[2] and m[7] in pii.NAMES["f", "latin"].split() and got[1]["kinds"].count("name") == 6
+    assert got[2]["text"] == f"Mr {m[2]} and {m[10]}"  # in every document
+    assert got[3]["text"].endswith(f" and {m[10]}")  # a collision of names leaves the rest alone
+
+
 def test_surrogates_are_one_to_one(spark):
     df = spark.range(3000).select(F.format_string("%04d", "id").alias("e"))
     out = df.select(F.expr(pii._scramble("e", "'k'")).alias("s"))

@@ -1,7 +1,11 @@
 """The pipeline against its operators' plain versions, on a small table."""
 
+from collections import Counter
+from itertools import pairwise
+
 import corpus_pipeline
-from lodemark.llm import pii
+from lodemark.llm import mixing, pii
+from lodemark.session import cut
 from tests.llm.conftest import SF, rows_of
 from tests.llm.test_dedup import brute_near
 from tests.llm.test_rows import figures
@@ -28,6 +32,20 @@ def test_stages(spark):
     assert five.select("doc_id").distinct().count() == three.count() and five.where("NOT decoded").count() == 0
 
 
+def test_result_is_in_the_order_of_the_mix(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(7)
+    source = {i: s for i, _, s in rows_of(docs)}
+    four = cut(cut(corpus_pipeline.mixing_stage(spark, docs, SF)).repartition(5))  # as if read in another order
+    out = corpus_pipeline.encoding_stage(spark, four, SF).collect()
+    assert all(a["position"] <= b["position"] for a, b in pairwise(out))
+    at = {r["position"]: r["doc_id"] for r in out}
+    assert sorted(at) == list(range(len(source))) and len({(r["doc_id"], r["position"]) for r in out}) == len(source)
+    counts = Counter(source.values())
+    names, weights = sorted(counts), mixing.target_weights(counts)
+    plan = mixing.pfair([counts[s] for s in names], [weights[s] for s in names])  # blocks of one row
+    assert [source[at[p]] for p in sorted(at)] == [names[i] for i, *_ in plan]
+
+
 def test_odd_rows(spark, odd_docs):
     docs = odd_docs
     for _, stage in corpus_pipeline.STAGES[:-1]:

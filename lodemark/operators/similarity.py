@@ -127,6 +127,24 @@ def clusters(edges: DataFrame, prefix: str) -> DataFrame:
     return comp.join(number, "component").select(F.col("id").alias("ord"), name.alias("cluster"))
 
 
+def coordination_edges(df: DataFrame, similarity: float, story: float, hours: float, min_length: int = 24) -> DataFrame:
+    """(a, b) of rows (ord, author, folded, toks, media, ts) that different authors share.
+
+    Equal texts of at least ``min_length`` characters and two or more authors are linked to their first
+    row, however far apart. Near texts of different authors are linked within ``hours`` of each other;
+    a row without a time is near no other. What media alone share is a story and left out.
+    """
+    rows = df.select("ord", "toks", "media", F.col("ts").cast("timestamp").alias("ts"), F.nullif("author", F.lit("")).alias("author"))
+    same = df.where(F.length("folded") >= min_length).select("ord", "media", F.nullif("author", F.lit("")).alias("author"), F.sha2("folded", 256).alias("k"))
+    groups = same.groupBy("k").agg(F.min("ord").alias("a"), F.count_distinct("author").alias("authors"), F.bool_and("media").alias("story")).where("authors >= 2 AND NOT story")
+    exact = same.join(groups.select("k", "a"), "k").where("ord > a").select("a", F.col("ord").alias("b"))
+    near = with_similarity(recent_pairs(rows, "ord", "toks"), rows, "ord", "toks", ["author", "media", "ts"]).where(F.col("similarity") >= similarity)
+    told = F.col("media_a") & F.col("media_b") & (F.col("similarity") >= story)
+    close = F.abs(F.unix_micros("ts_a") - F.unix_micros("ts_b")) <= int(hours * 3600e6)
+    near = near.where(~F.coalesce(F.col("author_a") == F.col("author_b"), F.lit(False)) & ~told & close)
+    return exact.unionByName(near.select("a", "b")).distinct()
+
+
 def interval_join(left: DataFrame, right: DataFrame, key: str, span: float) -> DataFrame:
     """Pairs of rows with equal keys and at most ``span`` seconds apart: time buckets of the span's size meet their neighbours.
 

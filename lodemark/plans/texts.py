@@ -246,10 +246,9 @@ def near_dup_author(spark, sf):
 
 @query()
 def coordination_components(spark, sf):
-    """Clusters of texts that different authors share nearly word for word."""
-    c = corpus(spark, sf).select("ord", "author", "toks")
-    pairs = SIM.with_similarity(SIM.recent_pairs(c, "ord", "toks"), c, "ord", "toks", ["author"])
-    return SIM.clusters(pairs.where("similarity >= 0.82 AND author_a <> author_b"), "coord")
+    """Clusters of texts that different authors share word for word, or nearly so within hours; documents have no times."""
+    c = corpus(spark, sf).select("ord", "author", "folded", "toks", (C.account_type(F.col("platform"), F.col("author"), PLAN) == "media").alias("media"), F.lit(None).cast("timestamp").alias("ts"))
+    return SIM.clusters(SIM.coordination_edges(c, S.RULES["coordination_similarity"], S.RULES["story_similarity"], S.RULES["coordination_window_hours"]), "coord")
 
 
 # ---- cleaning rules ----

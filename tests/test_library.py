@@ -132,6 +132,19 @@ def test_long_chains_are_settled(spark):
     assert got == {i: i - 1 for i in range(1, n + 1, 2)} | {1000 + i: 1000 for i in range(1, 30)}
 
 
+def test_coordination_edges(spark):
+    copy = "one text that many authors share word for word"
+    press = "an agency report that only newspapers have printed"
+    near = [f"word{i:02d}" for i in range(20)]
+    rows = [(1, "a", copy, False, 0), (2, "b", press, True, 0), (3, "c", press, True, 0), (4, "d", " ".join(near), False, 0), (5, "e", " ".join([*near, "more"]), False, 6 * 3600), (6, "f", " ".join([*near, "else"]), False, 13 * 3600)]
+    rows += [(7, "m", " ".join([*near, "press"]), True, 3600), (8, "n", " ".join([*near, "paper"]), True, 3600), (9, "d", " ".join([*near, "again"]), False, 60), (10, "g", " ".join([*near, "none"]), False, None)]
+    rows += [(100 + i, f"x{i}", " ".join([w, "filler"]), False, None) for i, w in enumerate(copy.split() * 90)]  # push the first copy out of each token's window
+    rows += [(2000, "z", copy, False, 10**7), (2001, "a", copy, False, None)]
+    df = spark.createDataFrame([(o, a, f, f.split(), m, t) for o, a, f, m, t in rows], "ord long, author string, folded string, toks array<string>, media boolean, sec long").withColumn("ts", F.timestamp_seconds("sec"))
+    got = {tuple(r) for r in similarity.coordination_edges(df, 0.82, 0.72, 6).collect()}
+    assert got == {(1, 2000), (1, 2001), (4, 5), (4, 7), (4, 8), (5, 7), (5, 8), (5, 9), (7, 9), (8, 9)}
+
+
 def test_recent_pairs(spark):
     rows = [(i, [f"tok{i % 3}", "common", f"own{i}"]) for i in range(40)]
     df = spark.createDataFrame(rows, "ord long, toks array<string>")

@@ -16,7 +16,7 @@ from lodemark.sources import fixtures as X
 from lodemark.sources.fixtures import table
 
 EV, TH = X.SQL["evidence"], X.SQL["threads"]
-PLAN = C.Plan(client="src3", topic="src1", core_terms=("was", "avec", "und", "para", "of the"), context_terms=("from", "pour", "der", "que"), greeklish_variants=("tou", "mou"), exclusions=("worthless", "moron"))
+PLAN = C.Plan(client="src3", topic="src1", core_terms=("was", "avec", "und", "para", "of the"), context_terms=("from", "pour", "der", "que"), greeklish_variants=("nicht", "dans", "is"), exclusions=("worthless", "moron"))
 
 
 def _sq(s: str) -> str:
@@ -153,8 +153,8 @@ def quote_grounding(spark, sf):
 SELECT doc_id, (SELECT count(DISTINCT lower(t)) FROM (SELECT unnest(a) AS t)) AS n, lower(coalesce(a[1], '')) AS first FROM w""")
 def array_uniq(spark, sf):
     """Distinct spellings of a text's words, case aside."""
-    keys = F.transform(F.filter(F.transform(F.split("text", " "), F.trim), lambda t: t != ""), F.lower)
-    return table(spark, sf, "documents").select("doc_id", F.size(F.array_distinct(keys)).cast("long").alias("n"), F.coalesce(F.get(keys, F.lit(0)), F.lit("")).alias("first"))
+    spellings = T.uniq(F.split("text", " "))
+    return table(spark, sf, "documents").select("doc_id", F.size(spellings).cast("long").alias("n"), F.lower(F.coalesce(F.get(spellings, F.lit(0)), F.lit(""))).alias("first"))
 
 
 @query("""WITH a AS (SELECT source, min(doc_id) AS o FROM documents GROUP BY 1), n AS (SELECT source, 'author-' || CAST(row_number() OVER (ORDER BY o) AS VARCHAR) AS alias FROM a)
@@ -268,44 +268,58 @@ a6 AS (SELECT *, greatest(0, least(1, CASE WHEN nc > 0 THEN least(0.72, 0.58 + 0
  - CASE WHEN nb > 0 THEN 0.55 ELSE 0 END - CASE WHEN short THEN 0.32 ELSE 0 END - CASE WHEN nc = 0 THEN 0.18 ELSE 0 END)) AS relevance_score,
  CAST(least(1, CASE WHEN ns > 0 THEN least(0.7, 0.38 + 0.14 * ns) ELSE 0 END + CASE WHEN tags >= 10 THEN 0.22 ELSE 0 END + CASE WHEN content_class = 'promotional' AND regexp_matches(text, '(?:\\+?\\d[\\s().-]*){{8,}}') THEN 0.28 ELSE 0 END
  + CASE WHEN len(regexp_extract_all(text, 'https?://\\S+|www\\.\\S+')) >= 3 THEN 0.2 ELSE 0 END + CASE WHEN nt <= 3 AND tags >= 5 THEN 0.18 ELSE 0 END) AS DOUBLE) AS spam_score FROM a5),
+d1 AS (SELECT ord, author, folded, len(list_distinct(toks)) AS n_set, list_sort(list_distinct(toks)) AS ws, min(ord) OVER (PARTITION BY author, folded) AS o FROM tk WHERE folded <> ''),
+d2 AS (SELECT ord FROM d1 WHERE ord > o), d3 AS (SELECT ord, author, first_value(ord) OVER w AS o, first_value(author) OVER w AS owner FROM d1 WHERE ord = o AND n_set >= 18 WINDOW w AS (PARTITION BY ws ORDER BY ord)),
+dups AS (SELECT ord FROM d2 UNION ALL SELECT ord FROM d3 WHERE ord > o AND author <> owner),
+sh AS (SELECT folded, least(0.64, 0.32 + 0.08 * least(5, count(*) - 2)) AS shared FROM a1 WHERE length(folded) >= 24 GROUP BY 1 HAVING count(DISTINCT author) >= 2 AND NOT bool_and(account_type = 'media')),
+fr AS (SELECT author, arg_min(toks, ord) AS ft, min(ord) AS fo FROM tk GROUP BY 1 HAVING count(*) >= 5),
+rp AS (SELECT author FROM tk JOIN fr USING (author) WHERE ord > fo AND len(list_distinct(list_concat(toks, ft))) > 0 AND len(list_intersect(list_distinct(toks), list_distinct(ft))) / len(list_distinct(list_concat(toks, ft))) >= 0.86 GROUP BY 1 HAVING count(*) >= 3),
+bots AS (SELECT a6.*, dups.ord IS NOT NULL AS dup, CAST(least(1, CASE WHEN spam_score >= 0.6 THEN 0.24 ELSE 0 END + CASE WHEN nt <= 2 AND spam_score > 0.25 THEN 0.1 ELSE 0 END + coalesce(shared, 0) + CASE WHEN rp.author IS NOT NULL THEN 0.24 ELSE 0 END) AS DOUBLE) AS bot_all,
+ CAST(spam_score >= 0.6 AS INT) + CAST(nt <= 2 AND spam_score > 0.25 AS INT) + CAST(shared IS NOT NULL AS INT) + CAST(rp.author IS NOT NULL AS INT) AS n_bot FROM a6 LEFT JOIN dups USING (ord) LEFT JOIN sh USING (folded) LEFT JOIN rp ON rp.author = a6.author),
 cleaned AS (SELECT *, CASE WHEN spam_score >= 0.6 THEN 0.24 ELSE 0 END + CASE WHEN nt <= 2 AND spam_score > 0.25 THEN 0.1 ELSE 0 END AS bot_risk,
- CASE WHEN nb > 0 THEN 'explicit_exclusion_context' WHEN spam_score >= 0.82 THEN 'high_spam_risk' WHEN nc = 0 AND nx = 0 THEN 'subject_not_mentioned' WHEN market_score < 0.15 THEN 'outside_target_market' END AS hard,
+ CASE WHEN dup THEN 'duplicate_not_independent_evidence' WHEN nb > 0 THEN 'explicit_exclusion_context' WHEN spam_score >= 0.82 THEN 'high_spam_risk' WHEN bot_all >= 0.8 AND n_bot >= 2 THEN 'high_automation_or_manipulation_risk' WHEN nc = 0 AND nx = 0 THEN 'subject_not_mentioned' WHEN market_score < 0.15 THEN 'outside_target_market' END AS hard,
  list_filter([CASE WHEN relevance_score < 0.28 THEN 'lexical_relevance_low_semantic_review_required' WHEN relevance_score < 0.58 THEN 'relevance_uncertain' END, CASE WHEN content_class = 'unknown' AND relevance_score < 0.68 THEN 'content_context_uncertain' END,
-  CASE WHEN market_score < 0.25 THEN 'market_relevance_uncertain' END, CASE WHEN short THEN 'entity_disambiguation_needed' END], lambda x: x IS NOT NULL) AS soft FROM a6)"""
+  CASE WHEN bot_all >= 0.45 AND bot_all < 0.8 THEN 'authenticity_uncertain' END, CASE WHEN market_score < 0.25 THEN 'market_relevance_uncertain' END, CASE WHEN short THEN 'entity_disambiguation_needed' END], lambda x: x IS NOT NULL) AS soft FROM bots)"""
 
 
 def cleaned(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole cleaning stage over the documents."""
     return C.clean(X.corpus(spark, sf), PLAN)
 
 
+def scored(spark: SparkSession, sf: str) -> DataFrame:
+    """Its row-wise scores alone."""
+    return C.score(X.corpus(spark, sf), PLAN)
+
+
 @query(f"{_CLEAN} SELECT id, account_type FROM cleaned")
 def account_type(spark, sf):
-    return cleaned(spark, sf).select("id", "account_type")
+    return scored(spark, sf).select("id", "account_type")
 
 
 @query(f"{_CLEAN} SELECT id, content_class FROM cleaned")
 def content_class(spark, sf):
-    return cleaned(spark, sf).select("id", "content_class")
+    return scored(spark, sf).select("id", "content_class")
 
 
 @query(f"{_CLEAN} SELECT id, round(market_score, 6) AS market_score FROM cleaned")
 def market_score(spark, sf):
-    return cleaned(spark, sf).select("id", A.r(F.col("market_score"), 6).alias("market_score"))
+    return scored(spark, sf).select("id", A.r(F.col("market_score"), 6).alias("market_score"))
 
 
 @query(f"{_CLEAN} SELECT id, round(relevance_score, 6) AS relevance_score FROM cleaned")
 def relevance_score(spark, sf):
-    return cleaned(spark, sf).select("id", A.r(F.col("relevance.score"), 6).alias("relevance_score"))
+    return scored(spark, sf).select("id", A.r(F.col("relevance.score"), 6).alias("relevance_score"))
 
 
 @query(f"{_CLEAN} SELECT id, round(spam_score, 6) AS spam_score FROM cleaned")
 def spam_score(spark, sf):
-    return cleaned(spark, sf).select("id", A.r(F.col("spam_score"), 6).alias("spam_score"))
+    return scored(spark, sf).select("id", A.r(F.col("spam_score"), 6).alias("spam_score"))
 
 
 @query(f"{_CLEAN} SELECT id, round(bot_risk, 6) AS bot_risk FROM cleaned")
 def bot_risk(spark, sf):
-    return cleaned(spark, sf).select("id", A.r(F.col("bot_risk"), 6).alias("bot_risk"))
+    return scored(spark, sf).select("id", A.r(F.col("bot_risk"), 6).alias("bot_risk"))
 
 
 _DECIDED = f"{_CLEAN}, decided AS (SELECT *, CASE WHEN hard IS NOT NULL THEN 'excluded' WHEN len(soft) > 0 THEN 'review' ELSE 'trusted' END AS decision, CASE WHEN hard IS NOT NULL THEN [hard] ELSE soft END AS reasons FROM cleaned)"
@@ -318,7 +332,7 @@ def clean_decision(spark, sf):
 
 @query(f"{_DECIDED} SELECT decision, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM decided GROUP BY 1")
 def decision_partitions(spark, sf):
-    return cleaned(spark, sf).groupBy("decision.decision").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    return cleaned(spark, sf).groupBy("decision.decision").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
 @query(f"{_DECIDED} SELECT platform, count(*) AS candidates FROM decided WHERE decision IN ('trusted', 'review') GROUP BY 1")
@@ -361,8 +375,8 @@ def author_concentration(spark, sf):
     return g.groupBy("lang").agg(F.sum("c").alias("rows"), F.count(F.lit(1)).alias("authors"), A.r(F.max("c") / F.sum("c"), 6).alias("top_share"))
 
 
-@query(f"""{_CORPUS}, p AS (SELECT ord, author, list_position(toks, 'was') AS k, toks FROM tk), n AS (SELECT author, toks[k + 1] AS next FROM p WHERE k > 0 AND k < len(toks)), t AS (SELECT count(*) AS total FROM n)
-SELECT next, count(*) AS n, count(DISTINCT author) AS authors, round(count(*) / any_value(total), 6) AS share FROM n CROSS JOIN t GROUP BY 1""".replace("'was'", "'onth'"))
+@query(f"""{_CORPUS}, p AS (SELECT ord, author, list_position(toks, 'onth') AS k, toks FROM tk), n AS (SELECT author, toks[k + 1] AS next FROM p WHERE k > 0 AND k < len(toks)), t AS (SELECT count(*) AS total FROM n)
+SELECT next, count(*) AS n, count(DISTINCT author) AS authors, round(count(*) / any_value(total), 6) AS share FROM n CROSS JOIN t GROUP BY 1""")
 def collision_bigrams(spark, sf, subject: str = "onth"):
     """What follows the first mention of the subject."""
     k = F.array_position("toks", F.lit(subject))

@@ -24,11 +24,25 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
     )
 
 
+SMALL_INPUT, SPREAD_FROM = 256 << 20, 1 << 20
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A Parquet table of the folder. One that is small and in fewer files than there are cores is dealt
+    over the cores, since a row group is not split; larger tables are read as they are."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if SPREAD_FROM < size < SMALL_INPUT and len(df.inputFiles()) < cores:
+        return df.repartition(cores)
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (single-machine use, tests) a temporary folder is made and
-    set as the checkpoint folder.
+    Only where that setting is absent and the master is local (single-machine use, tests) a temporary
+    folder is made and set as the checkpoint folder; on a cluster executors would not share it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
@@ -36,6 +50,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     have = sc.getCheckpointDir()
     if not have:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lodemark-"))
         have = sc.getCheckpointDir()
     return have.rstrip("/")

@@ -10,15 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodemark.functions import scores
+from lodemark.session import table
 
 METRICS = ("views", "likes", "comments", "shares", "followers")
 EMOTIONS = ("joy", "anger", "sadness", "fear", "disgust", "surprise", "neutral")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _by(col: Column, values: list[str]) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (col + 1).cast("int"))
 

@@ -94,6 +94,47 @@ def test_cleaning_gates(spark):
     assert got[5]["decision"]["decision"] == "excluded"
 
 
+def test_cleaning_duplicates_and_authors(spark):
+    plan = cleaning.Plan(client="acme", topic="acme widgets", core_terms=("acme",))
+    long = "acme στην ελλαδα " + " ".join(f"word{i}" for i in range(20))
+    rows = [("x", "u1", long), ("x", "u1", long.upper()), ("x", "u2", long + " " + long), ("x", "u3", None), ("x", "u4", "acme και στην ελλαδα ok yes"), ("x", "", long)]
+    rows += [("x", "u5", f"acme στην ελλαδα alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mi ni xi {'z' * k}") for k in range(1, 7)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "ord long, platform string, author string, text string")
+    got = {r["ord"]: r for r in cleaning.clean(df, plan).collect()}
+    assert len(got) == len(rows)
+    assert got[1]["flags"].count("exact_duplicate") == 1 and got[1]["duplicate_of"] == 0
+    assert got[2]["flags"].count("syndicated_duplicate_content") == 1 and got[2]["duplicate_of"] == 0
+    assert got[1]["decision"]["reasons"] == got[2]["decision"]["reasons"] == ["duplicate_not_independent_evidence"]
+    assert got[4]["organic_eligible"] and got[4]["independent_voice_weight"] == 1.0
+    assert {r["reason"] for r in got[6]["bot_reasons"]} == {"repeated_near_identical_author_content"}
+    near = spark.createDataFrame([(7, 6), (1, 0)], "id long, leader long")
+    got = {r["ord"]: r for r in cleaning.clean(df, plan, near=near).collect()}
+    assert got[7]["flags"].count("near_duplicate_same_author") == 1 and got[1]["flags"].count("exact_duplicate") == 1
+
+
+def test_cleaning_comments(spark):
+    plan = cleaning.Plan(client="acme", topic="acme widgets", core_terms=("acme",))
+    schema = "ord long, platform string, author string, text string, layer string, parent_text string, parent_tier string, parent_qualified boolean, parent_market double"
+    rows = [
+        (0, "x", "u1", "so good, thanks", "comment", "Η acme στην Ελλάδα", None, None, None),
+        (1, "x", "u2", "so good, thanks", "primary", "Η acme στην Ελλάδα", None, None, None),
+        (2, "x", "u3", "so good, thanks", "reply", "nothing here", "search", True, 0.5),
+        (3, "x", "u4", "Wygralem 50 euro", "comment", "acme jest super", None, None, None),
+        (4, "x", "u5", "so good, thanks", "comment", None, None, None, None),
+    ]
+    got = {r["ord"]: r for r in cleaning.clean(spark.createDataFrame(rows, schema), plan).collect()}
+    assert "contextual_parent_match" in got[0]["flags"] and "parent_market_context" in got[0]["flags"]
+    assert got[1]["decision"]["reasons"] == ["subject_not_mentioned"] == got[4]["decision"]["reasons"]
+    assert "parent_subject_inherited_from_search_provenance" in got[2]["decision"]["reasons"]
+    assert got[3]["decision"]["reasons"] == ["outside_target_market"]
+
+
+def test_uniq(spark):
+    df = spark.createDataFrame([(["+1", " 555-3824", "A", "b", "a ", "", "141.168.246.231", "B"],), ([],), (None,)], "x array<string>")
+    got = [r["u"] for r in df.select(text.uniq(F.col("x")).alias("u")).collect()]
+    assert got == [["+1", "555-3824", "A", "b", "141.168.246.231"], [], None]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(100, 160)]
     star = [(5, x) for x in range(6, 90)]

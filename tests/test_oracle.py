@@ -7,7 +7,7 @@ from lodemark.plans import evidence, registry, texts  # noqa: F401
 duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = ["reputation_index", "daily_series", "driver_rows", "top_mentions", "text_fold", "clean_decision", "flatten_threads", "series_change", "stratified_sample", "upsert_append"]
+NAMES = ["reputation_index", "daily_series", "driver_rows", "top_mentions", "text_fold", "clean_decision", "decision_partitions", "array_uniq", "collision_bigrams", "flatten_threads", "series_change", "stratified_sample", "upsert_append"]
 
 
 def plain(v):
@@ -26,3 +26,8 @@ def test_same_rows(spark, name):
     got = sorted((tuple(plain(r[c]) for c in sorted(cols)) for r in df.collect()), key=str)
     want = sorted((tuple(plain(r[cols.index(c)]) for c in sorted(cols)) for r in rel.fetchall()), key=str)
     assert got == want
+
+
+def test_plan_reaches_all_decisions(spark):
+    rows = registry.QUERIES["decision_partitions"](spark, "/root/testdata/sf0.01").collect()
+    assert {r["decision"] for r in rows} == {"trusted", "review", "excluded"}

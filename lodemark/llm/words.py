@@ -38,7 +38,7 @@ _COEF = mix(np.arange(1, 65, dtype=U) * U(0xA0761D6478BD642F)) | U(1)
 _powers: list[np.ndarray] = []
 
 
-def _tables(n: int) -> list[np.ndarray]:
+def powers(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse, for places up to n."""
     if not _powers or len(_powers[0]) <= n:
         size = max(PIECE * 2, n + 1)
@@ -89,7 +89,7 @@ def word_hashes(data: np.ndarray, off: np.ndarray, lower: bool = False) -> tuple
         s = np.flatnonzero(word & (~pad[:-2] | mark[:-1]))
         e = np.flatnonzero(word & (~pad[2:] | mark[1:])) + 1
         if len(s):
-            p, q = _tables(len(b))
+            p, q = powers(len(b))
             c = np.concatenate(([U(0)], np.cumsum(table[b] * p[: len(b)], dtype=U)))
             h = (c[e] - c[s]) * q[s]
             hashes.append(mix(h + (e - s).astype(U) * U(0x8EBC6AF09C88C6E3)))

@@ -254,8 +254,10 @@ def test_samples_are_distinct_and_complete():
     model = spm.lattice(spm.MODEL, 0.3)
     text = "so €x"
     whole = 1
-    for unit in spm.UNIT.findall(spm.MARK + text.replace(" ", spm.MARK)):
-        whole *= len(list(all_segmentations(model, unit)))
+    cps, starts, _ = model.units([text])
+    for a, b in pairwise(starts.tolist()):
+        whole *= len(list(all_segmentations(model, "".join(map(chr, cps[a:b])))))
+    assert whole == len(list(all_segmentations(model, spm.MARK + text.replace(" ", spm.MARK))))  # nothing lost by the cuts
     out = spm.encode_batch([text], [5], whole + 5, 0.3, 0).to_pylist()
     assert len(out) == whole and len({r["ids_sha256"] for r in out}) == whole
     assert all(r["decoded"] and r["inclusion"] == 1.0 for r in out)
@@ -271,6 +273,41 @@ def test_samples_follow_their_weights():
         assert abs(share[k] / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-3
 
 
+def test_pairs_follow_the_draw_without_replacement():
+    """Ordered pairs against the probabilities of all segmentations, and the inclusion scores against the threshold."""
+    model, n = spm.lattice(spm.MODEL, 0.3), 3000
+    cand = {}
+    for seg in all_segmentations(model, spm.MARK + "so"):
+        cand[tuple(seg)] = math.exp(sum(model.weight[p] for p in seg))
+    total = sum(cand.values())
+    prob = {k: v / total for k, v in cand.items()}
+    rows = spm.encode_batch(["so"] * n, list(range(n)), 2, 0.3, 3).to_pylist()
+    pairs = Counter()
+    for a, b in zip(rows[::2], rows[1::2], strict=True):
+        x, y = tuple(a["ids"]), tuple(b["ids"])
+        assert math.isclose(math.exp(a["log_prob"]), prob[x], rel_tol=1e-5) and x != y
+        pairs[x, y] += 1
+        least = 1 - math.exp(-math.exp(b["log_prob"] - b["perturbed"]))  # the threshold is below the second sample
+        assert b["inclusion"] >= least - 1e-9
+    assert len(prob) >= 4
+    for x, p in prob.items():
+        for y, q in prob.items():
+            if x != y:
+                want = p * q / (1 - p)
+                assert abs(pairs[x, y] / n - want) < 5 * math.sqrt(want * (1 - want) / n) + 1e-3
+
+
+def test_kept_lattices_do_not_matter(monkeypatch):
+    texts = [f"some words {i} and more words, {i * 7919}" for i in range(40)] + [None, "", "x\u2581y"]
+    spm._models.clear()
+    want = spm.encode_batch(texts, list(range(43)), 2, 0.3, 0)
+    monkeypatch.setattr(spm, "KEEP", 50)
+    spm._models.clear()
+    got = [spm.encode_batch(texts[i : i + 5], list(range(i, min(i + 5, 43))), 2, 0.3, 0) for i in range(0, 43, 5)]
+    spm._models.clear()
+    assert [r for b in got for r in b.to_pylist()] == want.to_pylist()
+
+
 def test_sample_encodings(spark, odd_docs):
     out = spm.sample_encodings(odd_docs, k=2)
     rows = out.collect()

@@ -6,10 +6,13 @@ them can matter; by the prefix rule it is enough to post the k - match + 1 pairs
 are rarest in the corpus, and pairs that only one set has are skipped. Candidates whose collision
 count reaches ``match`` are confirmed on the full shingle sets.
 
-Large groups: equal sets are one vertex from the start. Each posting list first links its members
-to the member whose coordinates are the most common ones (the centre of a group of copies), then
-only members of different components are compared, in blocks: signatures first, full sets next, and
-what comes out is one link for each component met. No list is expanded into pairs, and none is cut.
+Equal sets are one vertex from the start. What the prefix lists connect is a family: all links lie
+inside families, so each set travels once, to its family. There a member's 32 lists are merged: the
+shortest ones give candidates, the longer ones are only probed for these, and a candidate goes as soon
+as it can no longer reach ``match``. Candidates of another component are confirmed on the full sets; a
+union-find keeps one link for each merge, so no list is expanded into pairs, and none is cut. A family
+whose sets are too large for one task is first linked to the centres of its lists; then members
+outside its largest component meet all members, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -23,10 +26,11 @@ from pyspark.sql import functions as F
 
 from lodemark.llm import words as W
 from lodemark.operators.components import connected_components
-from lodemark.session import cut
+from lodemark.session import cut, discard
 
 COORDS, MATCH, SHINGLE = 32, 14, 5
-BLOCK_OTHERS, BLOCK_ALL = 4096, 4096
+#: Shingles that a task holds at once, of a family or of each side of a block (8 bytes each).
+FAMILY = 4_000_000
 
 
 def _sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -82,7 +86,8 @@ def _blobs(n: int):
         for batch in batches:
             for p in range(0, batch.num_rows, 512):
                 part = batch.slice(p, 512)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([u.tobytes() for u in _sets(part.column("text"), n)], pa.binary())], ["id", "shingles"])
+                sets = pa.array([u.tobytes() for u in _sets(part.column("text"), n)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("family", "id", "sig", "large")), sets], ["family", "id", "sig", "large", "shingles"])
 
     return run
 
@@ -100,60 +105,132 @@ def _confirm(num: int, den: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Those of (a, b) whose full sets are similar enough. The larger rows travel by b, of which each has few."""
-    need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    blobs = cut(texts.join(need, "id").select("id", "text").mapInArrow(_blobs(shingle), "id long, shingles binary"))
-    left = blobs.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    right = blobs.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return cut(rows.mapInArrow(_confirm(percent, 100), "a long, b long"))
+def _find(up: np.ndarray, x: int) -> int:
+    while up[x] != x:
+        up[x] = up[up[x]]
+        x = up[x]
+    return x
 
 
-def _cross(match: int, num: int, den: int):
-    """Confirmed links between different components in each block (main, bo, ba) of a bucket of blocks.
+def _agreeing(token: np.ndarray, member: np.ndarray, own: np.ndarray, match: int, n: int) -> np.ndarray:
+    """Members on at least ``match`` of the posting lists of ``own``'s tokens.
 
-    Signatures that agree on ``match`` coordinates come first, then the full sets are compared. A
-    member gives one link for each component that it meets, so the answer is not quadratic.
+    ``token`` and ``member`` are the lists, by token and member. The shortest lists are merged; a
+    member that is on none of them cannot reach ``match``. Longer lists are probed for what is left.
     """
+    lo, hi = np.searchsorted(token, own, side="left"), np.searchsorted(token, own, side="right")
+    order = np.argsort(hi - lo, kind="stable")
+    prefix = len(own) - match + 1
+    count = np.bincount(np.concatenate([member[lo[i] : hi[i]] for i in order[:prefix]]), minlength=n)
+    left = np.flatnonzero(count)
+    count = count[left]
+    for rest, i in zip(range(len(own) - prefix, 0, -1), order[prefix:], strict=True):
+        able = count + rest >= match
+        left, count = left[able], count[able]
+        if not len(left):
+            break
+        row = member[lo[i] : hi[i]]
+        if len(row):
+            count = count + (row[np.minimum(np.searchsorted(row, left), len(row) - 1)] == left)
+    return left[count >= match]
+
+
+def _links(match: int, num: int, den: int):
+    """Confirmed links that join different components, for each block of a bucket.
+
+    Rows (block, id, comp, asks, all, sig, shingles): those that ask are compared with all that are of
+    another component. In a whole family everybody asks, but for the members of its centre's component.
+    """
+
+    def one_block(ids, comp, asks, every, sig, sets, out) -> None:
+        side, mine = np.flatnonzero(every), np.flatnonzero(asks)
+        flat = sig[side].ravel()
+        order = np.argsort(flat, kind="stable")
+        token, member = flat[order], (order // sig.shape[1]).astype(np.int64)
+        up = np.unique(comp, return_inverse=True)[1]  # numbers of the components
+        first = np.full(up.max() + 1, -1)
+        root = np.empty(len(up), np.int64)  # a union-find over rows, a component starting as one tree
+        for i, c in enumerate(up):
+            first[c] = i if first[c] < 0 else first[c]
+            root[i] = first[c]
+        whole = bool((asks & every).all())
+        centre = -1
+        if whole:  # the member on the longest lists goes first
+            _, which, size = np.unique(flat, return_inverse=True, return_counts=True)
+            weight = np.log2(size[which]).reshape(len(side), -1).sum(axis=1)
+            mine = mine[np.argsort(-weight[mine], kind="stable")]
+            centre = int(mine[0])
+        for p in mine.tolist():
+            if whole and p != centre and _find(root, p) == _find(root, centre):
+                continue
+            near = side[_agreeing(token, member, sig[p], match, len(side))]
+            own = sets[p]
+            for at in range(0, len(near), 256):
+                mark = _find(root, p)
+                some = np.array([q for q in near[at : at + 256].tolist() if _find(root, q) != mark], np.int64)
+                if not len(some):
+                    continue
+                joined = np.concatenate([sets[q] for q in some])
+                size = np.array([len(sets[q]) for q in some])
+                place = np.minimum(np.searchsorted(own, joined), len(own) - 1)
+                both = np.add.reduceat(own[place] == joined, np.cumsum(size) - size)
+                for q in some[den * both >= num * (size + len(own) - both)].tolist():
+                    x, y = _find(root, p), _find(root, q)
+                    if x != y:
+                        root[y] = x
+                        out.append((ids[p], ids[q]))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        main, bo, ba, ids, comp, other = (table.column(c).to_numpy() for c in ("main", "bo", "ba", "id", "comp", "is_other"))
+        block, ids, comp, asks, every = (table.column(c).to_numpy() for c in ("block", "id", "comp", "asks", "all"))
         sig = np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy() for c in table.column("sig").chunks)]).reshape(len(ids), -1)
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
-        order = np.lexsort((other, ba, bo, main))
-        main, bo, ba = main[order], bo[order], ba[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (main[1:] != main[:-1]) | (bo[1:] != bo[:-1]) | (ba[1:] != ba[:-1])
-        heads = np.flatnonzero(new)
-        out = []
+        order = np.lexsort((ids, block))
+        heads = np.flatnonzero(np.concatenate(([True], block[order][1:] != block[order][:-1])))
+        out: list[tuple[int, int]] = []
         for lo, hi in zip(heads, np.append(heads[1:], len(order)), strict=True):
             part = order[lo:hi]
-            mine, side = part[other[part]], part[~other[part]]
-            if not len(mine) or not len(side):
-                continue
-            s_side, c_side = sig[side], comp[side]
-            for p in mine:
-                near = side[((s_side == sig[p]).sum(axis=1) >= match) & (c_side != comp[p])]
-                own = sets[p]
-                for at in range(0, len(near), 256):
-                    some = near[at : at + 256]
-                    flat = np.concatenate([sets[q] for q in some])
-                    size = np.array([len(sets[q]) for q in some])
-                    place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-                    both = np.add.reduceat(own[place] == flat, np.cumsum(size) - size)
-                    hit = some[den * both >= num * (size + len(own) - both)]
-                    if len(hit):
-                        _, one = np.unique(comp[hit], return_index=True)
-                        out.append(np.stack([np.full(len(one), ids[p]), ids[hit[one]]], axis=1))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+            one_block(ids[part], comp[part], asks[part], every[part], sig[part], [sets[i] for i in part], out)
+        pairs = np.array(out, np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
 
 
-def near_duplicates(docs: DataFrame, coords: int = COORDS, match: int = MATCH, shingle: int = SHINGLE, percent: int = 75) -> DataFrame:
+BLOCKS = "block", "id", "comp", "asks", "all", "sig", "shingles"
+
+
+def _linked(blocks: DataFrame, buckets: int, match: int, percent: int) -> DataFrame:
+    """Links within blocks; blocks share tasks by the bucket of their number."""
+    rows = blocks.select(*BLOCKS, F.pmod(F.xxhash64("block"), F.lit(buckets)).alias("bucket"))
+    return rows.groupBy("bucket").applyInArrow(_links(match, percent, 100), "a long, b long")
+
+
+def _large_links(rows: DataFrame, posted: DataFrame, match: int, percent: int, limit: int) -> DataFrame:
+    """Links of the families that are too large for a task; ``rows`` (family, id, sig, shingles) is a written table."""
+    lists = posted.join(rows.select("id", "family").distinct(), "id")
+    hub = lists.groupBy("token").agg(F.max(F.struct("central", (-F.col("id")).alias("neg"))).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("token", (-F.col("m.neg")).alias("a"))
+    star = lists.join(hub, "token").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    left = rows.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("shingles").alias("x"))
+    right = rows.select(F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("shingles").alias("y"))
+    agree = F.size(F.array_intersect("sa", "sb")) >= match
+    near = star.join(left.drop("x"), "a").join(right.drop("y"), "b").where(agree).select("a", "b").distinct()
+    full = near.join(left.drop("sa"), "a").join(right.drop("sb"), "b").select("a", "b", "x", "y")
+    first = cut(full.mapInArrow(_confirm(percent, 100), "a long, b long").distinct())
+    comp = cut(connected_components(first, "a", "b"))
+    member = rows.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).withColumn("n", F.length("shingles") / 8)
+    per = member.groupBy("family", "comp").agg(F.sum("n").alias("n"))
+    size = per.groupBy("family").agg(F.sum("n").alias("whole"), F.max(F.struct("n", "comp")).alias("m"))
+    size = size.select("family", F.col("m.comp").alias("main"), F.ceil(F.col("whole") / limit).cast("int").alias("na"), F.ceil((F.col("whole") - F.col("m.n")) / limit).cast("int").alias("no")).where("no > 0")
+    member = member.join(size, "family")
+    h = F.abs(F.xxhash64("id"))
+    asking = member.where("comp <> main").withColumns({"asks": F.lit(True), "all": F.lit(False), "bo": F.pmod(h, "no"), "ba": F.explode(F.expr("sequence(0, na - 1)"))})
+    every = member.withColumns({"asks": F.lit(False), "all": F.lit(True), "bo": F.explode(F.expr("sequence(0, no - 1)")), "ba": F.pmod(h, "na")})
+    blocks = asking.unionByName(every).withColumn("block", F.xxhash64("family", "bo", "ba"))
+    return first.union(_linked(blocks, 1 << 16, match, percent))
+
+
+def near_duplicates(docs: DataFrame, coords: int = COORDS, match: int = MATCH, shingle: int = SHINGLE, percent: int = 75, limit: int = FAMILY) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (columns doc_id, text).
 
     Words are lower-cased in A-Z only. A text with fewer than ``shingle`` words has its whole
@@ -172,37 +249,30 @@ def near_duplicates(docs: DataFrame, coords: int = COORDS, match: int = MATCH, s
     mine = post.join(often, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("t"))
     lists = mine.select("id", F.aggregate("t", F.lit(0.0), lambda s, x: s + F.log2(x["freq"].cast("double"))).alias("central"), F.expr(f"transform(slice(t, 1, greatest(0, size(t) - {match - 1})), x -> x.token)").alias("t"))
     posted = cut(lists.select("id", "central", F.explode("t").alias("token")))
-    # 1: a star in each list, around its most central member
-    hub = posted.groupBy("token").agg(F.max(F.struct("central", (-F.col("id")).alias("neg"))).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("token", (-F.col("m.neg")).alias("hub"))
-    star = posted.join(hub, "token").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"), F.col("hub").alias("h"), "id").distinct()
-    sig_h, sig_i = reps.select(F.col("id").alias("h"), F.col("sig").alias("sh")), reps.select("id", F.col("sig").alias("si"))
-    agree = F.size(F.array_intersect("sh", "si")) >= match
-    star = cut(star.join(sig_h, "h").join(sig_i, "id").where(agree).select(F.col("h").alias("a"), F.col("id").alias("b")))
+    # families: what the prefix lists connect
+    head = posted.groupBy("token").agg(F.min("id").alias("h"))
+    family = cut(connected_components(posted.join(head, "token").where("id <> h").select("h", "id").distinct(), "h", "id"))
+    members = family.select("id", F.col("component").alias("family")).join(sets.select("id", "sig", "n_shingles"), "id")
+    size = members.groupBy("family").agg(F.sum("n_shingles").alias("whole"))
+    members = cut(members.join(size.select("family", (F.col("whole") > limit).alias("large")), "family"))
+    # each text travels once, by shuffle at every size, and its set once more, to its family
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
-    first = _confirmed(star, texts, shingle, percent)
-    comp1 = cut(connected_components(first, "a", "b"))
-    # 2: lists with more than one component: members outside the largest one against all others. Lists
-    # with the same largest component are taken together, so a set travels once for all of them.
-    member = posted.select("id", "token").join(comp1, "id", "left").select("token", "id", F.coalesce("component", "id").alias("comp"))
-    member = cut(member)
-    per = member.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-    top = per.groupBy("token").agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("m")).where("n > m.c").select("token", F.col("m.comp").alias("main"))
-    family = cut(member.join(top, "token").select("main", "id", "comp").distinct())
-    blobs = cut(texts.join(family.select("id").distinct(), "id").select("id", "text").mapInArrow(_blobs(shingle), "id long, shingles binary"))
-    size = family.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ALL).cast("int").alias("na"), F.ceil(F.count_if(F.col("comp") != F.col("main")) / BLOCK_OTHERS).cast("int").alias("no"))
-    rows = family.join(size, "main")
-    h = F.abs(F.xxhash64("id"))
-    others = rows.where("comp <> main").select("main", "id", "comp", F.lit(True).alias("is_other"), F.pmod(h, "no").cast("int").alias("bo"), F.explode(F.expr("sequence(0, na - 1)")).alias("ba"))
-    every = rows.select("main", "id", "comp", F.lit(False).alias("is_other"), F.explode(F.expr("sequence(0, no - 1)")).alias("bo"), F.pmod(h, "na").cast("int").alias("ba"))
-    blocks = others.unionByName(every).join(reps, "id").join(blobs, "id").withColumn("bucket", F.pmod(F.xxhash64("main", "bo", "ba"), F.lit(max(64, base.count() // 1000))))
-    second = cut(blocks.groupBy("bucket").applyInArrow(_cross(match, percent, 100), "a long, b long"))
+    held = texts.join(members.select("id", "family", "sig", "large").hint("shuffle_hash"), "id")
+    rows = held.mapInArrow(_blobs(shingle), "family long, id long, sig array<bigint>, large boolean, shingles binary")
+    total = members.agg(F.count_if("large").alias("large"), F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()
+    if total["large"]:
+        rows = cut(rows)
+    blocks = rows.where("NOT large").select(F.col("family").alias("block"), "id", F.col("id").alias("comp"), F.lit(True).alias("asks"), F.lit(True).alias("all"), "sig", "shingles")
+    second = _linked(blocks, max(64, 4 * total["n"] // limit), match, percent)
+    if total["large"]:
+        second = second.union(_large_links(rows.where("large").select("family", "id", "sig", "shingles"), posted, match, percent, limit))
+    second = cut(second)
+    for done in (posted, family, members, rows):
+        discard(done)
     same = full.join(sets.select("h1", "h2", "n_shingles", "id"), ["h1", "h2", "n_shingles"]).groupBy("doc_id").agg(F.min("id").alias("a"), F.collect_set("id").alias("ids"))
     same = same.where("size(ids) > 1").select("a", F.explode("ids").alias("b"))
-    la, lb = comp1.select(F.col("id").alias("a"), F.col("component").alias("ca")), comp1.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    more = second.union(same).join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    comp2 = connected_components(more, "a", "b")
-    comp = sets.select("id").distinct().join(comp1, "id", "left").select("id", F.coalesce("component", "id").alias("one"))
-    comp = comp.join(comp2.select(F.col("id").alias("one"), F.col("component").alias("two")), "one", "left").select("id", F.coalesce("two", "one").alias("component"))
+    found = connected_components(second.union(same), "a", "b")
+    comp = sets.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     of_set = sets.join(comp, "id", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "id").alias("set_component"))
     out = base.select("doc_id", "n_shingles", "h1", "h2").join(of_set, ["h1", "h2", "n_shingles"], "left")
     label = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("set_component"))

@@ -70,6 +70,30 @@ def test_near_duplicates_large_group(spark):
             w[int(rng.integers(60))] = f"y{i}"
         rows.append((i, " ".join(w), "s"))
     check_near(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, source string")), rows)
+    small = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    check_near(minhash.near_duplicates(small, limit=400), rows)  # families in blocks
+
+
+def test_agreeing_counts_all_lists():
+    rng = np.random.default_rng(4)
+    sig = (np.arange(8) << 32) | rng.integers(0, 3, (60, 8))
+    flat = sig.ravel()
+    order = np.argsort(flat, kind="stable")
+    for p in range(60):
+        got = minhash._agreeing(flat[order], order // 8, sig[p], 5, 60)
+        assert got.tolist() == np.flatnonzero((sig == sig[p]).sum(axis=1) >= 5).tolist()
+
+
+def test_recall_of_the_signatures():
+    """Pairs at the threshold are found with the chance that the README states."""
+    rng = np.random.default_rng(5)
+    missed = 0
+    for _ in range(400):
+        same, one, two = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (150, 25, 25))
+        a, b = np.concatenate((same, one)), np.concatenate((same, two))
+        mul = (words.mix(np.arange(1, 33, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)) | np.uint64(1))[:, None]
+        missed += int(((a * mul).min(axis=1) == (b * mul).min(axis=1)).sum() < minhash.MATCH)
+    assert missed <= 2
 
 
 def brute_removed(rows, width=13):

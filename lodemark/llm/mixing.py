@@ -6,7 +6,7 @@ earliest-deadline-first over the released blocks then keeps every source within
 of its target share at every point. When a source runs out, its weight is dealt out to those left in
 proportion and a new phase begins, so every row is placed.
 
-Only row counts by source reach the driver. The number of blocks is bounded by a parameter, whatever
+Only row counts by source reach the driver, of at most ``max_blocks`` sources. The number of blocks is bounded by a parameter, whatever
 the number of rows: the block size follows from it. A row finds its block through counts of bounded
 sub-groups of its source, so a source with a third of all rows is many tasks.
 """
@@ -79,8 +79,9 @@ def mix(docs: DataFrame, weights: dict[str | None, Fraction] | None = None, max_
     """
     spark = docs.sparkSession
     added = ["block", "phase", "release", "deadline", "position"]
-    docs = docs.drop(*added, "_s", "_g", "_r", "_n", "_before", "_start")
     counts = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(counts) > max_blocks:
+        raise ValueError(f"{len(counts)} sources; more than {max_blocks} have to be grouped first, since the schedule is drawn up on the driver")
     names = sorted(counts, key=lambda s: (s is None, s or ""))
     weights = target_weights(counts, power) if weights is None else weights
     size = max(1, -(-sum(counts.values()) // max_blocks))
@@ -92,7 +93,8 @@ def mix(docs: DataFrame, weights: dict[str | None, Fraction] | None = None, max_
     schema = "_s int, block long, phase int, release long, deadline long, _start long"
     schedule = spark.createDataFrame(plan, schema)
     sources = spark.createDataFrame([(i, s, max(1, -(-counts[s] // group_rows))) for i, s in enumerate(names)], "_s int, _name string, _n int")
-    rows = docs.join(F.broadcast(sources) if len(names) <= 10_000 else sources, F.col("source").cast("string").eqNullSafe(F.col("_name"))).drop("_name")
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "source")
+    rows = rows.join(F.broadcast(sources), F.col("source").cast("string").eqNullSafe(F.col("_name"))).drop("_name")
     h = F.xxhash64(F.col("doc_id"), F.lit(7))
     # groups are ranges of the hash, so that the order within a source is by hash throughout
     top = F.shiftrightunsigned(h, 32)
@@ -106,7 +108,7 @@ def mix(docs: DataFrame, weights: dict[str | None, Fraction] | None = None, max_
     ranked = rows.withColumn("_rank", rank).join(offsets, ["_s", "_g"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     placed = ranked.withColumn("block", F.floor(F.col("_rank") / F.lit(size)).cast("long")).join(F.broadcast(schedule), ["_s", "block"])
     placed = placed.withColumn("position", (F.col("_start") + F.col("_rank") - F.col("block") * size).cast("long"))
-    return placed.select(*docs.columns, *added)
+    return placed.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in added], *added)
 
 
 def mix_positions(docs: DataFrame) -> DataFrame:

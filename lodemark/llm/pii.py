@@ -175,16 +175,16 @@ def _drawn(made: str, words: str) -> str:
     return f"get(filter(array({made}), m -> size(array_distinct(m)) = size(m) AND NOT arrays_overlap(m, {words})), 0)"
 
 
-def pseudonymize(docs: DataFrame, secret: str = "lodemark", tweaks: int = TWEAKS) -> DataFrame:
+def pseudonymize(docs: DataFrame, secret: str, tweaks: int = TWEAKS) -> DataFrame:
     """The columns of ``docs`` with ``text`` replaced, and n_entities (long) and kinds (array of types, as found).
 
     A text without entities is returned unchanged; a null text stays null with 0 entities. Rows that
     repeat are treated alike. n_chars, where present, is left as it is. Input columns named as the
-    added ones are replaced.
+    added ones are replaced. Who has the key ``secret`` can undo the map, so there is no default.
     """
-    names = [c for c in docs.columns if c not in ("n_entities", "kinds", "tweak", "_m", "_p", "_n", "_g", "_gs", "_u", "_us", "_gaps", "_e", "_s", "_t")]
+    names = [c for c in docs.columns if c not in ("n_entities", "kinds")]
     union = _lit(UNION)
-    df = docs.select(*names).withColumn("_m", F.expr(f"coalesce(regexp_extract_all(text, {union}, 0), array())"))
+    df = docs.select(F.struct("*").alias("_row"), "text").withColumn("_m", F.expr(f"coalesce(regexp_extract_all(text, {union}, 0), array())"))
     df = df.withColumn("_n", F.expr(f"filter(_m, e -> {kind_sql('e')} = 'name')"))
     df = df.withColumn("_u", F.expr(f"array_distinct(transform(_n, e -> {_surname('e')}))"))
     df = df.withColumn("_g", F.expr(f"array_distinct(transform(filter(_n, e -> {_given('e')} <> ''), e -> concat({_gender('e')}, {_given('e')})))"))
@@ -201,12 +201,16 @@ def pseudonymize(docs: DataFrame, secret: str = "lodemark", tweaks: int = TWEAKS
         (g, m) -> IF(m IS NULL, array(g), array(g, element_at(_s, cast(array_position(_e, m) as int)))))))"""
     kinds = F.expr(f"transform(_m, e -> {kind_sql('e')})")
     return df.select(
-        *[F.when(found, F.expr(put)).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in names],
+        *[F.when(found, F.expr(put)).otherwise(F.col("text")).alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in names],
         F.size("_m").cast("long").alias("n_entities"),
         F.when(found, kinds).otherwise(F.array().cast("array<string>")).alias("kinds"),
     )
 
 
-def surrogates(docs: DataFrame) -> DataFrame:
+#: The key of the registered queries, whose results have to repeat; real data need a key of their own.
+QUERY_KEY = "public key of the queries"
+
+
+def surrogates(docs: DataFrame, secret: str = QUERY_KEY) -> DataFrame:
     """doc_id, text with surrogates, and the number and types of the entities."""
-    return pseudonymize(docs.select("doc_id", "text"))
+    return pseudonymize(docs.select("doc_id", "text"), secret)

@@ -4,6 +4,8 @@ from collections import Counter
 from itertools import pairwise
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from lodemark.llm import mixing, pii
 from lodemark.session import cut
 from tests.llm.conftest import SF, rows_of
@@ -61,5 +63,16 @@ def test_odd_rows(spark, odd_docs):
             break
 
 
+def test_clashing_columns_keep_their_values(spark, odd_docs):
+    names = ["w_", "g_", "text_", "n_lines", "n_words", "kept", "_m", "_e", "_row", "row", "tweak", "_s", "block", "position", "n_entities", "kinds", "kept_id", "_id"]
+    plain = odd_docs.select("doc_id", "text", "source").where("doc_id < 20")
+    docs = plain.select("*", *[F.concat(F.lit(f"{n}/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = cut(stage(spark, docs, SF))
+        rows = docs.collect()
+        assert rows and all(r[n] == f"{n}/{r['doc_id']}" for r in rows for n in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100

@@ -43,7 +43,7 @@ def test_quality_keeps_clean(spark):
 
 def test_rule_order_does_not_change_verdicts(spark, odd_docs):
     f = quality.base_figures(odd_docs.select("doc_id", "text"))
-    orders = [list(quality.RULES), list(reversed(quality.RULES)), quality.rule_order(f)]
+    orders = [list(quality.RULES), list(reversed(quality.RULES)), quality.rule_order(odd_docs)]
     a, b, c = ([r[0] for r in f.orderBy("doc_id", "text").select(quality.cascade(o)).collect()] for o in orders)
     assert a == b == c
 
@@ -85,7 +85,7 @@ PRIVATE = "Mail rlh.46@mail4.example.com or 23.200.152.31, card 4876179267539117
 
 def test_surrogates(spark):
     rows = [(1, PRIVATE), (2, PRIVATE + " again rlh.46@mail4.example.com"), (3, "nothing here, 45.1 and 9.9."), (4, None), (5, ""), (6, PRIVATE), (6, PRIVATE), (7, "a" * 200_000 + " x@y.org")]
-    out = pii.pseudonymize(spark.createDataFrame([(i, t, "k", 7) for i, t in rows], "doc_id int, text string, kinds string, n_entities int")).collect()
+    out = pii.pseudonymize(spark.createDataFrame([(i, t, "k", 7) for i, t in rows], "doc_id int, text string, kinds string, n_entities int"), "key").collect()
     got = {r["doc_id"]: r for r in out}
     assert len(out) == len(rows)
     text = got[1]["text"]
@@ -106,7 +106,7 @@ def test_secrets_go_to_their_end(spark):
     long = "".join(f"{i:04d}kq" for i in range(2000))
     jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NSJ9.SflKxwRJSMeKKF2QT4f"
     rows = [(1, f"token={long} end"), (2, f'auth: "{jwt}", and password=abcd1234. Next'), (3, f"api_key={long[:-1]}z end")]
-    got = {r["doc_id"]: r["text"] for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id int, text string"), "key").collect()}
     assert all(len(got[i]) == len(t) for i, t in rows) and got[1].endswith(" end") and got[2].endswith(". Next")
     assert not any(p in got[2] for p in (*jwt.split("."), "abcd1234")) and re.search(r'auth: "\w+\.\w+\.\w+", and', got[2])
     assert not any(long[k : k + 12] in got[1] for k in range(0, len(long) - 12, 6)) and got[1][6:-4] != got[3][8:-4]
@@ -116,7 +116,7 @@ def test_names_corefer(spark):
     text = "Mr John Smith came. Mr Smith left; Smith, or John Smith, and Smithson stayed. Mrs. John Brown. Smith's x@y.org"
     many = ", ".join(f"Mr. {a}{b}" for a in "ABCDEFGH" for b in ("bel", "cor", "dun", "eck")) + " and x@y.org"
     rows = [(1, text), (2, "Mr Smith and x@y.org"), (3, many)]
-    got = {r["doc_id"]: r for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id int, text string"), "key").collect()}
     m = re.fullmatch(r"Mr (\w+) (\w+) came\. Mr (\w+) left; (\w+), or (\w+) (\w+), and Smithson stayed\. Mrs\. (\w+) (\w+)\. (\w+)'s (\S+)", got[1]["text"])
     assert m and len({m[2], m[3], m[4], m[6], m[9]}) == 1 and m[1] == m[5] and not {"John", "Smith", "Brown"} & set(m.groups())
     assert m[8] != m[2] and m[7] in pii.NAMES["f", "latin"].split() and got[1]["kinds"].count("name") == 6
@@ -134,7 +134,7 @@ def test_surrogates_are_one_to_one(spark):
 
 def test_many_names_stay_distinct(spark):
     names = [f"Mr. {a}{b}" for a in ("Ab", "Ce", "Du") for b in "abcdefghijklmnopqrstuvwxyz"]
-    out = pii.pseudonymize(spark.createDataFrame([(1, ", ".join(names))], "doc_id int, text string")).first()
+    out = pii.pseudonymize(spark.createDataFrame([(1, ", ".join(names))], "doc_id int, text string"), "key").first()
     assert len(set(out["text"].split(", "))) == len(names)
 
 
@@ -169,6 +169,23 @@ def test_code_does_not_swallow_its_end(raw):
     assert html.main_text(f"<body>{raw}<article><p>All of it, kept.</p></article>{raw}<p>x</p>") == "All of it, kept."
 
 
+def test_mix_follows_the_schedule(spark):
+    rows = [(i, "a" if i % 3 else "b" if i % 2 else None, f"t{i}") for i in range(230)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, position string")
+    out = {r["doc_id"]: r["position"] for r in mixing.mix(df, max_blocks=40, group_rows=17).collect()}
+    h = {r["doc_id"]: r["h"] for r in df.select("doc_id", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(7)), 32).alias("h")).collect()}
+    names = ["a", "b", None]
+    queue = {s: sorted((i for i, t, _ in rows if t == s), key=lambda i: (h[i], i)) for s in names}
+    size = -(-230 // 40)
+    weights = mixing.target_weights({s: len(q) for s, q in queue.items()})
+    order = []
+    for i, j, *_ in mixing.pfair([-(-len(queue[s]) // size) for s in names], [weights[s] for s in names]):
+        order += queue[names[i]][j * size : (j + 1) * size]
+    assert [out[i] for i in order] == list(range(230))
+    with pytest.raises(ValueError, match="sources"):
+        mixing.mix(df, max_blocks=2)
+
+
 def test_extract(spark):
     rows = [(1, "u", PAGE, "x"), (2, None, None, "x"), (None, "u", "", "x"), (1, "u", PAGE, "x")]
     out = html.extract(spark.createDataFrame(rows, "page_id int, url string, html string, text string")).collect()

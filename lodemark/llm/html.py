@@ -3,10 +3,12 @@
 A page is read as a stream of tags and texts. Every text node has a tag path (element names from the
 root). For each path of a page the text length per node and the punctuation per node are summed up,
 spread over the node sequence, smoothed with a Gaussian kernel, multiplied (fused) and cut at a share
-of their standard deviation: the paths above it hold the prose. The smallest element around the nodes
-of these paths is the article; all its text is returned, short lines and headings too, except what
-the markup names as something else (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, comments of readers).
+of their standard deviation: the paths above it hold the prose. The deepest element that holds nearly
+all of the scores of these paths' nodes is the article, widened to an article or main element around it;
+all its text is returned, short lines and headings too, except what the markup names as something else
+(menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers).
+
+Paths are numbers and sums run once over the elements, so deep nesting costs no more than its length.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(>|$)|[^<]+|<", re.S)
-ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*(?:\"|$)|'[^']*(?:'|$))|=)*)(>|$)|[^<]+|<", re.S)
+ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 RAW_END = {n: re.compile(rf"</{n}(?=[\t\n\f\r />])", re.I | re.A) for n in RAW}
@@ -32,6 +34,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 DROP = frozenset("head nav footer aside form script style noscript template button select option textarea title iframe object svg math canvas audio video menu dialog fieldset xmp noembed noframes".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 IMPLIED = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "tbody": ("thead tbody tfoot tr td th", "table"), "tfoot": ("thead tbody tfoot tr td th", "table")}
+IMPLIED = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPLIED.items()}
 #: Names in class, id and role that mark something other than the article. Fixed list.
 OTHER = frozenset(
     "ad ads adv advert advertisement advertisements advertising adsense adbox banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager "
@@ -45,21 +48,21 @@ PUNCT = frozenset(".,;:!?…。，、；：！？")
 
 
 class Element:
-    __slots__ = ("drop", "name", "path", "up")
+    """``number`` counts the elements of a page, ``path`` its tag paths; ``body`` is whether an article or main is around it."""
+
+    __slots__ = ("body", "drop", "name", "number", "path", "up")
 
-    def __init__(self, name: str, up: Element | None, drop: bool, path: tuple[str, ...]):
-        self.name, self.up, self.drop, self.path = name, up, drop, path
+    def __init__(self, name: str, up: Element | None, drop: bool, path: int, number: int):
+        self.name, self.up, self.drop, self.path, self.number = name, up, drop, path, number
+        self.body = up is not None and (up.body or up.name in ("article", "main"))
 
 
-def _other(name: str, attrs: str, up: Element | None) -> bool:
+def _other(name: str, attrs: str, up: Element) -> bool:
     """Whether the markup says that an element is not article text."""
     if name in DROP:
         return True
     if name == "header":  # that of an article holds its title
-        e = up
-        while e is not None and e.name not in ("article", "main"):
-            e = e.up
-        return e is None
+        return not (up.body or up.name in ("article", "main"))
     if name in ("html", "body", "main", "article") or not attrs.strip():
         return False
     for m in ATTR.finditer(attrs):
@@ -94,10 +97,18 @@ def _raw_end(page: str, start: int, name: str) -> int:
     return len(page)
 
 
-def text_nodes(page: str) -> list[tuple[Element, int, str]]:
-    """(element, block number, text) of each text node outside dropped elements, in page order."""
-    root = Element("", None, False, ())
-    stack, block, out = [root], 0, []
+def text_nodes(page: str) -> tuple[list[tuple[Element, int, str]], list[Element]]:
+    """(element, block number, text) of each text node outside dropped elements, in page order, and all elements."""
+    root = Element("", None, False, 0, 0)
+    stack, block, out, elements = [root], 0, [], [root]
+    paths: dict[tuple[int, str], int] = {}
+    is_open: dict[str, int] = defaultdict(int)  # how many of a name are on the stack
+
+    def shut_from(i: int) -> None:
+        for e in stack[i:]:
+            is_open[e.name] -= 1
+        del stack[i:]
+
     tokens = TOKEN.finditer(page)
     while (m := next(tokens, None)) is not None:
         name = m[2]
@@ -116,9 +127,9 @@ def text_nodes(page: str) -> list[tuple[Element, int, str]]:
         if name not in INLINE:
             block += 1
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if is_open[name] else ():
                 if stack[i].name == name:
-                    del stack[i:]
+                    shut_from(i)
                     break
                 if name in INLINE and stack[i].name not in INLINE:  # an inline end does not close blocks
                     break
@@ -127,28 +138,31 @@ def text_nodes(page: str) -> list[tuple[Element, int, str]]:
             out.append((stack[-1], block, " "))
         if name in VOID:
             continue
-        if name in CLOSES_P:
+        if name in CLOSES_P and is_open["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == "p":
-                    del stack[i:]
+                    shut_from(i)
                     break
                 if stack[i].name not in INLINE:
                     break
         if name in IMPLIED:
-            shut, stop = (x.split() for x in IMPLIED[name])
-            for i in range(len(stack) - 1, 0, -1):
+            shut, stop = IMPLIED[name]
+            for i in range(len(stack) - 1, 0, -1) if any(is_open[x] for x in shut) else ():
                 if stack[i].name in stop:
                     break
                 if stack[i].name in shut:
-                    del stack[i:]
+                    shut_from(i)
                     break
         up = stack[-1]
-        stack.append(Element(name, up, up.drop or _other(name, m[3], up), (*up.path, name)))
+        path = paths.setdefault((up.path, name), len(paths) + 1)
+        stack.append(Element(name, up, up.drop or _other(name, m[3], up), path, len(elements)))
+        elements.append(stack[-1])
+        is_open[name] += 1
         if m[3].endswith("/") and name in ("svg", "path", "use"):
-            stack.pop()
+            shut_from(len(stack) - 1)
         elif name in RAW:  # inside script and the like only its end counts
             tokens = TOKEN.finditer(page, _raw_end(page, m.end(), name))
-    return out
+    return out, elements
 
 
 def _smooth(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -156,7 +170,7 @@ def _smooth(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(np.pad(x, 2), k, mode="valid") / np.convolve(np.pad(np.ones(len(x)), 2), k, mode="valid")
 
 
-def path_scores(nodes: list[tuple[tuple[str, ...], str]]) -> np.ndarray:
+def path_scores(nodes: list[tuple[int, str]]) -> np.ndarray:
     """Fused and smoothed tag-path ratios, one for each node."""
     length, punct, count = defaultdict(int), defaultdict(int), defaultdict(int)
     for path, text in nodes:
@@ -168,69 +182,63 @@ def path_scores(nodes: list[tuple[tuple[str, ...], str]]) -> np.ndarray:
     return _smooth(by_length) * _smooth(by_punct)
 
 
+HOLDS = 0.9  # share of the chosen paths' scores that the article holds
+
+
 def main_text(page: str | None, share: float = 0.8) -> str:
     """The article of a page; empty if there is none."""
     if not page:
         return ""
-    nodes = [(e, b, _html.unescape(t)) for e, b, t in text_nodes(page)]
-    full = [(e, b, t) for e, b, t in nodes if t.strip()]
-    if not full:
+    found, elements = text_nodes(page)
+    nodes = [(e, b, _html.unescape(t)) for e, b, t in found]
+    outer: list[Element] = []  # for each element the block around it, whose path stands for its inline parts
+    for e in elements:
+        outer.append(outer[e.up.number] if e.name in INLINE and e.up is not None else e)
+    blocks = [(outer[e.number], t) for e, _, t in nodes if t.strip()]
+    if not blocks:
         return ""
-    block_of = []  # a block's path stands for its inline parts
-    for e, _, t in full:
-        while e.name in INLINE and e.up is not None:
-            e = e.up
-        block_of.append((e, t))
-    scores = path_scores([(e.path, t) for e, t in block_of])
+    scores = path_scores([(e.path, t) for e, t in blocks])
     cut = share * scores.std()
-    best: dict[tuple[str, ...], float] = defaultdict(float)
-    for (e, _), s in zip(block_of, scores, strict=True):
+    best: dict[int, float] = defaultdict(float)
+    for (e, _), s in zip(blocks, scores.tolist(), strict=True):
         best[e.path] = max(best[e.path], s)
-    chosen = [e for e, _ in block_of if best[e.path] >= cut]
-    article = _article(chosen or [e for e, _ in block_of])
+    mass = [0.0] * len(elements)
+    for (e, _), s in zip(blocks, scores.tolist(), strict=True):
+        if best[e.path] >= cut:
+            mass[e.number] += s
+    top = _article(elements, mass)
+    inside = [False] * len(elements)
+    for e in elements:
+        inside[e.number] = e is top or e.up is not None and inside[e.up.number]
     parts: dict[int, list[str]] = defaultdict(list)
     for e, b, t in nodes:
-        if _within(e, article):
+        if inside[e.number]:
             parts[b].append(t)
     lines = (" ".join("".join(p).split()) for p in parts.values())
     return "\n".join(x for x in lines if x)
 
 
-def _chain(e: Element) -> list[Element]:
-    out = []
-    while e is not None:
-        out.append(e)
-        e = e.up
-    return out[::-1]
-
-
-def _article(chosen: list[Element]) -> Element:
-    """The article or main element around the prose if there is one, else the smallest element around all of it."""
-    common = _chain(chosen[0])
-    for e in chosen[1:]:
-        other = _chain(e)
-        n = 0
-        while n < min(len(common), len(other)) and common[n] is other[n]:
-            n += 1
-        common = common[:n]
-    for e in reversed(common):
-        if e.name in ("article", "main"):
-            return e
-    inside = [x for c in chosen for x in _chain(c) if x.name in ("article", "main")]
-    if inside:  # prose outside the article does not widen it
-        return max(set(inside), key=lambda x: (inside.count(x), len(x.path)))
-    last = common[-1]
-    while last.name in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "td") and last.up is not None:
-        last = last.up
-    return last
-
-
-def _within(e: Element | None, top: Element) -> bool:
-    while e is not None:
-        if e is top:
-            return True
-        e = e.up
-    return False
+def _article(elements: list[Element], mass: list[float]) -> Element:
+    """The deepest element with nearly all of the mass, which is summed up from the leaves; of text-level
+    elements the one around them; if an article or main is around it, or inside it holds most of the mass, that one."""
+    mass = list(mass)
+    for e in reversed(elements[1:]):
+        mass[e.up.number] += mass[e.number]
+    top = elements[0]
+    for e in elements[1:]:  # those with more than half of the mass are one chain, outer ones first
+        if mass[e.number] >= HOLDS * mass[0]:
+            top = e
+    around = top
+    while around is not None:
+        if around.name in ("article", "main"):
+            return around
+        around = around.up
+    inner = [e for e in elements if e.name in ("article", "main") and mass[e.number] > 0.5 * mass[0]]
+    if inner:
+        return inner[-1]
+    while top.name in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "td") and top.up is not None:
+        top = top.up
+    return top
 
 
 def _runner(share: float) -> Callable:

@@ -7,6 +7,7 @@ from collections import Counter
 from fractions import Fraction
 from itertools import pairwise
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,6 +187,27 @@ def test_mix_follows_the_schedule(spark):
         mixing.mix(df, max_blocks=2)
 
 
+BARE = (
+    "<html><body><div><ul>" + "".join(f"<li><a href=/{i}>Item {i}</a></li>" for i in range(12)) + "</ul></div><div><div><h1>Some title</h1>"
+    + "".join(f"<p>A paragraph of real prose, number {i}, that goes on; and on, for a while.</p>" for i in range(6))
+    + "<p>Short.</p></div></div><div><span>Legal</span> <span>Imprint</span></div></body></html>"
+)  # no article, no names: only the ratios tell
+
+
+def test_ratios_choose_the_article(monkeypatch):
+    want = "Some title\n" + "".join(f"A paragraph of real prose, number {i}, that goes on; and on, for a while.\n" for i in range(6)) + "Short."
+    assert html.main_text(BARE) == want
+    rng = np.random.default_rng(0)
+    monkeypatch.setattr(html, "path_scores", lambda nodes: rng.random(len(nodes)))
+    assert html.main_text(BARE) != want
+
+
+def test_quotes_and_depth():
+    assert html.main_text("<p>first</p><p title=don't>x</p> hello world<p>tail</p>") == "first\nx\nhello world\ntail"
+    assert html.main_text("<p title = \"a > b\" id='c>d'>x</p><p a=\"b>y</p>") == "x"
+    assert html.main_text("<div>" * 60_000 + "x, y. " + "<b>" * 30_000 + "z") == "x, y. z"
+
+
 def test_extract(spark):
     rows = [(1, "u", PAGE, "x"), (2, None, None, "x"), (None, "u", "", "x"), (1, "u", PAGE, "x")]
     out = html.extract(spark.createDataFrame(rows, "page_id int, url string, html string, text string")).collect()

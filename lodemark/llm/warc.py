@@ -3,8 +3,9 @@
 Pages are written as records of one gzip member each. Equal payloads are stored once: the page of
 smallest id is the response, the others are revisits that name it. Captures are sorted by their URL
 key (host reversed) and written in compressed blocks of lines; a sparse directory keeps the first and
-last key of each block. A lookup finds the blocks in the directory, binary-searches the lines, and
-then reads one byte range of one archive.
+last key of each block. A lookup finds the index file by its key range, the blocks in the directory and
+the lines in a block by binary search, and then reads one byte range of one archive. Many keys are
+looked up together: they meet the directory of their index file in one task each.
 
 Files are written below the shared folder through its own file system. A task names its files by a
 random suffix and reports what it wrote, so a repeated or speculative attempt leaves files that
@@ -27,10 +28,13 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemark.session import cut, work_dir
+from lodemark.session import cut, discard, work_dir
 
 BLOCK_LINES = 300
 FILE_BYTES = 1 << 30
+INDEX_ROWS = 100_000  # captures of an index file
+READ_BYTES = 64 << 20  # stored bytes that one task reads back
+MAX_INDEX_FILES = 200_000  # key ranges that a task may hold to find the file of a key
 DATE = "2024-01-01T00:00:00Z"
 CAPTURE = "urlkey string, page_id long, file string, offset long, length long"
 BLOCK = "first_key string, last_key string, file string, offset long, length long, lines int"
@@ -192,23 +196,85 @@ def _open_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     files.close()
 
 
+def _router(los: list[str], his: list[str], names: list[str]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, files = [], []
+            for key in batch.column("urlkey").to_pylist():
+                for i in range(bisect.bisect_left(his, key), bisect.bisect_right(los, key)):
+                    keys.append(key)
+                    files.append(names[i])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(files, pa.string())], ["urlkey", "file"])
+
+    return run
+
+
+def _find_lines(asked: pa.Table, blocks: pa.Table) -> pa.Table:
+    """Captures of the asked keys of one index file: blocks by binary search in the directory, lines by binary search in the block."""
+    rows = sorted(zip(*(blocks.column(c).to_pylist() for c in ("offset", "first_key", "last_key", "file", "length")), strict=True))
+    firsts, lasts = [r[1] for r in rows], [r[2] for r in rows]
+    wanted: dict[int, list[str]] = {}
+    for key in asked.column("urlkey").to_pylist():
+        for i in range(bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key)):
+            wanted.setdefault(i, []).append(key)
+    files, out = _Files(), []
+    for i, keys in sorted(wanted.items()):
+        lines = _block_lines(files.read(rows[i][3], rows[i][0], rows[i][4]))
+        have = [x[0] for x in lines]
+        for key in keys:
+            out += lines[bisect.bisect_left(have, key) : bisect.bisect_right(have, key)]
+    files.close()
+    cols = list(zip(*out, strict=True)) if out else [()] * 5
+    types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+    return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["urlkey", "page_id", "file", "offset", "length"])
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in batch.column("url").to_pylist()], pa.string())], ["urlkey"])
+
+
+def url_keys(pages: DataFrame) -> DataFrame:
+    """(urlkey) of the URLs of ``pages``, each once."""
+    return pages.select(F.col("url").cast("string").alias("url")).mapInArrow(_keys, "urlkey string").distinct()
+
+
 class Archive:
-    """Archives with their capture index below ``folder``."""
+    """Archives with their capture index below ``folder``; ``stored`` is the number of bytes of all records."""
 
-    def __init__(self, spark: SparkSession, folder: str, directory: DataFrame):
-        self.spark, self.folder, self.directory = spark, folder, directory
+    def __init__(self, spark: SparkSession, folder: str, directory: DataFrame, stored: int):
+        self.spark, self.folder, self.directory, self.stored = spark, folder, directory, stored
 
     def captures(self) -> DataFrame:
         """(file, offset, length) of all captures, from all blocks of the index."""
         n = self.spark.sparkContext.defaultParallelism
         return self.directory.repartition(n, "file", "offset").mapInArrow(_open_blocks, "file string, offset long, length long")
 
-    def read_back(self) -> DataFrame:
-        """A row for each record of the archives, parsed from its byte range."""
-        near = self.captures().withColumn("_part", F.expr("shiftright(offset, 22)"))
-        near = near.repartition(F.col("file"), F.col("_part")).sortWithinPartitions("file", "offset")
+    def find(self, keys: DataFrame) -> DataFrame:
+        """(urlkey, page_id, file, offset, length) of the captures under ``keys`` (urlkey, each once).
+
+        The key ranges of the index files, one for ``INDEX_ROWS`` captures, are the only thing that the
+        driver sees; their number is checked.
+        """
+        ranges = self.directory.groupBy("file").agg(F.min("first_key").alias("lo"), F.max("last_key").alias("hi"))
+        files = ranges.orderBy("lo", "hi").limit(MAX_INDEX_FILES + 1).collect()
+        if len(files) > MAX_INDEX_FILES:
+            raise ValueError("too many index files; write them with more captures each")
+        route = _router([r["lo"] for r in files], [r["hi"] for r in files], [r["file"] for r in files])
+        asked = keys.mapInArrow(route, "urlkey string, file string")
+        return asked.groupBy("file").cogroup(self.directory.groupBy("file")).applyInArrow(_find_lines, CAPTURE)
+
+    def read(self, captures: DataFrame) -> DataFrame:
+        """A row for each capture, parsed from its byte range; tasks are dealt by stored bytes, neighbours together."""
+        parts = max(self.spark.sparkContext.defaultParallelism, -(-self.stored // READ_BYTES))
+        near = captures.select("file", "offset", "length", F.expr("shiftright(offset, 22)").alias("_part"))
+        near = near.repartition(parts, "file", "_part").sortWithinPartitions("file", "offset")
         return near.select("file", "offset", "length").mapInArrow(_open_records, RESULT)
 
+    def read_back(self) -> DataFrame:
+        """A row for each record of the archives."""
+        return self.read(self.captures())
+
     def lookup(self, url: str) -> list[tuple[dict[str, str], bytes]]:
         """Records (headers, payload as stored) captured under a URL: directory, block, lines, byte range."""
         key, files, out = url_key(url), _Files(), []
@@ -240,11 +306,20 @@ def write_archive(pages: DataFrame, folder: str | None = None, min_bytes: int =
     revisit = F.coalesce(~F.col("page_id").eqNullSafe(F.col("_first")) & F.col("_first").isNotNull(), F.lit(False))
     rows = rows.select("page_id", "url", "html", F.when(revisit, F.col("_first")).alias("refers_to"), revisit.alias("revisit"))
     captures = cut(rows.mapInArrow(_writer(f"{folder}/archive", file_bytes), CAPTURE))
-    ordered = captures.repartitionByRange("urlkey", "page_id", "offset").sortWithinPartitions("urlkey", "page_id", "file", "offset")
+    size = captures.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
+    files = max(spark.sparkContext.defaultParallelism, -(-size["n"] // INDEX_ROWS))
+    ordered = captures.repartitionByRange(files, "urlkey", "page_id", "offset").sortWithinPartitions("urlkey", "page_id", "file", "offset")
     directory = cut(ordered.mapInArrow(_indexer(f"{folder}/index", block_lines), BLOCK))
-    return Archive(spark, folder, directory)
+    discard(captures)
+    return Archive(spark, folder, directory, size["bytes"])
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to), read back from the archives written."""
-    return write_archive(pages).read_back()
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to), read back from the archives written:
+    every URL of ``pages`` is looked up in the index.
+
+    Nulls, empty and repeated rows are treated as ``write_archive`` says: each row of ``pages`` is one
+    record, so repeated rows come back as often; an empty table gives an empty result.
+    """
+    archive = write_archive(pages)
+    return archive.read(archive.find(url_keys(pages)))

@@ -236,6 +236,19 @@ def test_warc(spark, tmp_path):
     small = warc.write_archive(df, f"file://{tmp_path}/v", min_bytes=5).read_back().where("record_type = 'revisit'").collect()
     assert small == [] or {r["payload_bytes"] for r in small} <= {len(b"other \xc3\xbc"), 250_000}
     assert warc.round_trip(df.limit(0)).collect() == []
+    assert Counter(tuple(r) for r in warc.round_trip(df).collect()) == want
+    asked = spark.createDataFrame([(warc.url_key("http://www.b.org/x"),), ("org,absent)/",), (")",)], "urlkey string")
+    assert sorted((r["urlkey"], r["page_id"]) for r in archive.find(asked).collect()) == [(")", 2), ("org,b)/x", 3), ("org,b)/x", 9)]
+
+
+def test_hot_key_over_many_index_files(spark, tmp_path):
+    df = spark.createDataFrame([(i, "http://hot.org/" if i % 3 else f"http://h{i}.org/", f"page {i % 50}") for i in range(900)], "page_id long, url string, html string").repartition(6)
+    archive = warc.write_archive(df, f"file://{tmp_path}/w", block_lines=7)
+    assert archive.directory.select("file").distinct().count() > 1
+    found = archive.find(warc.url_keys(df))
+    assert found.count() == 900 and found.select("page_id").distinct().count() == 900
+    got = archive.read(found).collect()
+    assert sorted(r["page_id"] for r in got) == list(range(900)) and sum(r["record_type"] == "response" for r in got) == 50
 
 
 def test_url_key():

@@ -55,14 +55,12 @@ def local_day(raw: Column) -> Column:
 def scalar_paths(df: DataFrame, column: str) -> DataFrame:
     """(path, value) of the scalars two levels deep in a JSON column; of an array its first element."""
     v = df.select(F.try_parse_json(column).alias("v")).where("v IS NOT NULL")
-    v.createOrReplaceTempView("_lodemark_variants")
-    spark = df.sparkSession
-    one = spark.sql("SELECT x.key AS k, x.value AS v FROM _lodemark_variants, LATERAL variant_explode(v) AS x WHERE x.key IS NOT NULL")
+    one = v.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()).select("key", "value")).where("key IS NOT NULL").select(F.col("key").alias("k"), F.col("value").alias("v"))
     kind = F.schema_of_variant("v")
     flat = one.where(~kind.startswith("OBJECT") & ~kind.startswith("ARRAY")).select(F.concat(F.lit("$."), "k").alias("path"), F.try_variant_get("v", "$", "string").alias("value"))
     deep = one.where(kind.startswith("OBJECT"))
-    deep.createOrReplaceTempView("_lodemark_variants_2")
-    two = spark.sql("SELECT concat('$.', k, '.', x.key) AS path, try_variant_get(x.value, '$', 'string') AS value FROM _lodemark_variants_2, LATERAL variant_explode(v) AS x")
+    two = deep.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()).select(F.col("key").alias("key2"), F.col("value").alias("value2")))
+    two = two.select(F.concat(F.lit("$."), "k", F.lit("."), "key2").alias("path"), F.try_variant_get("value2", "$", "string").alias("value"))
     return flat.unionByName(two)
 
 
@@ -76,11 +74,20 @@ def infer_mapping(spark: SparkSession, columns: list[str], aliases: dict[str, tu
     return spark.createDataFrame(rows, "field string, path string, score double")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of both tables, one for each key: those of ``new`` win; within a table any row of a key may stay."""
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Rows of both tables, one for each key: those of ``new`` win, and within a table the last by ``order``.
+
+    Without ``order`` keys have to be unique within each table; any of several rows may stay.
+    """
     rest = [c for c in old.columns if c not in keys]
-    both = old.select(*keys, F.lit(0).alias("_v"), F.struct(*rest).alias("_r")).union(new.select(*keys, F.lit(1).alias("_v"), F.struct(*rest).alias("_r")))
-    return both.groupBy(*keys).agg(F.max_by("_r", "_v").alias("_r")).select(*keys, "_r.*")
+    at = F.lit(0) if order is None else F.col(order)
+    side = lambda df, v: df.select(*keys, F.struct(F.lit(v).alias("v"), at.alias("o")).alias("_v"), F.struct(*rest).alias("_r"))
+    return side(old, 0).union(side(new, 1)).groupBy(*keys).agg(F.max_by("_r", "_v").alias("_r")).select(*keys, "_r.*")
+
+
+def added(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``new`` whose keys ``old`` does not have."""
+    return new.join(old.select(*keys).distinct(), keys, "left_anti")
 
 
 def same_ids(asked: DataFrame, got: DataFrame, batch: str, key: str) -> DataFrame:

@@ -26,14 +26,27 @@ def first_seen(events: DataFrame, late: str = "1 day", keys: tuple[str, ...] = (
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def append_batches(events: DataFrame, path: str, checkpoint: str, key: str = "id") -> StreamingQuery:
+def near_in_time(left: DataFrame, right: DataFrame, key: str, hours: int = 6, late: str = "2 hours") -> DataFrame:
+    """Pairs of events of two streams (id, ts, ``key``) with equal keys and at most ``hours`` apart.
+
+    Both watermarks and the interval bound the state: a row goes once no partner can come.
+    """
+    l = left.where("ts IS NOT NULL").withWatermark("ts", late).select(F.col("id").alias("id_a"), F.col("ts").alias("ts_a"), F.col(key).alias("key_a"))  # noqa: E741
+    r = right.where("ts IS NOT NULL").withWatermark("ts", late).select(F.col("id").alias("id_b"), F.col("ts").alias("ts_b"), F.col(key).alias("key_b"))
+    span = F.expr(f"INTERVAL {int(hours)} HOURS")
+    return l.join(r, (F.col("key_a") == F.col("key_b")) & (F.col("ts_b") >= F.col("ts_a") - span) & (F.col("ts_b") <= F.col("ts_a") + span)).select("id_a", "id_b", "ts_a", "ts_b")
+
+
+def append_batches(events: DataFrame, path: str, checkpoint: str, key: str = "id", order: str = "ts") -> StreamingQuery:
     """Write micro-batches below ``path``, one folder a batch, so a repeated batch overwrites itself.
 
-    ``latest`` gives the table: the last value of each key wins.
+    Within a batch the last row of a key by ``order`` stays; ``latest`` gives the table: the last value of each key wins.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates([key]).withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        rest = [c for c in batch.columns if c != key]
+        last = batch.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(order)).alias("r")).select(key, "r.*")
+        last.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

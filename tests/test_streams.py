@@ -28,3 +28,13 @@ def test_cached_annotations(spark):
 
     got = {r["fingerprint"]: r["score"] for r in io.annotate_missing(records, cache, provider, schema).collect()}
     assert got == {"k1": 1.0, "k2": -1.0}
+
+
+def test_near_in_time(spark, tmp_path):
+    rows = [(1, "2024-01-01 00:00:00", "k"), (2, "2024-01-01 05:59:00", "k"), (3, "2024-01-01 06:01:00", "k"), (4, "2024-01-01 01:00:00", "m"), (5, None, "k")]
+    df = spark.createDataFrame(rows, "id int, ts string, k string").withColumn("ts", F.to_timestamp("ts"))
+    df.write.parquet(f"{tmp_path}/in")
+    read = lambda: spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    q = S.near_in_time(read(), read(), "k").where("id_a < id_b").writeStream.format("memory").queryName("near_in_time").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {(r["id_a"], r["id_b"]) for r in spark.table("near_in_time").collect()} == {(1, 2), (2, 3)}

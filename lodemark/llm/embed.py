@@ -83,16 +83,6 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _usable(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Marks vectors without null, non-finite or only zero components."""
-    for pdf in batches:
-        good = []
-        for v in pdf["v"]:
-            x = np.array([np.nan if t is None else t for t in v], np.float64) if v is not None else np.zeros(0)
-            good.append(bool(len(x) and np.isfinite(x).all() and (x != 0).any()))
-        yield pdf[good]
-
-
 def _walk(books: tuple[np.ndarray, np.ndarray], limit: float) -> Callable:
     one, two = books
 
@@ -170,7 +160,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, sample: int = SAMPLE,
     columns are ignored; an empty table gives an empty result.
     """
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label"))
-    usable = vectors.where("vec_id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL AND size(v) > 0").mapInPandas(_usable, vectors.schema)
+    sound = "forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(v, x -> x <> 0)"
+    usable = vectors.where("vec_id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL AND size(v) > 0").where(sound)
     label = F.concat_ws(":", F.size("v").cast("string"), "label")  # another length is another space
     classes = cut(usable.withColumn("label", label).groupBy("label", "v").agg(F.min("vec_id").alias("cid"), F.count(F.lit(1)).alias("n")))
     labels = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodemark.functions import scores
 from lodemark.operators import aggregate as A
+from lodemark.operators import inventory as I  # noqa: E741
 from lodemark.plans.registry import query
 from lodemark.sources import fixtures as X
 from lodemark.sources.fixtures import EMOTIONS
@@ -546,19 +547,76 @@ def quality_report(spark, sf, target: int = 5000, wanted_sources: int = 5):
     return t.select(n.alias("total_records"), F.col("trusted").alias("trusted_records"), F.col("excluded").alias("excluded_records"), A.r(scores.clamp(s, 0.0, 100.0), 3).alias("score"), F.when(s >= 80, "high").when(s >= 60, "medium").otherwise("low").alias("label"))
 
 
-@query(f"""{EW} SELECT 'total_volume' AS id, true AS available, CAST(count(*) AS VARCHAR) AS value FROM weighted UNION ALL SELECT 'unique_authors', true, CAST(count(DISTINCT author) AS VARCHAR) FROM weighted
-UNION ALL SELECT 'index_band', ({_MEAN}) IS NOT NULL, CASE WHEN {_IDX} < 45 THEN 'negative' WHEN {_IDX} > 55 THEN 'positive' ELSE 'neutral_band' END FROM weighted
-UNION ALL SELECT 'leading_narrative', true, (SELECT narrative FROM weighted WHERE eligible GROUP BY 1 ORDER BY round(sum(reputation_weight), 6) DESC, narrative LIMIT 1)
-UNION ALL SELECT 'first_day', true, min(day) FROM weighted UNION ALL SELECT 'last_day', true, max(day) FROM weighted""")
+def _listed(pattern: str, columns: str, source: str, order: str, limit: int) -> str:
+    return f"(SELECT CASE WHEN count(*) > 0 THEN '[' || string_agg(printf('{pattern}', {columns}), ',' ORDER BY k) || ']' END FROM (SELECT *, row_number() OVER (ORDER BY {order}) AS k FROM {source}) WHERE k <= {limit})"
+
+
+def _counted(field: str, labels: tuple[str, ...], only: str) -> str:
+    whole = f"count(*) FILTER (WHERE {only} AND {field} IN ({', '.join(repr(x) for x in labels)}))"
+    pattern = '{"records":%d,' + ",".join(f'"{x}":%d' for x in labels) + "}"
+    each = ", ".join(f"count(*) FILTER (WHERE {only} AND {field} = '{x}')" for x in labels)
+    return f"(SELECT CASE WHEN {whole} > 0 THEN printf('{pattern}', {whole}, {each}) END FROM q)"
+
+
+def _drivers(key: str) -> str:
+    return f"(SELECT name, round(50 * ws / sum(w) OVER (), 4) AS points FROM (SELECT {key} AS name, sum(reputation_weight) AS w, sum(reputation_weight * sentiment_score) AS ws FROM q WHERE eligible GROUP BY 1))"
+
+
+def _copied(key: str, kind: str, least: int, people: int) -> str:
+    return f"(SELECT {key} AS name, count(*) AS records, count(DISTINCT author) AS authors FROM q WHERE content_class = '{kind}' GROUP BY 1 HAVING count(*) >= {least} AND count(DISTINCT author) >= {people})"
+
+
+def _loudest(group: str) -> str:
+    return f"(SELECT author AS name, round(sum(impact_score), 6) AS attention FROM q WHERE origin_group = '{group}' GROUP BY 1)"
+
+
+_POINTS, _COPIES = '{"name":"%s","points":%.4f}', '{"name":"%s","records":%d,"authors":%d}'
+_VALUES = {
+    "sample_volume": """(SELECT printf('{"records":%d,"eligible":%d,"organic":%d,"trusted":%d,"voices":%.4f}', n, eligible, organic, trusted, round(voices, 4)) FROM t)""",
+    "market_relevance": """(SELECT printf('{"records":%d,"high":%d,"share":%.4f,"average":%.4f}', scored, high, round(high / scored, 4), round(market, 4)) FROM t)""",
+    "brand_reputation": """(SELECT printf('{"index":%.2f,"interpretation":"%s"}', round(idx, 2), CASE WHEN idx < 45 THEN 'negative' WHEN idx > 55 THEN 'positive' ELSE 'neutral_band' END) FROM t)""",
+    "evidence_confidence": """(SELECT printf('{"score":%.2f,"label":"%s"}', round(score, 2), CASE WHEN score >= 75 THEN 'high' WHEN score >= 50 THEN 'medium' ELSE 'low' END) FROM v)""",
+    "sentiment": _counted("sentiment_label", SENTIMENTS, "eligible"),
+    "emotions": _counted("primary_emotion", EMOTIONS, "opinion_eligible"),
+    "stance": _counted("target_stance", STANCES, "true"),
+    "impact_attention": """(SELECT printf('{"known":%d,"records":%d,"share":%.4f}', known, n, round(known / n, 4)) FROM t)""",
+    "effective_independent_voices": """(SELECT printf('{"voices":%.4f}', round(voices, 4)) FROM t)""",
+    "origin_breakdown": _counted("origin_group", GROUPS, "true"),
+    "source_breakdown": _listed('{"name":"%s","records":%d}', "name, records", "(SELECT platform AS name, count(*) AS records FROM q GROUP BY 1)", "records DESC, name", 50),
+    "positive_narrative_drivers": _listed(_POINTS, "name, points", f"(SELECT * FROM {_drivers('narrative')} WHERE points > 0)", "abs(points) DESC, name", 10),
+    "negative_narrative_drivers": _listed(_POINTS, "name, points", f"(SELECT * FROM {_drivers('narrative')} WHERE points < 0)", "abs(points) DESC, name", 10),
+    "topic_drivers": _listed(_POINTS, "name, points", _drivers("topic"), "abs(points) DESC, name", 10),
+    "media_influence": _listed('{"name":"%s","attention":%.4f}', "name, round(attention, 4)", _loudest("media"), "attention DESC, name", 10),
+    "people_influence": _listed('{"name":"%s","attention":%.4f}', "name, round(attention, 4)", _loudest("person"), "attention DESC, name", 10),
+    "time_trends": """(SELECT CASE WHEN days >= 2 THEN printf('{"days":%d,"first":"%s","last":"%s"}', days, lo, hi) END FROM t)""",
+    "numeric_anomalies": _listed('{"day":"%s","flags":"%s"}', "day, flags", f"(SELECT day, array_to_string({_FLAG}, ',') AS flags FROM z WHERE len({_FLAG}) > 0)", "day", 50),
+    "data_quality": """(SELECT printf('{"score":%.2f,"label":"%s"}', round(quality, 2), CASE WHEN quality >= 80 THEN 'high' WHEN quality >= 60 THEN 'medium' ELSE 'low' END) FROM v)""",
+    "source_coverage": """(SELECT printf('{"ratio":%.4f,"sources":%d}', round(coverage, 4), sources) FROM v)""",
+    "sample_achievement": """(SELECT printf('{"ratio":%.4f,"trusted":%d}', round(trusted / 5000.0, 4), trusted) FROM t)""",
+    "authenticity_risk": """(SELECT printf('{"low":%d,"share":%.4f}', low, round(low / n, 4)) FROM t)""",
+    "coordination": _listed(_COPIES, "name, records, authors", _copied("narrative", "organic", 3, 2), "records DESC, name", 10),
+    "story_syndication": _listed(_COPIES, "name, records, authors", _copied("topic", "news", 2, 1), "records DESC, name", 10),
+    "top_mentions": _listed('{"id":"%s","platform":"%s"}', "id, platform", "q", "impact_score DESC, abs(sentiment_score) DESC, evidence_confidence DESC, id", 15),
+}
+_INVENTORY = f"""{_DAILY}, md AS (SELECT count(*) AS k, {_MED} FROM s), ad AS (SELECT {_MAD} FROM s CROSS JOIN md), z AS (SELECT s.*, {_ZED} FROM s CROSS JOIN md CROSS JOIN ad),
+q AS (SELECT *, CASE WHEN ord % 3 <> 0 THEN CAST(ord % 50 AS DOUBLE) / 50 END AS market_score, CASE WHEN ord % 5 = 0 THEN 'excluded' WHEN ord % 9 = 0 THEN 'review' ELSE 'trusted' END AS decision FROM weighted),
+t AS (SELECT count(*) AS n, count(*) FILTER (WHERE eligible) AS eligible, count(*) FILTER (WHERE opinion_eligible) AS organic, count(*) FILTER (WHERE decision = 'trusted') AS trusted, count(*) FILTER (WHERE decision = 'excluded') AS excluded,
+ sum(independent_voice_weight) AS voices, count(market_score) AS scored, count(*) FILTER (WHERE market_score >= 0.65) AS high, avg(market_score) AS market, {_IDX} AS idx, {_ESS} AS ess, avg(evidence_confidence) AS sure,
+ coalesce(avg(evidence_confidence) FILTER (WHERE eligible), 0) AS sure_eligible, count(*) FILTER (WHERE impact_confidence > 0) AS known, count(views) AS complete, count(DISTINCT platform) AS sources, count(*) FILTER (WHERE authenticity < 0.6) AS low,
+ count(DISTINCT day) AS days, min(day) AS lo, max(day) AS hi FROM q),
+u AS (SELECT *, least(1, sources / 5.0) AS coverage FROM t),
+v_ AS (SELECT *, least(100, greatest(0, 100 * (0.28 * (2 + complete / n) / 3 + 0.24 * sure + 0.28 * least(1, trusted / 5000.0) + 0.2 * coverage) - 12 * excluded / n)) AS quality FROM u),
+v AS (SELECT *, CASE WHEN eligible = 0 THEN 0 ELSE 100 * (0.35 * least(1, sqrt(ess / 100)) + 0.3 * quality / 100 + 0.2 * coverage + 0.15 * sure_eligible) END AS score FROM v_),
+i AS ({" UNION ALL ".join(f"SELECT '{i}' AS indicator_id, '{role}' AS role, {_VALUES[i]} AS value" for i, role in I.INDICATORS)})
+SELECT indicator_id, role, value IS NOT NULL AS available, value FROM i"""
+
+
+@query(_INVENTORY)
 def indicator_inventory(spark, sf):
-    """Fixed rows of id, availability and value, from two aggregations."""
-    w = X.weighted(spark, sf)
-    idx = A.index_of(A.weighted_mean(A.S, A.rep_weight()))
-    g = w.agg(F.count(F.lit(1)).cast("string").alias("total_volume"), F.count_distinct("author").cast("string").alias("unique_authors"), F.when(idx < 45, "negative").when(idx > 55, "positive").otherwise("neutral_band").alias("index_band"), idx.isNotNull().alias("_has"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
-    lead = w.where("eligible").groupBy("narrative").agg(F.round(F.sum("reputation_weight"), 6).alias("w")).orderBy(F.col("w").desc(), "narrative").limit(1).select(F.col("narrative").alias("leading_narrative"))
-    one = g.crossJoin(F.broadcast(lead))
-    out = A.unpivot(one, ["_has"], ["total_volume", "unique_authors", "index_band", "leading_narrative", "first_day", "last_day"], "id", "value")
-    return out.select("id", F.when(F.col("id") == "index_band", F.col("_has")).otherwise(F.lit(True)).alias("available"), "value")
+    """The 25 indicators, each once."""
+    o = F.col("ord")
+    w = X.weighted(spark, sf).withColumn("market_score", F.when(o % 3 != 0, (o % 50).cast("double") / 50)).withColumn("decision", F.when(o % 5 == 0, "excluded").when(o % 9 == 0, "review").otherwise("trusted"))
+    return I.inventory(w, SENTIMENTS, EMOTIONS, STANCES, GROUPS)
 
 
 @query(f"{EV} SELECT id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS posted, platform, author, content_class, CAST(coalesce(views, 0) AS BIGINT) AS views, CAST(coalesce(likes, 0) AS BIGINT) AS likes, sentiment_label, narrative FROM evidence")

@@ -7,7 +7,7 @@ from lodemark.plans import evidence, registry, texts  # noqa: F401
 duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = ["reputation_index", "daily_series", "driver_rows", "top_mentions", "text_fold", "clean_decision", "decision_partitions", "array_uniq", "collision_bigrams", "flatten_threads", "series_change", "stratified_sample", "upsert_append"]
+NAMES = ["reputation_index", "daily_series", "driver_rows", "top_mentions", "text_fold", "clean_decision", "decision_partitions", "array_uniq", "collision_bigrams", "flatten_threads", "series_change", "stratified_sample", "upsert_append", "indicator_inventory"]
 
 
 def plain(v):

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lodemark.operators import inventory as I
 from lodemark.operators import normalize as N
 from lodemark.operators import review as R
 
@@ -39,3 +40,17 @@ def test_upsert_keeps_the_last(spark):
 def test_terms(spark):
     df = spark.createDataFrame([(["a", ' b "c" '],), ([],)], "x array<string>")
     assert [tuple(r) for r in df.select(R.or_group(F.col("x")), R.negatives(F.col("x"))).collect()] == [('(a OR "b c")', '-a -"b c"'), ("", "")]
+
+
+def test_inventory_of_nothing_and_of_nulls(spark):
+    """Every indicator once, whatever the data; nothing is available without records."""
+    from lodemark.sources import fixtures as X
+
+    w = X.weighted(spark, "/root/testdata/sf0.001").withColumn("market_score", F.lit(None).cast("double")).withColumn("decision", F.lit("trusted"))
+    labels = [("positive", "neutral", "negative"), X.EMOTIONS, ("supportive", "critical"), ("person", "media")]
+    none = I.inventory(w.where("false"), *labels).collect()
+    assert sorted(r["indicator_id"] for r in none) == sorted(i for i, _ in I.INDICATORS) and len(I.INDICATORS) == 25
+    assert not any(r["available"] or r["value"] for r in none)
+    gone = w.select(*[(F.lit(None).cast(f.dataType) if f.name != "id" else F.col("id")).alias(f.name) for f in w.schema.fields]).limit(3)
+    nulls = {r["indicator_id"]: r for r in I.inventory(gone, *labels).collect()}
+    assert len(nulls) == 25 and nulls["sample_volume"]["available"] and not nulls["brand_reputation"]["available"] and not nulls["market_relevance"]["available"]

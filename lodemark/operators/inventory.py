@@ -86,8 +86,8 @@ def inventory(
     ``records`` are weighted evidence with ``market_score`` and ``decision``. Without records nothing is
     available; a null name is left out of its JSON object. Lists hold the ``limit`` first entries, sources
     and anomalies 50. Every aggregate yields one row, so what is joined and returned does not grow. The
-    columns in use are written once, since the weights cost more than reading them ten times; the result
-    is written as well, so that this table can go.
+    columns in use are written once, so that the weights are computed once and not for every aggregate; the
+    result is written as well, so that this table can go.
     """
     kept = cut(records.select(*COLUMNS))
     out = cut(_inventory(kept, sentiments, emotions, stances, groups, target, wanted_sources, limit))

@@ -1,4 +1,4 @@
-"""Queries ``op1_`` to ``op10_`` and ``pipeline`` over whole tables, with their SQL where SQL can say it."""
+"""Queries ``op1_`` to ``op13_`` over whole tables, with their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodemark.llm import embed, quality
+from lodemark.llm import embed, merkle, quality
 from lodemark.session import ship
 
 
@@ -74,6 +74,12 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodemark.llm.merkle import prove
+
+    return prove(table(spark, sf_dir, "documents"))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -96,10 +102,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_sentencepiece,
         op10_minhash_near_dedup,
+        op13_merkle_manifest,
     )
 }
 
 ORACLE: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE_SQL,
     "op2_embedding_near_dedup": embed.ORACLE_SQL,
+    "op13_merkle_manifest": merkle.ORACLE_SQL,
 }

@@ -74,6 +74,18 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodemark.llm.simhash import fingerprint_documents
+
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodemark.llm.align import align
+
+    return align(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodemark.llm.merkle import prove
 
@@ -102,6 +114,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_sentencepiece,
         op10_minhash_near_dedup,
+        op11_simhash_fingerprints,
+        op12_token_alignment,
         op13_merkle_manifest,
     )
 }

@@ -9,10 +9,12 @@ character by keyed digests of what stands before and after it. Either pass can b
 so the map is one to one on the strings of a format: distinct entities get distinct surrogates and
 equal ones the same, in every document, without a table of the corpus. Secrets of more than 200
 characters go block by block, each under a digest of what stands before it. Of a telephone number the
-country code stays, of a card number all is changed; an address keeps valid octets (1 to 223, 0 to
+country code stays; a card number or account number
+that passes its check digits has a surrogate that does, with the country of an account; an address keeps valid octets (1 to 223, 0 to
 255 is mapped one to one per octet), and an e-mail address keeps its dots and its last label.
 
-Names are found after a form of address. Given names and surnames are drawn apart from each other, from
+Names are found after a form of address, full ones after a label ("Name:", "my name is") too; after a
+label the gender follows from the ending. Given names and surnames are drawn apart from each other, from
 lists by gender and script, so a surname has one surrogate with and without a given name. Where it stands
 again without a form of address in the same document, alone or after a given name of the document, it is
 replaced too. Lists are finite, so each document is checked: if two of its surnames (or given names) share
@@ -22,13 +24,19 @@ next tweak; after the last tweak they are numbered, which cannot collide. All el
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hmac
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FORMS = r"Mr|Mrs|Ms|Miss|Mme|Mlle|Herr|Frau|Sr|Sra|Se\u00f1or|Se\u00f1ora|\u03ba|\u039a\u03cd\u03c1\u03b9\u03bf\u03c2|\u039a\u03c5\u03c1\u03af\u03b1|\u0433-\u043d|\u0433-\u0436\u0430"
+#: Words before a full name that say that it is one.
+LABELS = r"(?:[Ff]ull |[Mm]y )?[Nn]ame(?::| is)|(?:[Cc]ontact|[Cc]ustomer|[Pp]atient|[Ee]mployee|[Aa]ttn|[Ss]igned):"
+#: Between the name of a secret and its value.
+SET = r"[ \t]{0,4}[=:][ \t]{0,4}[\"']?"
 #: Types in the order of the alternation; each has one pattern without groups (Java syntax).
 PATTERNS = {
-    "secret": r"(?i:\b(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?[A-Za-z0-9+/_.~\-]{7,}[A-Za-z0-9+/_~\-]={0,2})",
+    "secret": rf"(?i:\b(?:pass(?:word|wd|phrase)?|pwd)[\"']?{SET}[^\s\"'<>,;)\]}}]*[^\s\"'<>,;)\]}}.]|\b(?:secret|token|api[_-]?key|access[_-]?key|auth)[\"']?(?:[ \t]{{0,4}}=[ \t]{{0,4}}[\"']?[A-Za-z0-9+/_.~\-]*|{SET}(?:[A-Za-z0-9+/_.~\-]{{7,}}|(?=[A-Za-z+/_.~\-]*\d)[A-Za-z0-9+/_.~\-]*))[A-Za-z0-9+/_~\-]={{0,2}})",
     "access_key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
     "email": r"(?<![\w.+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}\b",
     "ipv4": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
@@ -36,7 +44,7 @@ PATTERNS = {
     "card": r"(?<![\w.\-])\d(?:[ \-]?\d){12,18}(?![\w]|[.\-]\d)",
     "phone": r"(?<![\w.+])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\w)|(?<![\w.+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}(?!\w)|(?<![\w.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w])",
     "national_id": r"(?<![\w.\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
-    "name": rf"\b(?:{FORMS})\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?",
+    "name": rf"\b(?:{FORMS})\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?|\b(?:{LABELS}) \p{{Lu}}\p{{Ll}}{{1,30}} \p{{Lu}}\p{{Ll}}{{1,30}}",
 }
 
 #: Fixed lists of invented replacements: given names by gender and surnames, by script.
@@ -96,6 +104,33 @@ def _octets(s: str, key: str) -> str:
     return two
 
 
+def _luhn(x: str) -> str:
+    """SQL: the check digit that makes the digits ``x`` a card number."""
+    doubled = "2 * d - IF(d > 4, 9, 0)"
+    return f"(10 - aggregate(transform(sequence(1, length({x})), i -> transform(array(cast(substr({x}, -i, 1) as int)), d -> IF(i % 2 = 1, {doubled}, d))[0]), 0, (a, v) -> a + v) % 10) % 10"
+
+
+def _card(s: str, key: str) -> str:
+    """SQL: one-to-one image of a card number; the last digit is off its check digit by as much as before, so valid ones stay valid."""
+    digits = lambda v: f"regexp_replace({v}, '[^0-9]', '')"
+    off = f"(cast(right({s}, 1) as int) - {_luhn('x')} + 10)"
+    front = f"substr({s}, 1, length({s}) - 1)"
+    return f"transform(array({_scramble(front, key)}), p -> concat(p, transform(array({digits('p')}), y -> (({_luhn('y')}) + transform(array({digits(front)}), x -> {off})[0]) % 10)[0]))[0]"
+
+
+def _mod97(x: str) -> str:
+    """SQL: the number that letters and digits ``x`` stand for, modulo 97."""
+    return f"aggregate(split({x}, ''), 0, (a, c) -> CASE WHEN c BETWEEN '0' AND '9' THEN (a * 10 + ascii(c) - 48) % 97 WHEN c BETWEEN 'A' AND 'Z' THEN (a * 100 + ascii(c) - 55) % 97 ELSE a END)"
+
+
+def _iban(s: str, key: str) -> str:
+    """SQL: one-to-one image of an account number with its country; check digits are off by as much as before, so valid ones stay valid."""
+    right_for = lambda v: f"(98 - {_mod97(f'concat({v}, substr({s}, 1, 2), chr(48), chr(48))')})"
+    own = f"cast(substr({s}, 3, 2) as int)"
+    check = f"IF({own} BETWEEN 2 AND 98, lpad(cast(2 + ({right_for('b')} + {own} - {right_for(f'substr({s}, 5)')} + 95) % 97 as string), 2, '0'), substr({s}, 3, 2))"
+    return f"transform(array({_scramble(f'substr({s}, 5)', key)}), b -> concat(substr({s}, 1, 2), {check}, b))[0]"
+
+
 def _pick(words: str, x: str) -> str:
     n = len(words.split())
     return f"split({_lit(words)}, ' ')[cast({x} % {n} as int)]"
@@ -109,7 +144,7 @@ def _blocks(s: str, key: str) -> str:
 
 
 def _form(e: str) -> str:
-    return f"regexp_extract({e}, {_lit('^(?:' + FORMS + ')[.]? ')}, 0)"
+    return f"regexp_extract({e}, {_lit('^(?:(?:' + FORMS + ')[.]?|' + LABELS + ') ')}, 0)"
 
 
 def _surname(e: str) -> str:
@@ -122,7 +157,9 @@ def _given(e: str) -> str:
 
 
 def _gender(e: str) -> str:
-    return f"IF(regexp_replace({_form(e)}, '[. ]', '') IN ('Mrs', 'Ms', 'Miss', 'Mme', 'Mlle', 'Frau', 'Sra', 'Señora', 'Κυρία', 'г-жа'), 'f', 'm')"
+    female = f"regexp_replace({_form(e)}, '[. ]', '') IN ('Mrs', 'Ms', 'Miss', 'Mme', 'Mlle', 'Frau', 'Sra', 'Señora', 'Κυρία', 'г-жа')"
+    ending = f"{_form(e)} RLIKE {_lit('^(?:' + LABELS + ') $')} AND {_given(e)} RLIKE '[aαηая]$'"
+    return f"IF({female} OR {ending}, 'f', 'm')"
 
 
 def _name(w: str, lists: dict[str, str], key: str) -> str:
@@ -164,6 +201,8 @@ def surrogate_sql(e: str, kind: str, key: str) -> str:
         f" WHEN 'access_key' THEN concat(substr({e}, 1, 4), {_scramble(f'substr({e}, 5)', key)})"
         f" WHEN 'email' THEN concat({_scramble(f'substr({e}, 1, length({e}) - length({at}))', key)}, {at})"
         f" WHEN 'ipv4' THEN {_octets(e, key)}"
+        f" WHEN 'card' THEN {_card(e, key)}"
+        f" WHEN 'iban' THEN {_iban(e, key)}"
         f" WHEN 'phone' THEN concat({code}, {_scramble(rest(code), key)})"
         f" WHEN 'name' THEN {_named(e)}"
         f" ELSE {_scramble(e, key)} END"
@@ -175,6 +214,13 @@ def _drawn(made: str, words: str) -> str:
     return f"get(filter(array({made}), m -> size(array_distinct(m)) = size(m) AND NOT arrays_overlap(m, {words})), 0)"
 
 
+def _keys(spark: SparkSession, secret: str, tweaks: int) -> DataFrame:
+    """One row of keys, one for each use. They are data, so that neither plans nor event logs show them."""
+    labels = {"_k": "all"} | {f"_k{w}{t}": f"names{w}/{t}" for w in ("_u", "_g") for t in [*range(tweaks), "n"]}
+    keys = [hmac.new(secret.encode(), label.encode(), "sha256").hexdigest() for label in labels.values()]
+    return spark.createDataFrame([tuple(keys)], ", ".join(f"{c} string" for c in labels))
+
+
 def pseudonymize(docs: DataFrame, secret: str, tweaks: int = TWEAKS) -> DataFrame:
     """The columns of ``docs`` with ``text`` replaced, and n_entities (long) and kinds (array of types, as found).
 
@@ -185,6 +231,7 @@ def pseudonymize(docs: DataFrame, secret: str, tweaks: int = TWEAKS) -> DataFram
     names = [c for c in docs.columns if c not in ("n_entities", "kinds")]
     union = _lit(UNION)
     df = docs.select(F.struct("*").alias("_row"), "text").withColumn("_m", F.expr(f"coalesce(regexp_extract_all(text, {union}, 0), array())"))
+    df = df.crossJoin(F.broadcast(_keys(docs.sparkSession, secret, tweaks)))
     df = df.withColumn("_n", F.expr(f"filter(_m, e -> {kind_sql('e')} = 'name')"))
     df = df.withColumn("_u", F.expr(f"array_distinct(transform(_n, e -> {_surname('e')}))"))
     df = df.withColumn("_g", F.expr(f"array_distinct(transform(filter(_n, e -> {_given('e')} <> ''), e -> concat({_gender('e')}, {_given('e')})))"))
@@ -193,10 +240,10 @@ def pseudonymize(docs: DataFrame, secret: str, tweaks: int = TWEAKS) -> DataFram
     df = df.withColumn("_p", F.expr(f"IF(size(_u) = 0, {union}, concat({union}, {bare}))"))
     df = df.withColumn("_m", F.expr("IF(size(_u) = 0, _m, regexp_extract_all(text, _p, 0))")).withColumn("_e", F.array_distinct("_m"))
     for out, words, plain, draw, number in (("_us", "_u", "_u", _surnames, "concat(' ', i + 2)"), ("_gs", "_g", "transform(_g, g -> substr(g, 2))", _givens, "cast(i + 2 as string)")):
-        choices: list[Column] = [F.expr(_drawn(draw(_lit(f"{secret}/{t}/{words}/")), plain)) for t in range(tweaks)]
-        df = df.withColumn(out, F.when(F.size(words) > 0, F.coalesce(*choices, F.expr(draw(_lit(f"{secret}/numbered/{words}/"), number)))))
+        choices: list[Column] = [F.expr(_drawn(draw(f"_k{words}{t}"), plain)) for t in range(tweaks)]
+        df = df.withColumn(out, F.when(F.size(words) > 0, F.coalesce(*choices, F.expr(draw(f"_k{words}n", number)))))
     found = F.size("_m") > 0
-    df = df.withColumn("_s", F.when(found, F.expr(f"transform(_e, e -> {surrogate_sql('e', kind_sql('e'), _lit(f'{secret}/0/'))})")))
+    df = df.withColumn("_s", F.when(found, F.expr(f"transform(_e, e -> {surrogate_sql('e', kind_sql('e'), '_k')})")))
     put = """concat_ws('', flatten(zip_with(split(text, _p, -1), _m,
         (g, m) -> IF(m IS NULL, array(g), array(g, element_at(_s, cast(array_position(_e, m) as int)))))))"""
     kinds = F.expr(f"transform(_m, e -> {kind_sql('e')})")

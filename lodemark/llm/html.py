@@ -3,10 +3,13 @@
 A page is read as a stream of tags and texts. Every text node has a tag path (element names from the
 root). For each path of a page the text length per node and the punctuation per node are summed up,
 spread over the node sequence, smoothed with a Gaussian kernel, multiplied (fused) and cut at a share
-of their standard deviation: the paths above it hold the prose. The deepest element that holds nearly
-all of the scores of these paths' nodes is the article, widened to an article or main element around it;
-all its text is returned, short lines and headings too, except what the markup names as something else
-(menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers).
+of their standard deviation: the paths above it hold the prose. The deepest element that holds most of
+the scores of these paths' nodes, and nearly all of each path that it has, is the article; an article or
+main element around it is taken with it. All its text is returned, short lines and headings too.
+
+What markup says (menus, headers, footers, sidebars, notices, adverts, forms, comments of readers, by element,
+class, id and role) only decides on parts with a small share of the scores: an element named "has-sidebar"
+that holds the article is a wrapper and stays. Only scripts, styles, controls and embedded objects never count.
 
 Paths are numbers and sums run once over the elements, so deep nesting costs no more than its length.
 """
@@ -31,7 +34,10 @@ RAW_END = {n: re.compile(rf"</{n}(?=[\t\n\f\r />])", re.I | re.A) for n in RAW}
 #: What moves a script in and out of the escaped states, in which an inner script's end tag is not its own.
 SCRIPT = re.compile(r"<!--(-?>)?|-->|<(/?)script(?=[\t\n\f\r />])", re.I | re.A)
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
-DROP = frozenset("head nav footer aside form script style noscript template button select option textarea title iframe object svg math canvas audio video menu dialog fieldset xmp noembed noframes".split())
+#: Never text of a page.
+DROP = frozenset("head script style noscript template button select option textarea title iframe object svg math canvas audio video xmp noembed noframes".split())
+#: Elements that are something other than the article at any share of the scores.
+ASIDE = frozenset("nav footer aside menu dialog".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 IMPLIED = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "tbody": ("thead tbody tfoot tr td th", "table"), "tfoot": ("thead tbody tfoot tr td th", "table")}
 IMPLIED = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPLIED.items()}
@@ -43,38 +49,54 @@ OTHER = frozenset(
     "comment comments comment-list commentlist replies respond disqus discussion share sharing social related recommended recommendations trending popular hidden skip-link form".split()
 )
 EDGE = re.compile(r"(?:^|[-_])(ad|ads|advert|advertisement|sponsored|promo|nav|navbar|menu|breadcrumbs?|sidebar|footer|cookies?|consent|newsletter|comments?|share|social|related|banner|popup|modal|notice)(?:$|[-_])")
+#: Of these the parts that readers write, which may be longer than the article.
+READERS = re.compile(r"(?:^|[-_])(comments?|commentlist|replies|respond|disqus|discussion)(?:$|[-_])")
 ROLES = frozenset("navigation banner complementary contentinfo search form alert alertdialog dialog menu menubar toolbar".split())
 PUNCT = frozenset(".,;:!?…。，、；：！？")
 
 
 class Element:
-    """``number`` counts the elements of a page, ``path`` its tag paths; ``body`` is whether an article or main is around it."""
+    """``number`` counts the elements of a page, ``path`` its tag paths; ``body`` is whether an article or main is around it.
+
+    ``named``: the share of the scores from which on an element is not what its markup says, a menu, say; 0 if it says nothing.
+    """
 
-    __slots__ = ("body", "drop", "name", "number", "path", "up")
+    __slots__ = ("body", "drop", "name", "named", "number", "path", "up")
 
-    def __init__(self, name: str, up: Element | None, drop: bool, path: int, number: int):
-        self.name, self.up, self.drop, self.path, self.number = name, up, drop, path, number
+    def __init__(self, name: str, up: Element | None, drop: bool, named: float, path: int, number: int):
+        self.name, self.up, self.drop, self.named, self.path, self.number = name, up, drop, named, path, number
         self.body = up is not None and (up.body or up.name in ("article", "main"))
 
 
-def _other(name: str, attrs: str, up: Element) -> bool:
-    """Whether the markup says that an element is not article text."""
-    if name in DROP:
-        return True
-    if name == "header":  # that of an article holds its title
-        return not (up.body or up.name in ("article", "main"))
+#: Shares of the scores above which an element counts as a wrapper of the article, whatever its markup says.
+WRAPS, WRAPS_SURELY, NEVER = 0.6, 0.9, 2.0
+
+
+def _named(name: str, attrs: str, up: Element) -> float:
+    """Whether the markup says that an element is not article text: the share of the scores that speaks against it, or 0."""
+    if name in ASIDE:
+        return NEVER
+    out = 0.0
+    if name in ("form", "fieldset"):
+        out = WRAPS
+    if name == "header" and not (up.body or up.name in ("article", "main")):  # that of an article holds its title
+        out = WRAPS
     if name in ("html", "body", "main", "article") or not attrs.strip():
-        return False
+        return out
     for m in ATTR.finditer(attrs):
         key = m[1].lower()
         value = (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            out = max(out, WRAPS)
         if key == "role" and value in ROLES:
-            return True
-        if key in ("class", "id") and any(t in OTHER or EDGE.search(t) for t in value.split()):
-            return True
-    return False
+            out = max(out, WRAPS)
+        if key in ("class", "id"):
+            for t in value.split():
+                if READERS.search(t):
+                    return WRAPS_SURELY
+                if t in OTHER or EDGE.search(t):
+                    out = max(out, WRAPS)
+    return out
 
 
 def _raw_end(page: str, start: int, name: str) -> int:
@@ -99,7 +121,7 @@ def _raw_end(page: str, start: int, name: str) -> int:
 
 def text_nodes(page: str) -> tuple[list[tuple[Element, int, str]], list[Element]]:
     """(element, block number, text) of each text node outside dropped elements, in page order, and all elements."""
-    root = Element("", None, False, 0, 0)
+    root = Element("", None, False, 0.0, 0, 0)
     stack, block, out, elements = [root], 0, [], [root]
     paths: dict[tuple[int, str], int] = {}
     is_open: dict[str, int] = defaultdict(int)  # how many of a name are on the stack
@@ -155,7 +177,7 @@ def text_nodes(page: str) -> tuple[list[tuple[Element, int, str]], list[Element]
                     break
         up = stack[-1]
         path = paths.setdefault((up.path, name), len(paths) + 1)
-        stack.append(Element(name, up, up.drop or _other(name, m[3], up), path, len(elements)))
+        stack.append(Element(name, up, up.drop or name in DROP, _named(name, m[3], up), path, len(elements)))
         elements.append(stack[-1])
         is_open[name] += 1
         if m[3].endswith("/") and name in ("svg", "path", "use"):
@@ -182,7 +204,7 @@ def path_scores(nodes: list[tuple[int, str]]) -> np.ndarray:
     return _smooth(by_length) * _smooth(by_punct)
 
 
-HOLDS = 0.9  # share of the chosen paths' scores that the article holds
+HOLDS, LEAVES = 0.5, 0.05  # shares of the chosen paths' scores: more than the first is in the article, at most the second of its paths outside
 
 
 def main_text(page: str | None, share: float = 0.8) -> str:
@@ -206,10 +228,11 @@ def main_text(page: str | None, share: float = 0.8) -> str:
     for (e, _), s in zip(blocks, scores.tolist(), strict=True):
         if best[e.path] >= cut:
             mass[e.number] += s
-    top = _article(elements, mass)
+    out = _outside(elements, mass)
+    top = _article(elements, [0.0 if o else m for o, m in zip(out, mass, strict=True)])
     inside = [False] * len(elements)
     for e in elements:
-        inside[e.number] = e is top or e.up is not None and inside[e.up.number]
+        inside[e.number] = (e is top or e.up is not None and inside[e.up.number]) and not out[e.number]
     parts: dict[int, list[str]] = defaultdict(list)
     for e, b, t in nodes:
         if inside[e.number]:
@@ -218,22 +241,57 @@ def main_text(page: str | None, share: float = 0.8) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def _article(elements: list[Element], mass: list[float]) -> Element:
-    """The deepest element with nearly all of the mass, which is summed up from the leaves; of text-level
-    elements the one around them; if an article or main is around it, or inside it holds most of the mass, that one."""
+def _sums(elements: list[Element], mass: list[float]) -> list[float]:
+    """Mass of each element with all below it."""
     mass = list(mass)
     for e in reversed(elements[1:]):
         mass[e.up.number] += mass[e.number]
-    top = elements[0]
-    for e in elements[1:]:  # those with more than half of the mass are one chain, outer ones first
-        if mass[e.number] >= HOLDS * mass[0]:
-            top = e
+    return mass
+
+
+def _outside(elements: list[Element], mass: list[float]) -> list[bool]:
+    """For each element whether it, or one around it, is what its markup says: something other than the article.
+
+    The surest names go first, so that what is left shows which elements hold the article.
+    """
+    out = [False] * len(elements)
+    for level in (NEVER, WRAPS_SURELY, WRAPS):
+        held = _sums(elements, [0.0 if o else m for o, m in zip(out, mass, strict=True)])
+        for e in elements[1:]:
+            out[e.number] = out[e.number] or out[e.up.number] or e.named >= level and held[e.number] < e.named * held[0]
+    return out
+
+
+def _article(elements: list[Element], mass: list[float]) -> Element:
+    """The deepest element with most of the mass (summed up from the leaves) that leaves out next to nothing of the paths
+    in it: an advert beside the article has a path of its own, a second half of the article has that of the first. Of
+    text-level elements the one around them; if an article or main is around it, or inside it holds most of the mass, that one."""
+    held = _sums(elements, mass)
+    # those with more than half of the mass are one chain, outer ones first; each element lies at some depth of it
+    depth, chain = [0] * len(elements), [elements[0]]
+    for e in elements[1:]:
+        depth[e.number] = depth[e.up.number]
+        if held[e.number] > HOLDS * held[0]:
+            depth[e.number] = len(chain)
+            chain.append(e)
+    deepest: dict[int, int] = defaultdict(int)
+    for e in elements:
+        if mass[e.number]:
+            deepest[e.path] = max(deepest[e.path], depth[e.number])
+    left = [0.0] * (len(chain) + 1)  # mass outside a chain's element whose path is also inside it
+    for e in elements:
+        if mass[e.number]:
+            left[depth[e.number] + 1] += mass[e.number]
+            left[deepest[e.path] + 1] -= mass[e.number]
+    left = np.cumsum(left)
+    top = max((k for k in range(len(chain)) if left[k] <= LEAVES * held[0]), default=0)
+    top = chain[top]
     around = top
     while around is not None:
         if around.name in ("article", "main"):
             return around
         around = around.up
-    inner = [e for e in elements if e.name in ("article", "main") and mass[e.number] > 0.5 * mass[0]]
+    inner = [e for e in elements if e.name in ("article", "main") and held[e.number] > 0.5 * held[0]]
     if inner:
         return inner[-1]
     while top.name in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "td") and top.up is not None:

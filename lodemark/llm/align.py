@@ -20,11 +20,10 @@ texts maps the shards into memory and finds counts by ``np.searchsorted``.
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 import re
 import tempfile
 import uuid
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -34,13 +33,16 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemark.session import work_dir
+from lodemark.session import cut, discard, work_dir
 
 MODEL_A = "/opt/tokenizers/byte_bpe_50k.json"
 MODEL_B = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Bounds of what a process keeps: characters of remembered units, keys of a task's partial counts, texts encoded together.
-UNITS, PARTIAL, TOGETHER = 8 << 20, 2 << 20, 256
+#: Fixed pre-token pattern of the vocabulary of A.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+BLANKS = re.compile(r"\s ")
+#: Bounds of what a process keeps: remembered units (characters, and as many more for each), keys of a task's partial counts, texts taken together.
+UNITS, UNIT, PARTIAL, TOGETHER = 32 << 20, 64, 2 << 20, 256
 I8 = np.dtype("<i8")
 
 
@@ -67,17 +69,25 @@ class Tokenizers:
     """Both vocabularies, and the units met so far with their tokens aligned."""
 
     def __init__(self, path_a: str = MODEL_A, path_b: str = MODEL_B):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        with open(path_a, encoding="utf-8") as f:
+            model = json.load(f)["model"]
         at = byte_alphabet()
-        self.bytes_a = [b""] * self.a.get_vocab_size()
-        for token, i in self.a.get_vocab().items():
-            self.bytes_a[i] = bytes(at[c] for c in token) if all(c in at for c in token) else token.encode()
+        ranks = {bytes(at[c] for c in token): i for token, i in model["vocab"].items() if all(c in at for c in token)}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        made = [model["vocab"]["".join(m)] for m in pairs]
+        if any(x >= y for x, y in zip(made, made[1:], strict=False)):
+            raise ValueError("the ids of the merges have to ascend")  # they serve as ranks
+        special = {t: i for t, i in model["vocab"].items() if i > made[-1]}  # plain text inside a text
+        self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks={k: i for k, i in ranks.items() if i <= made[-1]}, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        self.bytes_a = [b""] * (max(model["vocab"].values()) + 1)
+        for token, i in ranks.items():
+            self.bytes_a[i] = token
+        for token, i in special.items():
+            self.bytes_a[i] = token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.space_b = self.b.piece_to_id(MARK)
@@ -90,17 +100,16 @@ class Tokenizers:
     def forget(self) -> None:
         self.place: dict[str, int] = {}
         self.held = 0
-        self.valid: list[bool] = []
         self.groups: list[str] = []
-        self.keys: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []  # pieces of (n_a, n_b, n_groups, n_links) by unit
+        self._pieces: list[tuple[np.ndarray, np.ndarray]] = []
+        self._counts, self._keys = np.zeros((0, 4), np.int64), np.zeros(0, np.int64)
 
     def units(self, text: str) -> list[str]:
         """The units of a text that is not empty, each without the space that it begins with."""
         if self.whole:
             return [text]
         parts = text.split(" ")
-        if not re.search(r"\s ", " " + text):
+        if not BLANKS.search(" " + text):
             return parts
         out = parts[:1]
         for p in parts[1:]:
@@ -113,56 +122,73 @@ class Tokenizers:
     def learn(self, units: set[str]) -> None:
         """Encode and align units that are not remembered."""
         new = [u for u in units if u not in self.place]
-        for lo in range(0, len(new), 4096):
-            self._align(new[lo : lo + 4096])
-
-    def _align(self, new: list[str]) -> None:
-        ids_a = [e.ids for e in self.a.encode_batch([" " + u for u in new], add_special_tokens=False)]
-        ids_b = [x if u else [self.space_b] for x, u in zip(self.b.encode(new, num_threads=1), new, strict=True)]
-        for k, u in enumerate(new):
-            want = (" " + u).encode()
-            good = b"".join([self.bytes_a[i] for i in ids_a[k]]) == want == b"".join([self.bytes_b[i] for i in ids_b[k]])
-            self.valid.append(good)
-            if not good:
-                ids_a[k] = ids_b[k] = []
-            self.place[u] = len(self.place)
-            self.held += len(u) + 64
-        n = [np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b)]
-        a, b = (np.array([i for x in ids for i in x], np.int64) for ids in (ids_a, ids_b))
-        # valid units have the same bytes on both sides, so ends in the joined bytes are comparable
+        plain = [u for u in new if u and not u[-1].isspace() and MARK not in u]
+        for lo in range(0, len(plain), 4096):
+            self._together(plain[lo : lo + 4096])
+        for u in set(new).difference(plain):
+            self._alone(u)
+
+    def _together(self, new: list[str]) -> None:
+        """Units one behind the other; none ends in a blank, so they stay units."""
+        text = " ".join(new)
+        a, b = np.array(self.a.encode_ordinary(" " + text), np.int64), np.array(self.b.encode(text, num_threads=1), np.int64)
+        want = (" " + text).encode()
+        if not self.whole and all(b"".join(map(t.__getitem__, ids.tolist())) == want for t, ids in ((self.bytes_a, a), (self.bytes_b, b))):
+            self._align(new, a, b, np.cumsum([len(u.encode()) + 1 for u in new]))
+        else:
+            for u in new:
+                self._alone(u)
+
+    def _alone(self, u: str) -> None:
+        ids_a = np.array(self.a.encode_ordinary(" " + u), np.int64)
+        ids_b = np.array(self.b.encode(u, num_threads=1) if u else [self.space_b], np.int64)
+        want = (" " + u).encode()
+        if b"".join(map(self.bytes_a.__getitem__, ids_a.tolist())) == want == b"".join(map(self.bytes_b.__getitem__, ids_b.tolist())):
+            self._align([u], ids_a, ids_b, np.array([len(want)]))
+        else:
+            self._align([u], ids_a[:0], ids_b[:0], np.zeros(1, np.int64))  # no tokens: its text has none
+
+    def _align(self, new: list[str], a: np.ndarray, b: np.ndarray, unit_end: np.ndarray) -> None:
+        # both sides have the same bytes, so ends in them are comparable
         end_a, end_b = np.cumsum(self.size[0][a]), np.cumsum(self.size[1][b])
-        unit_end = np.concatenate((np.zeros(1, np.int64), end_a))[np.cumsum(n[0])]
         ends, common = np.union1d(end_a, end_b), np.intersect1d(end_a, end_b, assume_unique=True)
         # between two neighbouring ends lies one token of each side, and no two stretches have the same two
-        link_a, link_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
-        keys = b[link_b] << 32 | a[link_a]
-        link_to, group_to = np.searchsorted(ends, unit_end, "right"), np.searchsorted(common, unit_end, "right")
+        keys = b[np.searchsorted(end_b, ends)] << 32 | a[np.searchsorted(end_a, ends)]
+        upto = [np.searchsorted(x, unit_end, "right") for x in (end_a, end_b, common, ends)]
         group_a, group_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
         names = np.empty(len(a) + len(b), object)
         upto_b = np.concatenate(([0], np.searchsorted(end_b, common, "right")))
         upto_a = np.searchsorted(end_a, common, "right")
         names[np.arange(len(a)) + upto_b[group_a]] = self.names[0][2 * a + (common[group_a] == end_a)]
         names[np.arange(len(b)) + upto_a[group_b]] = self.names[1][2 * b + (common[group_b] == end_b)]
-        to = np.cumsum(n[0] + n[1])
-        for k in range(len(new)):
-            self.groups.append("".join(names[(to[k - 1] if k else 0) : to[k]]))
-            self.keys.append(keys[(link_to[k - 1] if k else 0) : link_to[k]])
-        zero = np.zeros(1, np.int64)
-        self.counts.append(np.stack([*n, np.diff(group_to, prepend=zero), np.diff(link_to, prepend=zero)], axis=1))
-
-    def texts(self, col: pa.Array) -> Iterator[list[list[int] | None]]:
+        words, lo = names.tolist(), 0
+        for u, hi in zip(new, (upto[0] + upto[1]).tolist(), strict=True):
+            self.groups.append("".join(words[lo:hi]))
+            self.place[u] = len(self.place)
+            self.held += len(u) + UNIT
+            lo = hi
+        self._pieces.append((np.diff(np.stack(upto, axis=1), axis=0, prepend=0), keys))
+
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """(n_a, n_b, n_groups, n_links) of all units, zeros for one that makes its text invalid; the keys of all links in their order."""
+        if self._pieces:
+            self._counts = np.concatenate([self._counts, *(c for c, _ in self._pieces)])
+            self._keys = np.concatenate([self._keys, *(k for _, k in self._pieces)])
+            self._pieces = []
+        return self._counts, self._keys
+
+    def texts(self, col: pa.Array) -> Iterator[list[np.ndarray | None]]:
         """For some texts at a time the places of their units; None for a text without tokens."""
         for lo in range(0, len(col), TOGETHER):
             if self.held > UNITS:
                 self.forget()
-            cut = [self.units(t) if t else None for t in col.slice(lo, TOGETHER).to_pylist()]
-            self.learn(set().union(*(u for u in cut if u)))
-            place, valid = self.place, self.valid
-            out = []
-            for u in cut:
-                at = [place[x] for x in u] if u else None
-                out.append(at if at and all([valid[i] for i in at]) else None)
-            yield out
+            cut = [self.units(t) if t else () for t in col.slice(lo, TOGETHER).to_pylist()]
+            self.learn(set().union(*cut))
+            place = self.place
+            at = np.array([place[x] for u in cut for x in u], np.int64)
+            bad = np.concatenate(([0], np.cumsum(self.table()[0][at, 0] == 0)))
+            to = np.cumsum([len(u) for u in cut])
+            yield [at[hi - len(u) : hi] if u and bad[hi] == bad[hi - len(u)] else None for u, hi in zip(cut, to.tolist(), strict=True)]
 
 
 _known: dict[tuple[str, str], Tokenizers] = {}
@@ -186,11 +212,10 @@ def _partial(paths: tuple[str, str], limit: int) -> Callable:
         held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for batch in batches:
             for some in tok.texts(batch.column("text")):
-                seen = Counter(i for at in some if at for i in at)
-                if seen:
-                    keys = [tok.keys[i] for i in seen]
-                    times = np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), [len(k) for k in keys])
-                    held.append(summed(np.concatenate(keys), times))
+                counts, keys = tok.table()
+                times = np.bincount(np.concatenate([np.zeros(0, np.int64), *(at for at in some if at is not None)]), minlength=len(counts))
+                times = np.repeat(times, counts[:, 3])
+                held.append(summed(keys[times > 0], times[times > 0]))
                 if sum(len(k) for k, _ in held) > limit:
                     held = [summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
                     if len(held[0][0]) > limit // 2:
@@ -289,7 +314,9 @@ class PairCounts:
         spark = docs.sparkSession
         folder = work_dir(spark, "pairs")
         partial = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_partial(paths, limit), "key long, n long")
+        partial = cut(partial)  # the ranges come from a sample of it, and texts are to be encoded once
         partial.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(_shards(folder), SHARD).write.parquet(f"{folder}/manifest")
+        discard(partial)
         return PairCounts.open(spark, folder)
 
     @staticmethod
@@ -310,19 +337,19 @@ def _scored(paths: tuple[str, str], index: PairCounts, with_groups: bool) -> Cal
             for some in tok.texts(batch.column("text")):
                 if known is not tok.place:
                     known, sums = tok.place, np.zeros((0, 6), np.int64)
-                if len(sums) < len(tok.keys):  # units that are new
-                    counts, new = np.concatenate(tok.counts), tok.keys[len(sums) :]
-                    tok.counts = [counts]
-                    keys, back = np.unique(np.concatenate(new), return_inverse=True)
+                counts, all_keys = tok.table()
+                if len(sums) < len(counts):  # units that are new
+                    counts = counts[len(sums) :]
+                    to = np.concatenate(([0], np.cumsum(counts[:, 3])))
+                    keys, back = np.unique(all_keys[len(all_keys) - to[-1] :], return_inverse=True)
                     n = shards.find(keys)
                     best = (n == shards.best[keys >> 32])[back]
-                    to = np.concatenate(([0], np.cumsum([len(k) for k in new])))
                     both = np.stack([np.concatenate(([0], np.cumsum(x))) for x in (best, n[back])], axis=1)
-                    sums = np.concatenate((sums, np.concatenate((counts[len(sums) :], both[to[1:]] - both[to[:-1]]), axis=1)))
+                    sums = np.concatenate((sums, np.concatenate((counts, both[to[1:]] - both[to[:-1]]), axis=1)))
                 for at in some:
-                    text = "".join([tok.groups[i] for i in at])[:-1] if at else ""
-                    rows.append(sums[at].sum(axis=0) if at else np.zeros(6, np.int64))
-                    digests.append(hashlib.sha256(text.encode()).hexdigest() if at else "")
+                    text = "" if at is None else "".join([tok.groups[i] for i in at.tolist()])[:-1]
+                    rows.append(sums[at].sum(axis=0) if at is not None else np.zeros(6, np.int64))
+                    digests.append(hashlib.sha256(text.encode()).hexdigest() if at is not None else "")
                     if with_groups:
                         groups.append(text)
             if rows:

@@ -120,5 +120,6 @@ def test_groups_and_shards(spark):
     tok = align.Tokenizers()
     shards = align.Shards(index.folder, index.shards, len(tok.bytes_b))
     tok.learn({"be"})
-    assert shards.find(tok.keys[0]).tolist() == [2] and shards.find(tok.keys[0] + 1).tolist() == [0]
+    (keys,) = tok.table()[1:]
+    assert shards.find(keys).tolist() == [2] and shards.find(keys + 1).tolist() == [0]
     assert sum(s[3] for s in index.shards) == 4

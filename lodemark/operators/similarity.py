@@ -5,58 +5,108 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from lodemark.functions.text import jaccard
+from lodemark.functions.text import here, jaccard
 from lodemark.operators.components import connected_components
-from lodemark.session import cut, discard
+from lodemark.operators.ranks import numbered
+from lodemark.session import cut
 
 
-def recent_pairs(df: DataFrame, order: str, tokens: str, window: int = 80, per_row: int = 40, min_length: int = 4) -> DataFrame:
+SKETCH = 8  # words of 64 bits
+#: Rows whose tokens decide which tokens count as frequent, and how many of these there are at most.
+SAMPLE_ROWS, FREQUENT = 20_000, 2048
+
+
+def hashed(tokens: Column | str) -> Column:
+    """The distinct tokens as sorted 8-byte hashes."""
+    return F.array_sort(F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t))))
+
+
+def sketch(x: Column | str) -> list[Column]:
+    """Bits of a set of hashes, as columns s0, s1, ...: a set that lacks a bit lacks all its elements."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    word = lambda k: F.aggregate(x, F.lit(0).cast("long"), lambda a, h: F.when(F.shiftright(h, 6).bitwiseAND(F.lit(SKETCH - 1)) == k, a.bitwiseOR(bit(h))).otherwise(a))
+    return [here(word(k)).alias(f"s{k}") for k in range(SKETCH)]
+
+
+def may_reach(threshold: float, a: str = "a", b: str = "b") -> Column:
+    """Whether two sets can have a Jaccard similarity of ``threshold``, from their sizes and sketches ({s0_a}, {n_a}, ...).
+
+    A bit of one set that the other lacks is an element that it lacks, so the intersection is at most the
+    size less these bits. No similar pair is lost.
+    """
+    na, nb = F.col(f"n_{a}"), F.col(f"n_{b}")
+    lacks = lambda x, y: sum((F.bit_count(F.col(f"s{k}_{x}").bitwiseAND(F.bitwise_not(F.col(f"s{k}_{y}")))) for k in range(SKETCH)), F.lit(0))
+    need = F.lit(threshold / (1 + threshold)) * (na + nb) - 1e-6
+    sizes = F.least(na, nb) >= F.lit(threshold) * F.greatest(na, nb) - 1e-6
+    return sizes & (na - lacks(a, b) >= need) & (nb - lacks(b, a) >= need)
+
+
+def _sided(df: DataFrame, side: str, keep: list[str]) -> DataFrame:
+    return df.select(*keep, *[F.col(c).alias(f"{c}_{side}") for c in df.columns if c not in keep])
+
+
+def recent_pairs(df: DataFrame, order: str, tokens: str, window: int = 80, per_row: int = 40, min_length: int = 4, threshold: float = 0.0) -> DataFrame:
     """(a, b) of rows that share a token, where a is among the ``window`` latest rows with it before b.
 
     Rows give their first ``per_row`` sorted tokens of at least ``min_length`` characters. Pairs are
     found by rank distance within a token: rank blocks of the window's size meet themselves and the
-    next block, so no list is joined with all of itself.
+    next block, so no list is joined with all of itself, and ranks are counted over ranges, so none is in
+    one task. With a ``threshold``, pairs whose sizes and sketches show that they are less similar go before
+    they are shuffled.
     """
     short = F.slice(F.sort_array(F.filter(F.array_distinct(tokens), lambda t: F.length(t) >= min_length)), 1, per_row)
-    post = df.select(F.col(order).alias("o"), F.explode(short).alias("t"))
-    rank = F.row_number().over(Window.partitionBy("t").orderBy("o"))
-    post = post.withColumn("k", rank).withColumn("blk", F.floor(F.col("k") / window))
-    late = post.select("t", F.col("o").alias("b"), F.col("k").alias("kb"), "blk")
-    early = post.select("t", F.col("o").alias("a"), F.col("k").alias("ka"), F.explode(F.array("blk", F.col("blk") + 1)).alias("blk"))
-    return early.join(late, ["t", "blk"]).where((F.col("kb") > F.col("ka")) & (F.col("kb") - F.col("ka") <= window)).select("a", "b").distinct()
+    held, mark = [], F.lit(True)
+    rows = df.select(F.col(order).alias("o"), short.alias("short"))
+    if threshold > 0:
+        rows = df.select(F.col(order).alias("o"), here(short).alias("short"), here(hashed(tokens)).alias("x"))
+        rows = rows.select("o", "short", F.size("x").alias("n"), *sketch("x"))
+        held, mark = ["n", *[f"s{k}" for k in range(SKETCH)]], may_reach(threshold)
+    post = rows.select("o", *held, F.explode("short").alias("w")).withColumn("t", F.xxhash64("w")).drop("w")
+    post = numbered(post, ["t"], ["o"], "k").withColumn("blk", F.floor(F.col("k") / window))
+    late = _sided(post, "b", ["t", "blk"])
+    early = _sided(post.withColumn("blk", F.explode(F.array("blk", F.col("blk") + 1))), "a", ["t", "blk"])
+    near = (F.col("k_b") > F.col("k_a")) & (F.col("k_b") - F.col("k_a") <= window)
+    return early.join(late, ["t", "blk"]).where(near & mark).select(F.col("o_a").alias("a"), F.col("o_b").alias("b")).distinct()
 
 
 def with_similarity(pairs: DataFrame, df: DataFrame, order: str, tokens: str, extra: list[str] | None = None) -> DataFrame:
-    """Adds the Jaccard similarity (and {extra}_a, {extra}_b) to pairs."""
+    """Adds the Jaccard similarity of the token sets, as 8-byte hashes, (and {extra}_a, {extra}_b) to pairs."""
     extra = extra or []
-    left = df.select(F.col(order).alias("a"), F.array_distinct(tokens).alias("_x"), *[F.col(c).alias(f"{c}_a") for c in extra])
-    right = df.select(F.col(order).alias("b"), F.array_distinct(tokens).alias("_y"), *[F.col(c).alias(f"{c}_b") for c in extra])
+    left = df.select(F.col(order).alias("a"), here(hashed(tokens)).alias("_x"), *[F.col(c).alias(f"{c}_a") for c in extra])
+    right = df.select(F.col(order).alias("b"), here(hashed(tokens)).alias("_y"), *[F.col(c).alias(f"{c}_b") for c in extra])
     return pairs.join(left, "a").join(right, "b").withColumn("similarity", jaccard(F.col("_x"), F.col("_y"))).drop("_x", "_y")
 
 
+def _frequent(sets: DataFrame) -> list[int]:
+    """The hashes of tokens found most in a random sample, the most frequent last. They only set an order: results do not depend on them."""
+    sample = sets.select("x").sample(min(1.0, SAMPLE_ROWS / max(1, sets.count())), seed=7)
+    top = sample.select(F.explode("x").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("f")).orderBy(F.col("f").desc(), "t").limit(FREQUENT)
+    return [r["t"] for r in reversed(top.collect())]
+
+
 def set_join(df: DataFrame, order: str, tokens: str, group: str, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b, similarity), a < b, of different token sets of a group that are similar enough, each
     set standing for its first row; and (rep, id) of the later rows with an equal set.
 
-    Prefix filter: with tokens by ascending frequency, similar sets share one of their first
-    n - ceil(threshold * n) + 1 tokens. Nothing is cut: the filter loses no pair.
+    Prefix filter: in any one order of the tokens, similar sets share one of their first
+    n - ceil(threshold * n) + 1 tokens. The order is that of the hashes, with the tokens that a sample shows
+    to be frequent last, so only these few are posted, as hashes, with size and sketch of their set; what
+    these rule out goes before any set is fetched. The filters lose no pair, and nothing is cut.
     """
-    rows = df.select(F.col(group).alias("g"), F.col(order).alias("o"), F.array_sort(F.array_distinct(tokens)).alias("x")).where(F.size("x") > 0)
-    sets = cut(rows.groupBy("g", "x").agg(F.min("o").alias("o")))
-    copies = rows.join(sets.select("g", "x", F.col("o").alias("rep")), ["g", "x"]).where("o > rep").select("rep", F.col("o").alias("id"))
-    post = sets.select("g", "o", F.size("x").alias("n"), F.explode("x").alias("t"))
-    freq = post.groupBy("g", "t").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    near = post.join(freq, ["g", "t"]).groupBy("g", "o", "n").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("p"))
-    keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-    prefix = F.slice("p", F.lit(1), F.greatest(F.lit(0), keep - (F.col("n") - F.size("p"))).cast("int"))
-    near = near.select("g", "o", "n", F.explode(prefix).alias("q")).select("g", "o", "n", F.col("q.t").alias("t"))
-    a, b = near.select("g", "t", F.col("o").alias("a"), F.col("n").alias("na")), near.select("g", "t", F.col("o").alias("b"), F.col("n").alias("nb"))
-    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9)
-    pairs = a.join(b, ["g", "t"]).where(fits).select("a", "b").distinct()
+    rows = df.select(F.col(group).alias("g"), F.col(order).alias("o"), here(hashed(tokens)).alias("x")).where(F.size("x") > 0)
+    rows = rows.withColumn("d", F.sha2(F.array_join(F.transform("x", lambda h: h.cast("string")), ","), 256))
+    sets = cut(rows.groupBy("g", "d").agg(F.min("o").alias("o"), F.min_by("x", "o").alias("x")))
+    copies = rows.drop("x").join(sets.select("g", "d", F.col("o").alias("rep")), ["g", "d"]).where("o > rep").select("rep", F.col("o").alias("id"))
+    often = F.array(*[F.lit(t) for t in _frequent(sets)]).cast("array<bigint>")
+    n = F.size("x")
+    prefix = F.slice(F.concat(F.array_except("x", often), F.array_intersect(often, F.col("x"))), F.lit(1), (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int"))
+    post = sets.select("g", "o", n.alias("n"), here(prefix).alias("p"), *sketch("x")).withColumn("t", F.explode("p")).drop("p")
+    a, b = _sided(post, "a", ["g", "t"]), _sided(post, "b", ["g", "t"])
+    pairs = a.join(b, ["g", "t"]).where((F.col("o_a") < F.col("o_b")) & may_reach(threshold)).select(F.col("o_a").alias("a"), F.col("o_b").alias("b")).distinct()
     left, right = sets.select(F.col("o").alias("a"), F.col("x").alias("xa")), sets.select(F.col("o").alias("b"), F.col("x").alias("xb"))
     found = pairs.join(left, "a").join(right, "b").withColumn("similarity", jaccard(F.col("xa"), F.col("xb"))).where(F.col("similarity") >= threshold)
     return found.select("a", "b", "similarity"), copies
@@ -120,9 +170,8 @@ def near_copies(df: DataFrame, order: str, tokens: str, group: str, threshold: f
 
 def clusters(edges: DataFrame, prefix: str) -> DataFrame:
     """(ord, cluster): components numbered by their first member."""
-    comp = connected_components(edges, "a", "b")
-    heads = comp.select("component").distinct()
-    number = heads.withColumn("k", F.row_number().over(Window.partitionBy().orderBy("component")))
+    comp = cut(connected_components(edges, "a", "b"))
+    number = numbered(comp.select("component").distinct(), [], ["component"], "k")
     name = F.format_string(f"{prefix}-%04d", "k")
     return comp.join(number, "component").select(F.col("id").alias("ord"), name.alias("cluster"))
 
@@ -138,7 +187,7 @@ def coordination_edges(df: DataFrame, similarity: float, story: float, hours: fl
     same = df.where(F.length("folded") >= min_length).select("ord", "media", F.nullif("author", F.lit("")).alias("author"), F.sha2("folded", 256).alias("k"))
     groups = same.groupBy("k").agg(F.min("ord").alias("a"), F.count_distinct("author").alias("authors"), F.bool_and("media").alias("story")).where("authors >= 2 AND NOT story")
     exact = same.join(groups.select("k", "a"), "k").where("ord > a").select("a", F.col("ord").alias("b"))
-    near = with_similarity(recent_pairs(rows, "ord", "toks"), rows, "ord", "toks", ["author", "media", "ts"]).where(F.col("similarity") >= similarity)
+    near = with_similarity(recent_pairs(rows, "ord", "toks", threshold=min(similarity, story)), rows, "ord", "toks", ["author", "media", "ts"]).where(F.col("similarity") >= similarity)
     told = F.col("media_a") & F.col("media_b") & (F.col("similarity") >= story)
     close = F.abs(F.unix_micros("ts_a") - F.unix_micros("ts_b")) <= int(hours * 3600e6)
     near = near.where(~F.coalesce(F.col("author_a") == F.col("author_b"), F.lit(False)) & ~told & close)

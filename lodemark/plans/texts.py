@@ -225,7 +225,7 @@ SELECT c.a, c.b, round(len(list_intersect(x.al, y.al)) / len(list_distinct(list_
 WHERE len(list_intersect(x.al, y.al)) / len(list_distinct(list_concat(x.al, y.al))) >= 0.68""")
 def similarity_join(spark, sf):
     c = corpus(spark, sf).select("ord", "toks")
-    pairs = SIM.recent_pairs(c, "ord", "toks")
+    pairs = SIM.recent_pairs(c, "ord", "toks", threshold=0.68)
     return SIM.with_similarity(pairs, c, "ord", "toks").where("similarity >= 0.68").withColumn("similarity", A.r(F.col("similarity"), 6))
 
 

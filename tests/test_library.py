@@ -221,3 +221,52 @@ def test_robust_z(spark):
     z = {r["day"]: r["v_z"] for r in aggregate.robust_scores(series, ["v"]).collect()}
     assert z["d0"] == 0 and z["d4"] == 10 * 45 / 5
     assert all(r["v_z"] == 0 for r in aggregate.robust_scores(series.limit(4), ["v"]).collect())
+
+
+def test_near_copies_by_brute_force(spark):
+    """The greedy rule over all pairs of an author, on the documents themselves."""
+    from lodemark.plans.texts import corpus
+
+    rows = corpus(spark, "/root/testdata/sf0.01").select("ord", "author", "toks")
+    kept, want = {}, {}
+    for r in sorted(rows.collect(), key=lambda r: r["ord"]):
+        x = frozenset(r["toks"])
+        near = [o for o, y in kept.setdefault(r["author"], []) if x and 100 * len(x & y) >= 85 * len(x | y)]
+        if near:
+            want[r["ord"]] = near[0]
+        else:
+            kept[r["author"]].append((r["ord"], x))
+    got = {r["id"]: r["leader"] for r in similarity.near_copies(rows, "ord", "toks", "author", 0.85).collect()}
+    assert got == want and len(want) > 2
+
+
+def test_sketches_lose_no_pair(spark):
+    import random
+
+    r = random.Random(6)
+    sets = []
+    for _ in range(60):
+        base = [f"w{r.randint(0, 400)}" for _ in range(r.choice([3, 20, 150, 400]))]
+        sets += [base, [x for x in base if r.random() < 0.9] + ["z"], base[: len(base) // 2]]
+    df = spark.createDataFrame([(i, "g", x) for i, x in enumerate(sets)], "ord int, g string, toks array<string>")
+    pairs, copies = similarity.set_join(df, "ord", "toks", "g", 0.7)
+    first = {}
+    for i, x in enumerate(sets):
+        first.setdefault(frozenset(x), i)
+    uniq = sorted((i, s) for s, i in first.items())
+    want = {(i, j) for i, x in uniq for j, y in uniq if i < j and 10 * len(x & y) >= 7 * len(x | y)}
+    assert {(p["a"], p["b"]) for p in pairs.collect()} == want and want
+    assert {(c["rep"], c["id"]) for c in copies.collect()} == {(first[frozenset(x)], i) for i, x in enumerate(sets) if first[frozenset(x)] != i}
+
+
+def test_numbered(spark):
+    from lodemark.operators.ranks import numbered
+
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, 'hot', if(id % 7 = 0, null, concat('g', id % 5))) AS g", "(id * 7919) % 3001 AS o", "id AS rank_")
+    got = numbered(df.repartition(7), ["g"], ["o"], written=True).collect()
+    want = {}
+    for g in {r["g"] for r in got}:
+        for k, o in enumerate(sorted(r["o"] for r in got if r["g"] == g)):
+            want[g, o] = k + 1
+    assert len(got) == 3000 and all(want[r["g"], r["o"]] == r["rank"] for r in got)
+    assert numbered(df.limit(0), [], ["o"]).count() == 0

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodemark.operators.ranks import exact_quantile
+
 METRICS = ("views", "likes", "comments", "shares", "followers")
 MIN_PLATFORM_SAMPLE = 5
 
@@ -42,18 +44,24 @@ def mean_of_present(parts: list[tuple[Column, float]]) -> Column:
 def metric_reference(records: DataFrame, metrics: tuple[str, ...] = METRICS, q: float = 0.95, exact: bool = True, accuracy: int = 100_000) -> DataFrame:
     """(platform, {metric}_r): the percentile of positive values by platform, that of all where fewer than five.
 
-    One pass: platform and grand totals come from one ROLLUP. ``exact=False`` uses the sketch, whose
-    state is bounded however many values there are.
+    Exact by rank selection over value ranges (``ranks.exact_quantile``), so no task holds the values of a
+    platform; ``exact=False`` uses the sketch, whose state is bounded too, in one pass: platform and grand
+    totals come from one ROLLUP. A platform without any value has null references where all have none.
     """
-    aggs = []
-    for m in metrics:
-        v = F.when(F.col(m) > 0, F.col(m).cast("double"))
-        aggs.append((F.percentile(v, F.lit(q)) if exact else F.percentile_approx(v, q, accuracy)).alias(f"{m}_p"))
-        aggs.append(F.count(v).alias(f"{m}_n"))
-    refs = records.rollup("platform").agg(*aggs, F.grouping("platform").alias("all_"))
-    whole = refs.where("all_ = 1").select(*[F.col(f"{m}_p").alias(f"{m}_g") for m in metrics])
-    local = refs.where("all_ = 0").crossJoin(F.broadcast(whole))  # one row
-    return local.select("platform", *[F.when(F.col(f"{m}_n") < MIN_PLATFORM_SAMPLE, F.col(f"{m}_g")).otherwise(F.col(f"{m}_p")).alias(f"{m}_r") for m in metrics])
+    if exact:
+        refs = exact_quantile(records, "platform", list(metrics), q)
+        refs = refs.unionByName(records.select("platform").distinct().withColumn("all_", F.lit(False)), allowMissingColumns=True)
+        refs = refs.groupBy("platform", "all_").agg(*[F.max(f"{m}_{x}").alias(f"{m}_{x}") for m in metrics for x in ("p", "n")])
+    else:
+        aggs = []
+        for m in metrics:
+            v = F.when(F.col(m) > 0, F.col(m).cast("double"))
+            aggs += [F.percentile_approx(v, q, accuracy).alias(f"{m}_p"), F.count(v).alias(f"{m}_n")]
+        refs = records.rollup("platform").agg(*aggs, (F.grouping("platform") == 1).alias("all_"))
+    whole = refs.where("all_").select(*[F.col(f"{m}_p").alias(f"{m}_g") for m in metrics])
+    local = refs.where("NOT all_").join(F.broadcast(whole), F.lit(True), "left")  # one row, none for a table without values
+    few = lambda m: F.coalesce(F.col(f"{m}_n"), F.lit(0)) < MIN_PLATFORM_SAMPLE
+    return local.select("platform", *[F.when(few(m), F.col(f"{m}_g")).otherwise(F.col(f"{m}_p")).alias(f"{m}_r") for m in metrics])
 
 
 def norm_metric(v: Column, ref: Column) -> Column:

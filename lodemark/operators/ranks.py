@@ -27,3 +27,38 @@ def numbered(df: DataFrame, group: list[str], order: list[str], name: str = "ran
         out = cut(out)
         discard(rows)
     return out
+
+
+#: Value ranges of the first pass: so many for each doubling.
+RANGES = 512
+
+
+def exact_quantile(df: DataFrame, group: str, columns: list[str], q: float) -> DataFrame:
+    """(group, all_, {column}_p, {column}_n): the q-quantile of the positive values of each column and their number, by
+    group and (``all_`` = true, group null) over all rows; interpolated between neighbours. Null where there are none.
+
+    Selection by rank in two passes. The first counts values by range, ``RANGES`` to each doubling, so its
+    state grows with the number of ranges only; running sums over the ranges show which ones hold the two
+    ranks. The second counts the distinct values of these ranges, whose numbers are the only values that
+    travel. What is broadcast is two ranges for each group and column.
+    """
+    entry = F.array(*[F.struct(F.lit(i).alias("m"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])
+    values = df.select(F.col(group).alias("g"), F.inline(entry)).where("v > 0").withColumn("bin", F.floor(F.log2("v") * RANGES))
+    bins = values.groupingSets([["g", "m", "bin"], ["m", "bin"]], "g", "m", "bin").agg(F.count(F.lit(1)).alias("n"), F.grouping("g").alias("all_"))
+    of = Window.partitionBy("all_", "g", "m")
+    bins = bins.withColumns({"before": F.sum("n").over(of.orderBy("bin")) - F.col("n"), "total": F.sum("n").over(of)})
+    at = F.lit(q) * (F.col("total") - 1)
+    low, high = F.floor(at), F.ceil(at)
+    holds = lambda k, start, n: (k >= start) & (k < start + n)
+    wanted = bins.where(holds(low, F.col("before"), F.col("n")) | holds(high, F.col("before"), F.col("n")))
+    wanted = wanted.select("all_", F.col("g").alias("to"), "m", "bin", "before", "total")
+    near = values.join(F.broadcast(wanted), ["m", "bin"]).where("all_ = 1 OR g <=> to")
+    near = near.groupBy("all_", "to", "m", "bin", "v").agg(F.count(F.lit(1)).alias("n"), F.first("before").alias("before"), F.first("total").alias("total"))
+    start = F.col("before") + F.sum("n").over(Window.partitionBy("all_", "to", "m", "bin").orderBy("v")) - F.col("n")
+    near = near.withColumn("start", start)
+    value = lambda k: F.max(F.when(holds(k, F.col("start"), F.col("n")), F.col("v")))
+    found = near.groupBy("all_", "to", "m").agg(value(low).alias("lo"), value(high).alias("hi"), F.first("total").alias("total"))
+    p = F.when(low == high, F.col("lo")).otherwise((high - at) * F.col("lo") + (at - low) * F.col("hi"))
+    found = found.select(F.col("to").alias(group), (F.col("all_") == 1).alias("all_"), "m", p.alias("p"), "total")
+    one = lambda i, c, name: F.max(F.when(F.col("m") == i, F.col(c))).alias(name)
+    return found.groupBy(group, "all_").agg(*[x for i, c in enumerate(columns) for x in (one(i, "p", f"{c}_p"), F.coalesce(one(i, "total", "n"), F.lit(0)).alias(f"{c}_n"))])

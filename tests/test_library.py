@@ -270,3 +270,32 @@ def test_numbered(spark):
             want[g, o] = k + 1
     assert len(got) == 3000 and all(want[r["g"], r["o"]] == r["rank"] for r in got)
     assert numbered(df.limit(0), [], ["o"]).count() == 0
+
+
+def test_exact_quantile(spark):
+    """Against numpy: a group with most rows, ties, values close together, negative and missing ones, empty groups."""
+    import numpy as np
+
+    from lodemark.functions.scores import metric_reference
+    from lodemark.operators.ranks import exact_quantile
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(4000):
+        g = "hot" if i % 3 else ["a", "b", "few", None][i % 4] if i % 400 else "empty"
+        rows.append((g, float(rng.integers(-3, 12)), float(1000 + rng.random() / 1e6) if i % 5 else None, None if g == "empty" else float(rng.lognormal(3, 4))))
+    df = spark.createDataFrame(rows, "platform string, x double, y double, z double")
+    for q in (0.0, 0.5, 0.95, 1.0):
+        got = {(r["platform"], r["all_"]): r for r in exact_quantile(df.repartition(5), "platform", ["x", "y", "z"], q).collect()}
+        for (g, whole), r in got.items():
+            for k, c in enumerate("xyz"):
+                v = np.array([row[k + 1] for row in rows if (whole or row[0] == g) and row[k + 1] is not None and row[k + 1] > 0])
+                assert r[f"{c}_n"] == len(v) and (np.isclose(r[f"{c}_p"], np.quantile(v, q), rtol=1e-12) if len(v) else r[f"{c}_p"] is None)
+        assert sum(w for _, w in got) == 1
+    metrics = ("x", "y", "z")
+    exact, old = metric_reference(df, metrics), df.where("platform = 'hot'").selectExpr("percentile(if(z > 0, z, null), 0.95) AS p").first()["p"]
+    refs = {r["platform"]: r for r in exact.collect()}
+    assert refs["hot"]["z_r"] == pytest.approx(old, rel=1e-12) and set(refs) == {r[0] for r in rows} and refs["empty"]["z_r"] is not None
+    assert "percentile" not in exact._jdf.queryExecution().optimizedPlan().toString()
+    assert metric_reference(df.limit(0), metrics).count() == 0
+    assert [r["x_r"] for r in metric_reference(df.select("platform", *[F.lit(None).cast("double").alias(m) for m in metrics]), metrics).collect()] == [None] * len(refs)

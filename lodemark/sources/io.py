@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -47,3 +47,17 @@ def annotate_missing(records: DataFrame, cache: DataFrame, provider: Callable[[p
     """Annotations from the cache where it has the fingerprint, from the provider elsewhere; ``schema`` holds the key."""
     missing = records.join(cache.select(key), key, "left_anti")
     return cache.join(records.select(key).distinct(), key, "left_semi").unionByName(annotate(missing, provider, schema))
+
+
+def run_catalog(spark: SparkSession, path: str, plans: DataFrame, newest: int = 100) -> DataFrame:
+    """(run_id, n_files, bytes, modified, n_rows, place and the columns of ``plans``) of the newest runs below ``path``.
+
+    Runs are folders run_id=... as ``write_run`` makes them; ``plans`` has one row a run_id. Sizes and times come
+    from the file system, row counts from the footers: no column is read. Newest by the run's id.
+    """
+    of = F.regexp_extract("path", r"/run_id=([^/]*)/", 1)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+    sizes = files.groupBy(of.alias("run_id")).agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("bytes"), F.max("modificationTime").alias("modified"))
+    rows = spark.read.option("basePath", path).option("recursiveFileLookup", False).parquet(path).groupBy(F.col("run_id").cast("string").alias("run_id")).agg(F.count(F.lit(1)).alias("n_rows"))
+    found = sizes.join(rows, "run_id").join(plans, "run_id", "left").orderBy(F.col("run_id").desc()).limit(newest)
+    return found.withColumn("place", F.row_number().over(Window.orderBy(F.col("run_id").desc())).cast("long"))  # a window over the newest ones

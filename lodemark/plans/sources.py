@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodemark.operators import schemas as R
+from lodemark.operators import slicing as SL
 from lodemark.plans.registry import query
 from lodemark.session import table, work_dir
 from lodemark.sources import io, paged
@@ -58,3 +59,24 @@ def mapping_recovery(spark, sf):
     schema = R.schema_of(raw.select(text.alias("raw")), "raw")
     mapping = {"title": "$.name", "score": "$.score", "amount": "$.amount", "gone": "$.nothing"}
     return R.recover_mapping(R.paths_of(schema), mapping)
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_type AS k, CAST(ts AS DATE) AS d FROM events WHERE ts IS NOT NULL),
+w AS (SELECT k, min(d) AS s, max(d) AS t, count(*) AS n FROM e GROUP BY 1
+ UNION ALL SELECT h.k, h.s, h.t, (SELECT count(*) FROM e WHERE e.k = h.k AND e.d BETWEEN h.s AND h.t) FROM (SELECT w.k, CASE WHEN i = 0 THEN w.s ELSE w.s + CAST((w.t - w.s + 1) // 2 AS INTEGER) END AS s, CASE WHEN i = 0 THEN w.s + CAST((w.t - w.s + 1) // 2 - 1 AS INTEGER) ELSE w.t END AS t
+ FROM w, (SELECT unnest([0, 1]) AS i) WHERE w.n >= 150 AND w.t - w.s + 1 >= 2) h)
+SELECT k AS event_type, strftime(s, '%Y-%m-%d') AS first_day, strftime(t, '%Y-%m-%d') AS last_day, n, n >= 150 AS is_full FROM w WHERE n < 150 OR t - s + 1 < 2""")
+def window_halving(spark, sf):
+    """The span of each type of event in windows of fewer than 150 events, or as short as they get."""
+    w = SL.split_windows(table(spark, sf, "events").select("event_type", F.col("ts").cast("date").alias("d")), "event_type", "d", 150)
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return w.select("event_type", day("start").alias("first_day"), day("end").alias("last_day"), "n", F.col("full").alias("is_full"))
+
+
+@query("""WITH c AS (SELECT user_id, event_id, CASE WHEN user_id % 3 = 0 THEN 5 ELSE event_id % 4 END AS n FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM c WHERE n > 0),
+s AS (SELECT user_id, CASE WHEN count(*) = 3 AND min(n) = max(n) THEN max(n) END AS ceiling FROM r WHERE r <= 3 GROUP BY 1)
+SELECT DISTINCT c.user_id, CAST(s.ceiling AS BIGINT) AS ceiling FROM c LEFT JOIN s USING (user_id)""")
+def call_ceilings(spark, sf):
+    """Users whose last three counts agree."""
+    e = table(spark, sf, "events").select("user_id", "event_id", F.when(F.col("user_id") % 3 == 0, 5).otherwise(F.col("event_id") % 4).alias("n"))
+    return SL.ceilings(e, "user_id", "event_id", "n")

@@ -59,15 +59,15 @@ def second_pass(spark, sf):
     return e.select("id", R.adjudicated(F.col("sentiment_label"), F.col("second"), F.col("sure")).alias("label"))
 
 
-_LOCAL = f"""{EV}, l AS (SELECT narrative, platform AS about, count(*) AS n, count(DISTINCT platform) AS sources, count(DISTINCT author) AS authors, avg(evidence_confidence) AS evidence, avg(CASE WHEN views IS NULL THEN 1.0 ELSE 0.0 END) AS missing_impact,
- avg(CASE WHEN evidence_confidence < 0.65 THEN 1.0 ELSE 0.0 END) AS low FROM evidence WHERE day <= '2024-01-03' GROUP BY 1, 2),
+_LOCAL = f"""{EV}, l AS (SELECT narrative, day AS about, count(*) AS n, count(DISTINCT platform) AS sources, count(DISTINCT author) AS authors, avg(evidence_confidence) AS evidence, avg(CASE WHEN views IS NULL THEN 1.0 ELSE 0.0 END) AS missing_impact,
+ avg(CASE WHEN evidence_confidence < 0.65 THEN 1.0 ELSE 0.0 END) AS low FROM evidence GROUP BY 1, 2),
 lc AS (SELECT *, round(100 * (0.25 * 0.8 + 0.20 * 0.7 + 0.20 * least(1, sqrt(n / 25.0)) + 0.15 * least(1, sources / 3.0) + 0.15 * evidence + 0.05 * 0.4), 2) AS score FROM l)"""
 
 
 def _local(spark, sf):
-    e = X.evidence(spark, sf).where("day <= '2024-01-03'").withColumn("impact_confidence", F.when(F.col("views").isNotNull(), 1.0).otherwise(0.0))
+    e = X.evidence(spark, sf).withColumn("impact_confidence", F.when(F.col("views").isNotNull(), 1.0).otherwise(0.0))
     # low confidence counts from 0.65 in these data, so that the caveat occurs
-    e = e.withColumn("about", F.col("platform")).withColumn("plain", F.col("evidence_confidence"))
+    e = e.withColumn("about", F.col("day")).withColumn("plain", F.col("evidence_confidence"))
     l = R.local_evidence(e, ["narrative", "about"]).drop("low_semantic")  # noqa: E741
     low = e.groupBy("narrative", "about").agg(F.avg((F.col("plain") < 0.65).cast("double")).alias("low_semantic"))
     return l.join(low, ["narrative", "about"]).withColumn("score", R.local_confidence(F.lit(80.0), F.lit(70.0), F.lit(0.4)))

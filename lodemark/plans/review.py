@@ -10,6 +10,7 @@ from lodemark.operators import review as R
 from lodemark.plans import texts as P
 from lodemark.plans.registry import query
 from lodemark.sources import fixtures as X
+from lodemark.streaming import gaps
 from lodemark.sources.fixtures import table
 
 EV = X.SQL["evidence"]
@@ -191,3 +192,10 @@ def type_sanitize(spark, sf):
     e = F.col("event_id")
     v = F.when(e % 6 == 0, "NaN").when(e % 6 == 1, "1e400").when(e % 6 == 2, "12.5").when(e % 6 == 3, "-4").when(e % 6 == 4, " ").otherwise(e.cast("string"))
     return table(spark, sf, "events").select("event_id", R.fitting(v, "double").alias("d"), R.fitting(v, "bigint", 0, 500).alias("n"), R.fitting(v, "string").alias("s"))
+
+
+@query(f"""{EV}, g AS (SELECT day AS author, ts, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY day ORDER BY ts) AS gap FROM evidence)
+SELECT author, count(*) AS posts, count(*) FILTER (WHERE gap <= 180) AS rapid, count(*) >= 5 AND count(*) FILTER (WHERE gap <= 180) >= 4 AS burst FROM g GROUP BY 1""")
+def gap_bursts(spark, sf):
+    """Rapid gaps between events; a day stands in for an author, whose events lie too far apart in these data."""
+    return gaps.batch_bursts(X.evidence(spark, sf).select(F.col("day").alias("author"), "ts"))

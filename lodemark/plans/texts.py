@@ -11,6 +11,7 @@ from lodemark.functions import text as T
 from lodemark.operators import aggregate as A
 from lodemark.operators import normalize as N
 from lodemark.operators import similarity as SIM
+from lodemark.operators.ranks import numbered
 from lodemark.plans.registry import query
 from lodemark.sources import fixtures as X
 from lodemark.sources.fixtures import table
@@ -163,7 +164,7 @@ def pseudonymize(spark, sf):
     """Stable names by first appearance, joined from a table with one row an author."""
     d = table(spark, sf, "documents").select("doc_id", "source")
     a = d.groupBy("source").agg(F.min("doc_id").alias("o"))
-    n = a.select("source", F.concat(F.lit("author-"), F.row_number().over(Window.partitionBy().orderBy("o")).cast("string")).alias("alias"))
+    n = numbered(a, [], ["o"]).select("source", F.concat(F.lit("author-"), F.col("rank").cast("string")).alias("alias"))
     return d.join(n, "source").select("doc_id", "alias")
 
 

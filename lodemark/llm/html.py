@@ -315,7 +315,8 @@ def extract(pages: DataFrame, share: float = 0.8) -> DataFrame:
 
     A null or empty html, or one without text, has the empty text. Null ids and urls pass through;
     repeated rows give repeated results. Broken markup is read as browsers do in the common cases:
-    open elements end with the page, a cut-off tag is dropped. Other columns are ignored.
+    open elements end with the page, a cut-off tag is dropped. What never counts as text is in ``DROP``, what
+    does not unless most of the scores are in it in ``ASIDE``, ``OTHER``, ``EDGE`` and ``ROLES``. Other columns are ignored.
     """
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return src.mapInArrow(_runner(share), "page_id long, url string, text string, n_chars long")

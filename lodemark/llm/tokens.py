@@ -249,4 +249,9 @@ def sample_edits(docs: DataFrame) -> DataFrame:
 
 
 def counts_with_edits(docs: DataFrame) -> DataFrame:
+    """``token_counts`` of each row of ``docs`` (doc_id, text) under the three edits of ``sample_edits``.
+
+    A null or empty text has no tokens before and those of the inserted ones after; rows that repeat are
+    counted each; an empty table gives none; other columns are ignored, one named edits too.
+    """
     return token_counts(sample_edits(docs.select("doc_id", "text")))

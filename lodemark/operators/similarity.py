@@ -65,7 +65,8 @@ def recent_pairs(df: DataFrame, order: str, tokens: str, window: int = 80, per_r
         rows = df.select(F.col(order).alias("o"), here(short).alias("short"), here(hashed(tokens)).alias("x"))
         rows = rows.select("o", "short", F.size("x").alias("n"), *sketch("x"))
         held, mark = ["n", *[f"s{k}" for k in range(SKETCH)]], may_reach(threshold)
-    post = rows.select("o", *held, F.explode("short").alias("w")).withColumn("t", F.xxhash64("w")).drop("w")
+    rows = cut(rows.withColumn("short", F.transform("short", lambda t: F.xxhash64(t))))  # ranges come from a sample of the rows, and texts are to be folded once
+    post = rows.select("o", *held, F.explode("short").alias("t"))
     post = numbered(post, ["t"], ["o"], "k").withColumn("blk", F.floor(F.col("k") / window))
     late = _sided(post, "b", ["t", "blk"])
     early = _sided(post.withColumn("blk", F.explode(F.array("blk", F.col("blk") + 1))), "a", ["t", "blk"])

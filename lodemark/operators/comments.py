@@ -192,31 +192,31 @@ FIELDS = {
 }
 
 
-def normalize_comments(df: DataFrame, seeds: DataFrame, context: DataFrame, now: Column, key: str = "key", raw: str = "raw") -> DataFrame:
+def normalize_comments(df: DataFrame, seeds: DataFrame, context: DataFrame, now: Column, key: str = "key", raw: str = "raw", same: tuple[str, ...] = ()) -> DataFrame:
     """Records of raw comments: one for each source and comment id, the first by ``key``.
 
     ``df``: key (unique, ordered), source, raw (JSON text) and, from ``flatten_nested``, parent_id (may be
     null). ``seeds`` (source, ref, ord): the posts asked for. ``context`` (source, ref, text, market_score,
-    qualified, tier): what is known of them, one row each. Rows without text go, and so does a post that
+    qualified, tier): what is known of them, one row each; it is joined to the finished records, and a post with
+    several rows gives a record for each. With ``same``, columns of both ``df`` and ``context``, only context
+    that is equal in these counts. Rows without text go, and so does a post that
     comes back among its own replies. A row without an id gets one from source, post, author and text. A
     direct answer to the post has no parent comment. Dates that cannot be read are null, as of ``now``.
     """
-    v = df.select(key, "source", F.col("parent_id").alias("nested_parent"), here(F.try_parse_json(raw)).alias("v_"))
+    v = df.select(key, *same, "source", F.col("parent_id").alias("nested_parent"), here(F.try_parse_json(raw)).alias("v_"))
     pick = lambda field: F.get(values_at("v_", by_source({s: f[field] for s, f in FIELDS.items()}, F.col("source"), _DEFAULT[field])), F.lit(0))
     fields = {field: here(pick(field)).alias(f"{field}_") for field in _DEFAULT}
-    v = v.select(key, "source", "nested_parent", here(F.try_variant_get("v_", "$.threadingDepth", "string")).alias("deep"), *fields.values())
+    v = v.select(key, *same, "source", "nested_parent", here(F.try_variant_get("v_", "$.threadingDepth", "string")).alias("deep"), *fields.values())
     nested = F.when(F.col("source").isin(*NESTINGS), F.col("nested_parent"))
     known = [*FIELDS]
     rows = v.select(
-        key, "source", F.col("text_").alias("text"), F.col("date_").alias("date_raw"), F.col("author_").alias("author"), F.col("id_").alias("own_id"),
+        key, *same, "source", F.col("text_").alias("text"), F.col("date_").alias("date_raw"), F.col("author_").alias("author"), F.col("id_").alias("own_id"),
         S.safe_count(F.col("likes_")).alias("likes"), S.safe_count(F.col("replies_")).alias("comments"), S.safe_count(F.col("shares_")).alias("shares"), F.col("url_").alias("own_url"),
         F.coalesce(nested, "parent_").alias("parent"), F.when(F.col("source") == "facebook", S.safe_count(F.col("deep"))).alias("deep"),
     ).where("text IS NOT NULL")
     posts = attribute_parents(df, seeds, key, raw).select(key, "parent_post")
     roots = seeds.where("source = 'x'").select("source", F.col("ref").alias("own_id")).distinct()
     rows = rows.join(posts, key).join(roots, ["source", "own_id"], "left_anti")
-    about = context.select("source", F.col("ref").alias("parent_post"), F.trim("text").alias("parent_context"), "market_score", "qualified", "tier")
-    rows = rows.join(about, ["source", "parent_post"], "left")
     parent = F.when((F.col("source") == "x") & (F.col("parent") == F.col("parent_post")), F.lit(None).cast("string")).otherwise(F.col("parent"))
     answered = F.when(F.col("source") == "tiktok", F.col("parent").isNotNull() & (F.col("parent") != "0")).otherwise(F.col("parent").isNotNull() | (F.coalesce("deep", F.lit(0)) > 0))
     layer = F.when(F.col("source") == "x", "reply").when(F.col("source").isin(known) & answered, "reply").otherwise("comment")
@@ -224,11 +224,16 @@ def normalize_comments(df: DataFrame, seeds: DataFrame, context: DataFrame, now:
     stable = F.coalesce(F.nullif("own_id", F.lit("")), F.substring(F.sha1(F.concat_ws("|", "source", text_or("parent_post"), text_or("author"), "text")), 1, 24))
     answers_known = (F.col("comments") > 0).cast("int")
     out = rows.select(
-        key, F.concat(F.lit("comment:"), "source", F.lit(":"), stable).alias("id"), F.col("source").alias("platform"), "text", N.parse_date(F.col("date_raw"), now).alias("date"), "author",
-        "likes", "comments", "shares", F.coalesce("own_url", "parent_post").alias("url"), layer.alias("evidence_layer"), "parent_post", F.nullif("parent_context", F.lit("")).alias("parent_context"),
-        F.round(F.greatest(F.coalesce("market_score", F.lit(0.0)), F.lit(0.0)), 4).alias("parent_market_score"), F.coalesce("qualified", F.lit(False)).alias("parent_subject_qualified"), F.nullif("tier", F.lit("")).alias("parent_qualification_tier"),
+        key, *same, F.concat(F.lit("comment:"), "source", F.lit(":"), stable).alias("id"), F.col("source").alias("platform"), "text", N.parse_date(F.col("date_raw"), now).alias("date"), "author",
+        "likes", "comments", "shares", F.coalesce("own_url", "parent_post").alias("url"), layer.alias("evidence_layer"), "parent_post",
         parent.alias("parent_comment_id"), stable.alias("comment_id"), F.round((1 + answers_known) / 5.0, 4).alias("metric_coverage"),
     )
     rest = [c for c in out.columns if c != "id"]
-    return out.groupBy("id").agg(F.min_by(F.struct(*rest), key).alias("r")).select("id", *[f"r.{c}" for c in rest if c != key])
+    out = out.groupBy("id").agg(F.min_by(F.struct(*rest), key).alias("r")).select("id", *[f"r.{c}" for c in rest if c != key])
+    about = context.select(
+        F.col("source").alias("platform"), F.col("ref").alias("parent_post"), *same, F.nullif(F.trim("text"), F.lit("")).alias("parent_context"),
+        F.round(F.greatest(F.coalesce("market_score", F.lit(0.0)), F.lit(0.0)), 4).alias("parent_market_score"), F.coalesce("qualified", F.lit(False)).alias("parent_subject_qualified"), F.nullif("tier", F.lit("")).alias("parent_qualification_tier"),
+    )
+    out = out.join(about, ["platform", "parent_post", *same], "left").drop(*same)
+    return out.fillna({"parent_market_score": 0.0, "parent_subject_qualified": False})
 

@@ -105,3 +105,14 @@ def test_records(spark):
     assert str(x["date"]) == "2024-01-15 10:00:00" and got["comment:tiktok:5"]["evidence_layer"] == "comment" and got["comment:tiktok:6"]["evidence_layer"] == "reply" and got["comment:tiktok:6"]["author"] == "nick"
     rest = [r for k, r in got.items() if not k.startswith(("comment:x", "comment:tiktok"))]
     assert {(r["platform"], r["evidence_layer"], r["date"], r["parent_post"], len(r["comment_id"])) for r in rest} == {("facebook", "reply", None, "f", 24), ("forum", "comment", None, None, 24)}
+
+
+def test_context_of_a_shared_address(spark):
+    """Conversations that share an address keep their own context, once for each post asked for; without ``same`` all of it."""
+    df = spark.createDataFrame([(i, c, "youtube", json.dumps({"commentId": str(i), "comment": "t", "videoUrl": "https://y/watch?v=abcdef1"}), None) for i, c in enumerate("abc")], "key int, conv string, source string, raw string, parent_id string")
+    seeds = spark.createDataFrame([("youtube", "https://y/watch?v=abcdef1", 1), ("youtube", "https://y/watch?v=abcdef1", 2)], "source string, ref string, ord int")
+    about = spark.createDataFrame([("youtube", "https://y/watch?v=abcdef1", c, f"about {c}") for c in "aab"], "source string, ref string, conv string, text string").selectExpr("*", "0.5D AS market_score", "true AS qualified", "'' AS tier")
+    out = C.normalize_comments(df, seeds, about, F.lit(NOW).cast("timestamp"), same=("conv",)).collect()
+    assert sorted((r["comment_id"], r["parent_context"], r["parent_market_score"]) for r in out if r["parent_context"]) == [("0", "about a", 0.5), ("0", "about a", 0.5), ("1", "about b", 0.5)]
+    assert [(r["comment_id"], r["parent_market_score"], r["parent_subject_qualified"]) for r in out if not r["parent_context"]] == [("2", 0.0, False)]
+    assert C.normalize_comments(df, seeds, about.drop("conv"), F.lit(NOW).cast("timestamp")).count() == 9

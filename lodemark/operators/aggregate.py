@@ -32,7 +32,10 @@ def eligible_record() -> Column:
 
 
 def r(x: Column, digits: int = 4) -> Column:
-    return F.round(x, digits)
+    """``x`` as a double, rounded as SQL engines round doubles: the product with the power of ten goes to the nearest whole number,
+    halves away from zero. ``F.round`` rounds the shortest decimal form instead, which differs where that ends in a five."""
+    power = F.lit(float(10**digits))
+    return F.round(x.cast("double") * power, 0) / power
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:

@@ -49,7 +49,7 @@ COLUMNS = (
 
 
 def _num(x: Column, digits: int = 4) -> Column:
-    return F.round(x, digits).cast(f"decimal(18,{digits})")
+    return A.r(x, digits).cast(f"decimal(18,{digits})")
 
 
 def _list(found: Column) -> Column:
@@ -125,7 +125,7 @@ def _inventory(records: DataFrame, sentiments, emotions, stances, groups, target
     drivers = A.contributions(records, "narrative")
     side = F.when(F.col("points") > 0, "positive").when(F.col("points") < 0, "negative")
     largest, points = [F.abs("points").desc(), F.col("name")], _num(F.col("points")).alias("points")
-    authors = records.groupBy("origin_group", "author").agg(F.round(F.sum("impact_score"), 6).alias("attention"))
+    authors = records.groupBy("origin_group", "author").agg(A.r(F.sum("impact_score"), 6).alias("attention"))
     days = A.robust_scores(A.daily_series(records, emotions), ["records", "negative_share", *[f"{x}_share" for x in emotions]])
     flagged = days.withColumn("flags", F.concat_ws(",", A.anomaly_flags(days, emotions))).where("flags <> ''")
     copied = lambda key, cls, least, people: records.where(F.col("content_class") == cls).groupBy(F.col(key).alias("name")).agg(n.alias("records"), F.count_distinct("author").alias("authors")).where((F.col("records") >= least) & (F.col("authors") >= people))

@@ -42,6 +42,14 @@ def test_terms(spark):
     assert [tuple(r) for r in df.select(R.or_group(F.col("x")), R.negatives(F.col("x"))).collect()] == [('(a OR "b c")', '-a -"b c"'), ("", "")]
 
 
+def test_figures_round_as_doubles_do_in_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    values = [21.40385, 1.00005, 2.67515, -21.40385, 1.005, 0.0, 12345678.00005, 0.5]
+    want = [duckdb.connect().execute("SELECT round(CAST(? AS DOUBLE), 4)", [v]).fetchone()[0] for v in values]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(I._num(F.col("v")).cast("double").alias("x")).collect()
+    assert [r["x"] for r in got] == want != [float(r["x"]) for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(F.round("v", 4).alias("x")).collect()]
+
+
 def test_inventory_of_nothing_and_of_nulls(spark):
     """Every indicator once, whatever the data; nothing is available without records."""
     from lodemark.sources import fixtures as X

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodemark.operators import aggregate as A
 from lodemark.operators import review as R
 
 #: The kinds of investigation and the indicators that each rests on.
@@ -77,7 +78,7 @@ def assemble(records: DataFrame, triggers: DataFrame, dimensions: list[str], ove
     figures = R.local_evidence(local, ["dimension", "value"])
     out = known.join(figures, ["dimension", "value"], "left").join(_top(local, ["dimension", "value"], evidence), ["dimension", "value"], "left")
     out = out.fillna({"n": 0, "sources": 0, "authors": 0, "evidence": 0.0, "missing_impact": 0.0, "low_semantic": 0.0})
-    out = out.withColumn("confidence", R.local_confidence(F.lit(overall), F.lit(quality), F.col("strength"))).withColumn("priority", F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), "priority")) + 1e-9, 2))
+    out = out.withColumn("confidence", R.local_confidence(F.lit(overall), F.lit(quality), F.col("strength"))).withColumn("priority", A.r(F.least(F.lit(100.0), F.greatest(F.lit(0.0), "priority")) + 1e-9, 2))
     out = out.withColumn("status", R.evidence_status(F.col("confidence"))).withColumn("caveats", R.quality_caveats(F.lit(coverage), F.lit(achievement)))
     names = F.create_map(*[x for t, i in TYPES.items() for x in (F.lit(t), F.array(*map(F.lit, i)))])
     out = out.select(

@@ -88,10 +88,10 @@ def quality_caveats(spark, sf):
 @query(f"""{_LOCAL}, k AS (SELECT *, CAST(substr(narrative, 2) AS BIGINT) AS ord, CASE WHEN n % 2 = 0 THEN 'shift' ELSE 'anomaly' END AS type FROM lc), f AS (SELECT about, type, arg_min(score, ord) AS score, min(ord) AS ord, arg_min(n, ord) AS n FROM k GROUP BY 1, 2)
 SELECT about, type, score, printf('INV-%03d', row_number() OVER (ORDER BY n DESC, score DESC, type, about)) AS investigation_id FROM f""")
 def investigation_order(spark, sf):
-    """One investigation for each trigger and type, numbered by priority; equal ones by trigger."""
+    """One investigation for each trigger and type, numbered by priority; equal ones by type and trigger."""
     l = _local(spark, sf).withColumn("type", F.when(F.col("n") % 2 == 0, "shift").otherwise("anomaly"))  # noqa: E741
-    l = l.select("about", "type", F.col("n").alias("priority"), F.col("score").alias("confidence"), F.struct(F.substring("narrative", 2, 9).cast("long"), "about").alias("ord"))  # noqa: E741
-    out = R.numbered(l.withColumn("ord", F.col("ord.col1")).withColumn("tie", F.col("about")), ["about", "type"])
+    l = l.select("about", "type", F.col("n").alias("priority"), F.col("score").alias("confidence"), F.substring("narrative", 2, 9).cast("long").alias("ord"))  # noqa: E741
+    out = R.numbered(l, ["about", "type"])
     return out.select("about", "type", F.col("confidence").alias("score"), "investigation_id")
 
 

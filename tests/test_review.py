@@ -22,6 +22,11 @@ def test_investigations_are_checked(spark):
         R.numbered(items, ["type", "day"], limit=1)
 
 
+def test_equal_investigations_are_numbered_by_their_keys(spark):
+    items = spark.createDataFrame([("t", "b", 5.0, 2.0, 1), ("t", "a", 5.0, 2.0, 3), ("s", "c", 5.0, 2.0, 2)], "type string, about string, priority double, confidence double, ord int")
+    assert [(r["type"], r["about"]) for r in R.numbered(items, ["about", "type"]).orderBy("investigation_id").collect()] == [("s", "c"), ("t", "a"), ("t", "b")]
+
+
 def test_raw_rows(spark):
     cases = [('{"id":"diag:1","text":"x"}', True), ('{"status":"ABORTED"}', True), ('{"error":"no_items"}', True), ('{"error":"no_items","caption":"x"}', False), ('{"error":""}', False), (None, False), ("[1]", False), ("x", False)]
     got = spark.createDataFrame(cases, "raw string, want boolean").select("want", R.is_diagnostic(F.col("raw")).alias("got")).collect()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,37 +50,111 @@ def _sided(df: DataFrame, side: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, *[F.col(c).alias(f"{c}_{side}") for c in df.columns if c not in keep])
 
 
-def recent_pairs(df: DataFrame, order: str, tokens: str, window: int = 80, per_row: int = 40, min_length: int = 4, threshold: float = 0.0) -> DataFrame:
-    """(a, b) of rows that share a token, where a is among the ``window`` latest rows with it before b.
+#: Postings of a token that one group holds, and order ranges by which longer lists are divided.
+BLOCK_ROWS, CUTS = 200_000, 256
 
-    Rows give their first ``per_row`` sorted tokens of at least ``min_length`` characters. Pairs are
-    found by rank distance within a token: rank blocks of the window's size meet themselves and the
-    next block, so no list is joined with all of itself, and ranks are counted over ranges, so none is in
-    one task. With a ``threshold``, pairs whose sizes and sketches show that they are less similar go before
-    they are shuffled.
+
+def _windows(window: int, threshold: float):
+    """Arrow function: (a, b) of the rows at most ``window`` places apart in their group (t, blk) that may be similar enough.
+
+    Rows come sorted by group and order; only the last ``window`` rows are held from batch to batch.
+    Rows that are not ``own`` come from the group before and only stand on the earlier side.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+            m = 0 if held is None else len(held[0])
+            cols = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            t, blk, own, o, n, *bits = cols
+            size, found = len(t), []
+            for d in range(1, min(window, size - 1) + 1):
+                lo = max(m, d)
+                i, j = slice(lo - d, size - d), slice(lo, size)
+                ok = (t[i] == t[j]) & (blk[i] == blk[j]) & own[j]
+                if not ok.any():
+                    break  # groups are contiguous
+                at = np.flatnonzero(ok & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-6))
+                x, y = at + (lo - d), at + lo
+                if threshold > 0:  # as in may_reach
+                    for first in (True, False):
+                        p, q = (x, y) if first else (y, x)
+                        lacks = sum(np.bitwise_count((s[p] & ~s[q]).view(np.uint64)).astype(np.int64) for s in bits)
+                        keep = n[p] - lacks >= threshold / (1 + threshold) * (n[p] + n[q]) - 1e-6
+                        x, y = x[keep], y[keep]
+                found.append((o[x], o[y]))
+            held = [c[-window:] for c in cols]
+            if found:
+                pairs = np.unique(np.stack([np.concatenate([f[k] for f in found]) for k in (0, 1)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[k]).cast(batch.column(3).type) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _places(post: DataFrame, window: int, block_rows: int) -> DataFrame | None:
+    """(t, ob, places): the groups of a token's rows by order range, for tokens of more than ``block_rows`` rows; None without any.
+
+    A place is struct(blk, own). A range also goes, not as its own, to every later group that begins fewer than
+    ``window`` rows after it. The table has at most ``CUTS`` rows for ``block_rows`` postings.
+    """
+    heavy = cut(post.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_rows).select("t"))
+    if heavy.isEmpty():
+        return None
+    ranges = post.join(heavy, "t").groupBy("t", "ob").agg(F.count(F.lit(1)).alias("c"))
+    ranges = ranges.withColumn("start", F.sum("c").over(Window.partitionBy("t").orderBy("ob")) - F.col("c"))
+    ranges = cut(ranges.withColumn("blk", F.floor(F.col("start") / block_rows)))
+    begins = ranges.groupBy("t", "blk").agg(F.min("start").alias("begin")).select("t", F.col("blk").alias("later"), "begin")
+    more = ranges.join(begins, "t").where((F.col("later") > F.col("blk")) & (F.col("begin") - F.col("start") - F.col("c") < window))
+    every = ranges.select("t", "ob", "blk", F.lit(True).alias("own")).union(more.select("t", "ob", "later", F.lit(False)))
+    return cut(every.groupBy("t", "ob").agg(F.collect_list(F.struct("blk", "own")).alias("places")))
+
+
+def recent_pairs(df: DataFrame, order: str, tokens: str, window: int = 80, per_row: int = 40, min_length: int = 4, threshold: float = 0.0, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b) of rows that share a token, where a is among the ``window`` latest rows with it before b; ``order`` holds whole numbers.
+
+    Rows give their first ``per_row`` sorted tokens of at least ``min_length`` characters. Each token's rows
+    are shuffled once, in their order, and meet the ``window`` rows before them as they pass. Lists of more
+    than ``block_rows`` are divided by ranges of the order; the rows before a part go to it too. With a
+    ``threshold``, pairs whose sizes and sketches show that they are less similar are not made.
     """
     short = F.slice(F.sort_array(F.filter(F.array_distinct(tokens), lambda t: F.length(t) >= min_length)), 1, per_row)
-    held, mark = [], F.lit(True)
-    rows = df.select(F.col(order).alias("o"), short.alias("short"))
-    if threshold > 0:
-        rows = df.select(F.col(order).alias("o"), here(short).alias("short"), here(hashed(tokens)).alias("x"))
-        rows = rows.select("o", "short", F.size("x").alias("n"), *sketch("x"))
-        held, mark = ["n", *[f"s{k}" for k in range(SKETCH)]], may_reach(threshold)
-    rows = cut(rows.withColumn("short", F.transform("short", lambda t: F.xxhash64(t))))  # ranges come from a sample of the rows, and texts are to be folded once
-    post = rows.select("o", *held, F.explode("short").alias("t"))
-    post = numbered(post, ["t"], ["o"], "k").withColumn("blk", F.floor(F.col("k") / window))
-    late = _sided(post, "b", ["t", "blk"])
-    early = _sided(post.withColumn("blk", F.explode(F.array("blk", F.col("blk") + 1))), "a", ["t", "blk"])
-    near = (F.col("k_b") > F.col("k_a")) & (F.col("k_b") - F.col("k_a") <= window)
-    return early.join(late, ["t", "blk"]).where(near & mark).select(F.col("o_a").alias("a"), F.col("o_b").alias("b")).distinct()
+    words = SKETCH if threshold > 0 else 0
+    rows = df.select(F.col(order).alias("o"), here(short).alias("short"), *([here(hashed(tokens)).alias("x")] if words else []))
+    rows = rows.select("o", F.transform("short", lambda t: F.xxhash64(t)).alias("short"), *([F.size("x").alias("n"), *sketch("x")] if words else [F.lit(0).alias("n")]))
+    rows = cut(rows)  # texts are folded once
+    bits = [f"s{k}" for k in range(words)]
+    cuts = rows.agg(F.percentile_approx("o", [k / CUTS for k in range(1, CUTS)], 10_000)).first()[0] or []  # they only divide the work
+    rows = rows.withColumn("ob", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))).cast("array<bigint>"), lambda c: c < F.col("o"))))
+    post = rows.select("o", "n", *bits, "ob", F.explode("short").alias("t"))
+    places = _places(post.select("t", "ob"), window, block_rows)
+    if places is None:
+        post = post.withColumns({"blk": F.lit(0).cast("long"), "own": F.lit(True)})
+    else:
+        alone = F.array(F.struct(F.lit(0).cast("long").alias("blk"), F.lit(True).alias("own")))
+        post = post.join(F.broadcast(places), ["t", "ob"], "left").select("o", "n", *bits, "t", F.inline(F.coalesce("places", alone)))
+    post = post.select("t", "blk", "own", F.col("o"), F.col("n").cast("long").alias("n"), *bits)
+    dealt = post.repartition("t", "blk").sortWithinPartitions("t", "blk", "o")
+    kind = df.schema[order].dataType
+    return dealt.mapInArrow(_windows(window, threshold), StructType([StructField("a", kind), StructField("b", kind)])).distinct()
 
 
 def with_similarity(pairs: DataFrame, df: DataFrame, order: str, tokens: str, extra: list[str] | None = None) -> DataFrame:
-    """Adds the Jaccard similarity of the token sets, as 8-byte hashes, (and {extra}_a, {extra}_b) to pairs."""
+    """Adds the Jaccard similarity of the token sets, as 8-byte hashes, (and {extra}_a, {extra}_b) to pairs.
+
+    Pairs meet digests of the sets; sets themselves are fetched once for each pair of different ones, so copies cost none.
+    """
     extra = extra or []
-    left = df.select(F.col(order).alias("a"), here(hashed(tokens)).alias("_x"), *[F.col(c).alias(f"{c}_a") for c in extra])
-    right = df.select(F.col(order).alias("b"), here(hashed(tokens)).alias("_y"), *[F.col(c).alias(f"{c}_b") for c in extra])
-    return pairs.join(left, "a").join(right, "b").withColumn("similarity", jaccard(F.col("_x"), F.col("_y"))).drop("_x", "_y")
+    sets = cut(df.select(F.col(order).alias("o"), *extra, here(hashed(tokens)).alias("x")).withColumn("d", F.xxhash64("x")))
+    side = lambda k: sets.select(F.col("o").alias(k), F.col("d").alias(f"d_{k}"), *([F.size("x").alias("n_")] if k == "a" else []), *[F.col(c).alias(f"{c}_{k}") for c in extra])
+    both = cut(pairs.join(side("a"), "a").join(side("b"), "b").withColumns({"u_": F.least("d_a", "d_b"), "v_": F.greatest("d_a", "d_b")}))
+    kinds = cut(both.where("u_ <> v_").select("u_", "v_").distinct())
+    needed = kinds.select(F.col("u_").alias("d")).union(kinds.select(F.col("v_").alias("d"))).distinct()
+    one = cut(sets.join(needed, "d", "left_semi").select("d", "x").dropDuplicates(["d"]))
+    sims = kinds.join(one.select(F.col("d").alias("u_"), F.col("x").alias("x_")), "u_").join(one.select(F.col("d").alias("v_"), F.col("x").alias("y_")), "v_")
+    sims = sims.select("u_", "v_", jaccard(F.col("x_"), F.col("y_")).alias("s_"))
+    alike = F.when(F.col("u_") != F.col("v_"), F.col("s_")).otherwise((F.col("n_") > 0).cast("double"))
+    return both.join(sims, ["u_", "v_"], "left").withColumn("similarity", alike).drop("u_", "v_", "d_a", "d_b", "n_", "s_")
 
 
 def _frequent(sets: DataFrame) -> list[int]:
@@ -188,6 +263,8 @@ def coordination_edges(df: DataFrame, similarity: float, story: float, hours: fl
     same = df.where(F.length("folded") >= min_length).select("ord", "media", F.nullif("author", F.lit("")).alias("author"), F.sha2("folded", 256).alias("k"))
     groups = same.groupBy("k").agg(F.min("ord").alias("a"), F.count_distinct("author").alias("authors"), F.bool_and("media").alias("story")).where("authors >= 2 AND NOT story")
     exact = same.join(groups.select("k", "a"), "k").where("ord > a").select("a", F.col("ord").alias("b"))
+    if rows.where("ts IS NOT NULL").isEmpty():  # then no text is near another
+        return exact
     near = with_similarity(recent_pairs(rows, "ord", "toks", threshold=min(similarity, story)), rows, "ord", "toks", ["author", "media", "ts"]).where(F.col("similarity") >= similarity)
     told = F.col("media_a") & F.col("media_b") & (F.col("similarity") >= story)
     close = F.abs(F.unix_micros("ts_a") - F.unix_micros("ts_b")) <= int(hours * 3600e6)

@@ -299,3 +299,50 @@ def test_exact_quantile(spark):
     assert "percentile" not in exact._jdf.queryExecution().optimizedPlan().toString()
     assert metric_reference(df.limit(0), metrics).count() == 0
     assert [r["x_r"] for r in metric_reference(df.select("platform", *[F.lit(None).cast("double").alias(m) for m in metrics]), metrics).collect()] == [None] * len(refs)
+
+
+def test_recent_pairs_of_divided_lists(spark):
+    """Lists that are divided among groups give the pairs of whole ones, copies and groups smaller than the window included."""
+    import random
+
+    rnd = random.Random(5)
+    rows = [(i * 3, [w for w in ("aaaa", "bbbb", "cccc", "dddd") if rnd.random() < 0.6]) for i in range(300)]
+    lists = {}
+    for o, toks in rows:
+        for t in toks:
+            lists.setdefault(t, []).append(o)
+    want = {(a, b) for x in lists.values() for k, b in enumerate(x) for a in x[max(0, k - 7) : k]}
+    df = spark.createDataFrame(rows, "ord long, toks array<string>")
+    for block_rows in (3, 20, 1000):
+        assert {tuple(r) for r in similarity.recent_pairs(df, "ord", "toks", window=7, block_rows=block_rows).collect()} == want
+    sets = dict(rows)
+    near = {(a, b) for a, b in want if len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]}) >= 0.7}
+    pairs = similarity.recent_pairs(df, "ord", "toks", window=7, threshold=0.7, block_rows=20)
+    assert {(r["a"], r["b"]) for r in similarity.with_similarity(pairs, df, "ord", "toks").where("similarity >= 0.7").collect()} == near
+
+
+def test_one_row_group_is_dealt_over_the_cores(spark, tmp_path):
+    from lodemark.session import SPREAD_BYTES, spread
+
+    path = f"file://{tmp_path}/t.parquet"
+    spark.range(0, 1000, 1, 1).write.parquet(path)
+    df = spark.read.parquet(path)
+    assert df.rdd.getNumPartitions() == 1 and spread(df, 8 * SPREAD_BYTES).rdd.getNumPartitions() == 8
+    assert spread(df, SPREAD_BYTES).rdd.getNumPartitions() == 1
+    assert spread(df, 8 * SPREAD_BYTES).count() == 1000
+
+
+def test_texts_without_times_are_not_compared(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "recent_pairs", lambda *a, **k: pytest.fail("compared"))
+    df = spark.createDataFrame([(i, a, "the same words in all of these rows", ["same", "words"], False) for i, a in enumerate("aab")], "ord long, author string, folded string, toks array<string>, media boolean").selectExpr("*", "CAST(NULL AS TIMESTAMP) AS ts")
+    assert sorted(tuple(r) for r in similarity.coordination_edges(df, 0.82, 0.72, 6).collect()) == [(0, 1), (0, 2)]
+
+
+@pytest.mark.parametrize("text", ["a b", "see https://news.gr/x now", "greece.com athens", "#greece", "http:// www.x.gr/y", "x.infos", ".com"])
+def test_prose_of_marked_and_plain_texts(spark, text):
+    from lodemark.functions import cleaning, text as T
+
+    df = cleaning.with_prose(cleaning.features(spark.createDataFrame([(text,)], "text string")))
+    plain = F.regexp_replace(F.regexp_replace("text", r"https?://\S+|\bwww\.\S+|#[A-Za-z0-9_]+", " "), r"\b[\w-]+\.(?:com|net|org|gr|co|io|eu|za|info|de|it)(?:\.[a-z]{2})?(?:/\S*)?", " ")
+    r = df.select("prose", "prose_words", T.fold(plain).alias("want"), T.words(T.fold(plain)).alias("words_")).first()
+    assert r["prose"] == r["want"] and r["prose_words"] == r["words_"]

@@ -417,6 +417,28 @@ def test_kept_lattices_do_not_matter(monkeypatch):
     assert [r for b in got for r in b.to_pylist()] == want.to_pylist()
 
 
+def test_best_sizes_of_units_are_those_of_whole_texts(monkeypatch):
+    """Each unit is encoded once, and never by threads of the model's own, which no core is set aside for."""
+    texts = ["some words, and more words", "", None, "a\n\n b\n", "x\u2581y   z ", "<s> <0x41> </s>", "日本語 🎉🎉 \ue000", "a\x00b", " " * 90]
+    spm._models.clear()
+    model = spm.lattice(spm.MODEL, 0.3)
+    want, seen = [len(model.sp.encode(t or "")) for t in texts], []
+
+    class Watched:
+        def encode(self, text, **how):
+            seen.append((len(text), how.get("num_threads")))
+            return want_sp.encode(text, **how)
+
+    want_sp = model.sp
+    monkeypatch.setattr(model, "sp", Watched())
+    monkeypatch.setattr(spm, "TOGETHER", 8)
+    for _ in range(2):
+        got = {r["key"]: r["n_best"] for r in spm.encode_batch(texts * 3, list(range(27)), 1, 0.3, 0).to_pylist()}
+        assert [got[i] for i in range(27)] == want * 3
+    assert sum(n for n, _ in seen) < 3 * sum(len(t or "") for t in texts) and {k for _, k in seen} == {1}
+    spm._models.clear()
+
+
 def test_sample_encodings(spark, odd_docs):
     out = spm.sample_encodings(odd_docs, k=2)
     rows = out.collect()

@@ -6,7 +6,7 @@ All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodemark.llm import minhash, mixing, pii, quality, spm
@@ -42,22 +42,55 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
+#: Key of doc_id's metadata under which a mixed table says where the positions of its rows lie.
+MIX = "lodemark.mix"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, source needed) with both as strings that are never null."""
+    told = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    return docs.withColumns({"i_": told("doc_id"), "s_": told("source")})
+
+
+def _nth(*order: str) -> Column:
+    """Number of a row among those of its doc_id and source."""
+    return F.row_number().over(Window.partitionBy("i_", "s_").orderBy(*order)).alias("k_")
+
+
+def _placed(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, source, text needed) with their position among ``places``, range by range of it."""
+    rows, on = _keyed(rows), ["i_", "s_"]
+    if not places.where("k_ > 1").isEmpty():  # only then does the place among rows of one doc_id matter
+        rows, on = rows.select("*", _nth("text")), [*on, "k_"]
+    return rows.join(places, on, "left").repartitionByRange("position").sortWithinPartitions("position")
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mix, range by range of positions."""
+    """All documents in the order of the mix, range by range of positions.
+
+    Files that are read again come in any order, and the columns stay those of documents. So the positions
+    are written beside them, and the metadata of doc_id say where: they stay with a table that is written.
+    """
     ship(spark)
-    mixed = mixing.mix(_packed(docs, "doc_id", "source")).select("row", "position")
-    return mixed.repartitionByRange("position").sortWithinPartitions("position").select("row.*")
+    mixed = _keyed(mixing.mix(docs.select("doc_id", "source"))).select("i_", "s_", _nth("position"), "position")
+    places = cut(mixed)
+    out = _placed(_packed(docs, "doc_id", "source", "text"), places).select("row.*")
+    return out.withMetadata("doc_id", {**docs.schema["doc_id"].metadata, MIX: places._lodemark_path})
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled encodings of each document: doc_id, sample, n_best, n_pieces, inclusion, ids_sha256, decoded and position.
 
-    Files that are read again come in any order, so the position in the mix, which follows from the
-    documents alone, is drawn up again; rows are in its order, range by range.
+    Rows are in the order of the mix that ``mixing_stage`` made, range by range; documents that were never mixed have no position.
     """
     ship(spark)
-    mixed = mixing.mix(docs.select("doc_id", "text", "source")).select("doc_id", "text", "position").repartitionByRange("position").sortWithinPartitions("position")
-    out = spm.sample_encodings(mixed, with_ids=False, carry=("position",))
+    path = docs.schema["doc_id"].metadata.get(MIX)
+    rows = docs.select("doc_id", "text", "source")
+    if path is None:
+        mixed = rows.withColumn("position", F.lit(None).cast("long"))
+    else:
+        mixed = _placed(rows, spark.read.parquet(path))
+    out = spm.sample_encodings(mixed.select("doc_id", "text", "position"), with_ids=False, carry=("position",))
     return out.select("doc_id", "sample", "n_best", "n_pieces", F.round("inclusion", 6).alias("inclusion"), "ids_sha256", "decoded", "position")
 
 

@@ -48,6 +48,19 @@ def test_result_is_in_the_order_of_the_mix(spark):
     assert [source[at[p]] for p in sorted(at)] == [names[i] for i, *_ in plan]
 
 
+def test_encoding_takes_the_positions_of_the_mix(spark, odd_docs, monkeypatch):
+    docs = odd_docs.where("doc_id IS NULL OR doc_id NOT IN (10, 11)")
+    n = docs.count()
+    assert {r["position"] for r in corpus_pipeline.encoding_stage(spark, docs, SF).collect()} == {None}  # never mixed
+    plain = mixing.mix
+    monkeypatch.setattr(mixing, "mix", lambda d: plain(d).withColumn("position", F.lit(10 * n) - 10 * F.col("position")))
+    four = cut(cut(corpus_pipeline.mixing_stage(spark, docs, SF)).repartition(3))
+    monkeypatch.setattr(mixing, "mix", None)  # the mix is not drawn up again
+    out = corpus_pipeline.encoding_stage(spark, four, SF).where("sample = 0").collect()
+    assert [r["position"] for r in out] == [10 * i for i in range(1, n + 1)]
+    assert Counter(r["doc_id"] for r in out) == Counter(r["doc_id"] for r in docs.collect())
+
+
 def test_odd_rows(spark, odd_docs):
     docs = odd_docs
     for _, stage in corpus_pipeline.STAGES[:-1]:

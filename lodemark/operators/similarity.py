@@ -164,6 +164,76 @@ def _frequent(sets: DataFrame) -> list[int]:
     return [r["t"] for r in reversed(top.collect())]
 
 
+#: Sets of more elements fill a sketch of ``SKETCH`` words, so that it rules nothing out; they are met by wide ones instead.
+LONG, BLOCK_BYTES = 1000, 4 << 20
+_WIDE = "g string, band int, own boolean, o {0}, n long, bits binary"
+
+
+def _wide(threshold: float):
+    """Arrow function: each set (g, o, x) with bits that fit its size, for its own band of sizes and the one below."""
+    step = -np.log(threshold)
+
+    def bits(x: np.ndarray, band: int) -> bytes:
+        words = 1 << max(0, int(np.ceil(np.log2(2 * np.exp((band + 1) * step) / 64))))  # two bits an element
+        out = np.zeros(words * 64, np.uint8)
+        out[x.astype(np.int64) & (words * 64 - 1)] = 1
+        return np.packbits(out).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g, o, x = (batch.column(k) for k in range(3))
+            ends = x.offsets.to_numpy()
+            flat, sizes = x.values.to_numpy(zero_copy_only=False), np.diff(ends)
+            bands = np.floor(np.log(sizes) / step + 1e-9).astype(int).tolist()
+            made = [bits(flat[ends[i] : ends[i + 1]], k - low) for i, k in enumerate(bands) for low in (0, 1)]
+            twice = pa.array(np.repeat(np.arange(len(batch)), 2))
+            cols = [g.take(twice), pa.array([k - low for k in bands for low in (0, 1)], pa.int32()), pa.array([True, False] * len(batch)), o.take(twice), pa.array(np.repeat(sizes, 2).astype(np.int64)), pa.array(made, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["g", "band", "own", "o", "n", "bits"])
+
+    return run
+
+
+def _alike(threshold: float):
+    """Arrow function: (a, b), a < b, of the sets of a cell that may be similar enough, at least one in its own band."""
+
+    def run(t: pa.Table) -> pa.Table:
+        kind = t.schema.field("o").type
+        t = t.combine_chunks().sort_by("n")
+        o, n, own, at, cross = (t.column(c).to_numpy() for c in ("o", "n", "own", "blk", "cross"))
+        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(n), -1)
+        need, upto = threshold / (1 + threshold), np.searchsorted(n, n / threshold + 1e-6, side="right")
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for i in range(len(n)):
+            j = np.arange(i + 1, upto[i])
+            j = j[(own[i] | own[j]) & ((at[j] != at[i]) | ~cross[i])]
+            for lo in range(0, len(j), 4096):
+                k = j[lo : lo + 4096]
+                least = need * (n[i] + n[k]) - 1e-6
+                k = k[n[i] - np.bitwise_count(bits[i] & ~bits[k]).sum(axis=1, dtype=np.int64) >= least]
+                k = k[n[k] - np.bitwise_count(bits[k] & ~bits[i]).sum(axis=1, dtype=np.int64) >= need * (n[i] + n[k]) - 1e-6]
+                found.append((np.minimum(o[i], o[k]), np.maximum(o[i], o[k])))
+        pairs = [np.concatenate([np.zeros(0, o.dtype), *(f[c] for f in found)]) for c in (0, 1)]
+        return pa.table([pa.array(x).cast(kind) for x in pairs], ["a", "b"])
+
+    return run
+
+
+def long_pairs(sets: DataFrame, threshold: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(a, b), a < b, of large sets (g, o, x) of a group that may be similar enough; no similar pair is lost.
+
+    Similar sets lie in one band of sizes or in neighbouring ones, where their bits meet, block by block:
+    a block holds ``block_bytes`` of bits, and a cell two blocks.
+    """
+    kind = sets.schema["o"].dataType.simpleString()
+    wide = cut(sets.where("g IS NOT NULL").select("g", "o", "x").mapInArrow(_wide(threshold), _WIDE.format(kind)))
+    size = wide.groupBy("g", "band").agg(F.ceil(F.sum(F.length("bits")) / block_bytes).cast("int").alias("blocks"), F.bool_or("own").alias("any")).where("any").drop("any")
+    blk = F.pmod(F.xxhash64("o", F.lit(3)), F.col("blocks")).cast("int")
+    rows = wide.join(size, ["g", "band"]).withColumn("blk", blk)
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("g", "band", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "own", "o", "n", "bits", "blk", (F.col("blk") != F.col("other")).alias("cross"))
+    return rows.groupBy("g", "band", "i", "j").applyInArrow(_alike(threshold), f"a {kind}, b {kind}").distinct()
+
+
 def set_join(df: DataFrame, order: str, tokens: str, group: str, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b, similarity), a < b, of different token sets of a group that are similar enough, each
     set standing for its first row; and (rep, id) of the later rows with an equal set.
@@ -171,21 +241,29 @@ def set_join(df: DataFrame, order: str, tokens: str, group: str, threshold: floa
     Prefix filter: in any one order of the tokens, similar sets share one of their first
     n - ceil(threshold * n) + 1 tokens. The order is that of the hashes, with the tokens that a sample shows
     to be frequent last, so only these few are posted, as hashes, with size and sketch of their set; what
-    these rule out goes before any set is fetched. The filters lose no pair, and nothing is cut.
+    these rule out goes before any set is fetched. Sets of more than ``LONG`` elements meet those of about their
+    size by wider sketches (``long_pairs``). The filters lose no pair, and nothing is cut.
     """
-    rows = df.select(F.col(group).alias("g"), F.col(order).alias("o"), here(hashed(tokens)).alias("x")).where(F.size("x") > 0)
-    rows = rows.withColumn("d", F.sha2(F.array_join(F.transform("x", lambda h: h.cast("string")), ","), 256))
-    sets = cut(rows.groupBy("g", "d").agg(F.min("o").alias("o"), F.min_by("x", "o").alias("x")))
-    copies = rows.drop("x").join(sets.select("g", "d", F.col("o").alias("rep")), ["g", "d"]).where("o > rep").select("rep", F.col("o").alias("id"))
-    often = F.array(*[F.lit(t) for t in _frequent(sets)]).cast("array<bigint>")
+    rows = df.select(F.col(group).cast("string").alias("g"), F.col(order).alias("o"), here(hashed(tokens)).alias("x")).where(F.size("x") > 0)
+    rows = cut(rows.withColumn("d", F.sha2(F.array_join(F.transform("x", lambda h: h.cast("string")), ","), 256)))  # texts are folded once
+    firsts = cut(rows.groupBy("g", "d").agg(F.min("o").alias("rep"), F.count(F.lit(1)).alias("m")))
+    later = cut(rows.select("g", "d", "o").join(firsts.where("m > 1"), ["g", "d"]).where("o > rep"))
+    copies = later.select("rep", F.col("o").alias("id"))
+    sets = cut(rows.join(later.select("g", "d", "o"), ["g", "d", "o"], "left_anti").select("g", "o", "x"))
     n = F.size("x")
+    often = F.array(*[F.lit(t) for t in _frequent(sets)]).cast("array<bigint>")
     prefix = F.slice(F.concat(F.array_except("x", often), F.array_intersect(often, F.col("x"))), F.lit(1), (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int"))
-    post = sets.select("g", "o", n.alias("n"), here(prefix).alias("p"), *sketch("x")).withColumn("t", F.explode("p")).drop("p")
-    a, b = _sided(post, "a", ["g", "t"]), _sided(post, "b", ["g", "t"])
-    pairs = a.join(b, ["g", "t"]).where((F.col("o_a") < F.col("o_b")) & may_reach(threshold)).select(F.col("o_a").alias("a"), F.col("o_b").alias("b")).distinct()
-    left, right = sets.select(F.col("o").alias("a"), F.col("x").alias("xa")), sets.select(F.col("o").alias("b"), F.col("x").alias("xb"))
-    found = pairs.join(left, "a").join(right, "b").withColumn("similarity", jaccard(F.col("xa"), F.col("xb"))).where(F.col("similarity") >= threshold)
-    return found.select("a", "b", "similarity"), copies
+    most = LONG / threshold + 1  # what a set of ``LONG`` elements may be similar to; both ways hold the sizes between
+    post = sets.where(n <= most).select("g", "o", n.alias("n"), here(prefix).alias("p"), *sketch("x")).withColumn("t", F.explode("p")).drop("p")
+    post = post.withColumn("t", F.xxhash64("g", "t")).drop("g")  # of one group, or by chance of two, which is seen below
+    a, b = _sided(post, "a", ["t"]), _sided(post, "b", ["t"])
+    short = a.join(b, ["t"]).where((F.col("o_a") < F.col("o_b")) & may_reach(threshold) & (F.least("n_a", "n_b") <= LONG)).select(F.col("o_a").alias("a"), F.col("o_b").alias("b"))
+    pairs = cut(short.unionByName(long_pairs(sets.where(n > LONG), threshold)).distinct())
+    needed = cut(pairs.select(F.col("a").alias("o")).union(pairs.select(F.col("b").alias("o"))).distinct())
+    one = sets.join(needed, "o", "left_semi")
+    left, right = one.select(F.col("o").alias("a"), F.col("g").alias("ga"), F.col("x").alias("xa")), one.select(F.col("o").alias("b"), F.col("g").alias("gb"), F.col("x").alias("xb"))
+    found = pairs.join(left, "a").join(right, "b").where("ga = gb").withColumn("similarity", jaccard(F.col("xa"), F.col("xb"))).where(F.col("similarity") >= threshold)
+    return found.select("a", "b", "similarity").distinct(), copies
 
 
 def _in_sequence(edges: DataFrame) -> DataFrame:

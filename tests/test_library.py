@@ -240,6 +240,31 @@ def test_near_copies_by_brute_force(spark):
     assert got == want and len(want) > 2
 
 
+def test_long_sets_meet_by_sketches_that_fit_them(spark, monkeypatch):
+    import random
+
+    r = random.Random(8)
+    sets = []
+    for n in (3, 30, 60, 64, 70, 75, 80, 100, 300, 300, 900):
+        base = [f"w{r.randint(0, 5000)}" for _ in range(n)]
+        sets += [base, [x for x in base if r.random() < 0.93], base + [f"z{i}" for i in range(n // 8)], [f"w{r.randint(0, 5000)}" for _ in range(n)]]
+    df = spark.createDataFrame([(i, "gh"[i % 3 == 2], x) for i, x in enumerate(sets)] + [(1000 + i, None, sets[-2]) for i in range(2)], "ord long, g string, toks array<string>")
+    x = [(i, "gh"[i % 3 == 2], frozenset(s)) for i, s in enumerate(sets)]
+    first = {}
+    for i, g, s in x:
+        first.setdefault((g, s), i)
+    want = {(i, j) for (g, s), i in first.items() for (h, t), j in first.items() if g == h and i < j and 100 * len(s & t) >= 85 * len(s | t)}
+    monkeypatch.setattr(similarity, "LONG", 64)
+    pairs, _ = similarity.set_join(df, "ord", "toks", "g", 0.85)
+    assert {(p["a"], p["b"]) for p in pairs.collect()} == want and any(len(sets[i]) > 200 for i, _ in want) and any(len(sets[i]) < 64 for i, _ in want)
+    rows = df.where("g = 'g'").select("g", F.col("ord").alias("o"), similarity.hashed("toks").alias("x")).where(F.size("x") > 64)
+    at_once = {(p["a"], p["b"]) for p in similarity.long_pairs(rows, 0.85).collect()}
+    assert at_once == {(p["a"], p["b"]) for p in similarity.long_pairs(rows, 0.85, 100).collect()}  # in many blocks
+    assert {p for p in want if sets[p[0]] and x[p[0]][1] == "g" and min(len(x[p[0]][2]), len(x[p[1]][2])) > 64} <= at_once
+    unlike = spark.createDataFrame([(i, "g", [f"w{r.randint(0, 50_000)}" for _ in range(3000)]) for i in range(12)], "o long, g string, toks array<string>")
+    assert similarity.long_pairs(unlike.select("g", "o", similarity.hashed("toks").alias("x")), 0.85).count() == 0  # 512 bits let all of them through
+
+
 def test_sketches_lose_no_pair(spark):
     import random
 

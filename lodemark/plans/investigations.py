@@ -15,7 +15,12 @@ DIMENSIONS = ["day", "narrative", "platform", "origin_group", "primary_emotion"]
 
 
 def triggers(spark, sf) -> DataFrame:
-    """Triggers of eleven kinds."""
+    """Triggers of eleven kinds; the evidence is weighed once for all of them."""
+    with X.weighted_once(spark, sf):
+        return _triggers(spark, sf)
+
+
+def _triggers(spark, sf) -> DataFrame:
     q = lambda name: QUERIES[name](spark, sf)
     c, least = F.col, lambda x, y: F.least(F.lit(x), y)
     size = F.greatest(F.abs("volume_z"), F.abs("negative_z"))
@@ -74,7 +79,7 @@ def investigations(spark, sf):
     e = X.evidence(spark, sf).withColumn("impact_confidence", F.when(F.col("views").isNotNull(), 1.0).otherwise(0.0)).withColumn("weight", F.round("evidence_confidence", 6))
     items = cut(I.assemble(e, cut(triggers(spark, sf)), DIMENSIONS, 80.0, 70.0, 0.5, 1.0))  # read twice below
     columns = ["id", "day", "narrative", "sentiment_score", "evidence_confidence"]
-    made = I.input_hash(e, columns)
-    out = I.with_lineage(items, made, I.input_hash(e.repartition("author"), columns)).drop("input_digest")
+    made = cut(I.input_hash(e, columns))  # compared twice
+    out = I.with_lineage(items, made, I.input_hash(e, columns)).drop("input_digest")
     later = I.with_lineage(items.select("investigation_id"), made, I.input_hash(e.where("ord <> 7"), columns)).select("investigation_id", F.col("stale").alias("stale_after"))
     return out.join(later, "investigation_id").withColumns({"caveats": F.array_join("caveats", ","), "evidence_ids": F.array_join("evidence_ids", ",")}).drop("indicators", "candidate")

@@ -48,3 +48,19 @@ def test_contract(spark):
             I.check_ids(bad)
     with pytest.raises(ValueError, match="unknown kind"):
         I.trigger("guess", "day", df, df["id"].isNotNull(), df["day"], df["weight"], df["weight"])
+
+
+def test_triggers_weigh_the_evidence_once(spark, monkeypatch):
+    from lodemark.functions import scores
+    from lodemark.plans import investigations as P
+    from lodemark.sources import fixtures as X
+
+    seen, plain = [], scores.with_impact
+    monkeypatch.setattr(scores, "with_impact", lambda *a: seen.append(1) or plain(*a))
+    t = P.triggers(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 1 and t.count() > 5
+    other = X.weighted(spark, "/root/testdata/sf0.001")  # afterwards each call stands for itself again
+    assert len(seen) == 2 and "props" in other.columns
+    with X.weighted_once(spark, "/root/testdata/sf0.001") as held:
+        assert X.weighted(spark, "/root/testdata/sf0.001") is held and X.weighted(spark, "/root/testdata/sf0.01") is not held
+        assert sorted(map(str, held.collect())) == sorted(map(str, other.drop("props").collect()))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -266,6 +268,242 @@ def set_join(df: DataFrame, order: str, tokens: str, group: str, threshold: floa
     return found.select("a", "b", "similarity").distinct(), copies
 
 
+#: Tokens whose order the sample of ``similar_pairs`` settles, steps of the threshold that a band of sizes spans, postings and bytes of
+#: sketches that a cell is meant to hold, parts of a band at most, pairs that a cell of the last step is meant to hold, rows that are broadcast at most.
+RANKED, STEPS, CELL_ROWS, CELL_BYTES, PARTS, CELL_PAIRS, SENT = 1 << 16, 3, 1 << 20, 32 << 20, 32, 1 << 21, 1 << 20
+_CELLS = "band int, part int, i int, j int, d long, n int, own boolean, blk int, bits binary, t array<int>, k array<int>"
+
+
+def _prefix(n: np.ndarray, threshold: float) -> np.ndarray:
+    """How many first elements of a set of ``n`` a similar set shares at least one with."""
+    return (n - np.ceil(threshold * n - 1e-9) + 1).astype(np.int64)
+
+
+class _Bands:
+    """Bands of set sizes. A set stands in its own band and, where smaller ones in the band below can be similar, in that too."""
+
+    def __init__(self, sizes: np.ndarray, rows: np.ndarray, threshold: float, cell_rows: int):
+        self.threshold, edges = threshold, [1]
+        while edges[-1] <= sizes.max(initial=1):
+            edges.append(int(np.ceil(edges[-1] / threshold**STEPS)) + 1)
+        self.edges = np.array(edges)
+        self.width = np.maximum(256, self.edges[1:] // 64 * 64)  # bits of a sketch: about as many as the largest set has elements
+        own, low = self.of(sizes)
+        post = np.zeros(len(edges) - 1)
+        held = np.zeros(len(edges) - 1)
+        for band, some in ((own, sizes > 0), (low, low < own)):
+            np.add.at(post, band[some], (rows * _prefix(sizes, threshold))[some])
+            np.add.at(held, band[some], (rows * self.width[band] / 8)[some])
+        self.parts = np.clip(np.ceil(post / cell_rows), 1, PARTS).astype(int)
+        self.blocks = np.maximum(1, np.ceil(np.maximum(held / CELL_BYTES, post / (self.parts * 2 * cell_rows)))).astype(int)
+
+    def of(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The band of sets of ``n`` elements, and that of the smallest ones similar to them: the same or the one below."""
+        least = np.maximum(1, np.ceil(self.threshold * n - 1e-6)).astype(np.int64)
+        return tuple(np.searchsorted(self.edges, x, side="right") - 1 for x in (n, least))
+
+
+def _posted(bands: _Bands, often: np.ndarray, place: np.ndarray):
+    """Arrow function: sets (d, x) with their prefixes, dealt over the cells of their bands.
+
+    Tokens in ``often`` come last, in the order of their ``place``; the others by hash. A sketch holds the parity of the
+    elements at each bit, so two sets differ in as many elements at least as their sketches in bits.
+    """
+
+    def rows_of(d: np.ndarray, x: pa.ListArray) -> Iterator[pa.RecordBatch]:
+        flat, n = x.flatten().to_numpy(), x.value_lengths().to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        at = np.minimum(np.searchsorted(often, flat), len(often) - 1)
+        rank = np.where(often[at] == flat, place[at], 0)
+        order = np.lexsort((flat, rank, row))
+        k = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+        head = k < np.repeat(_prefix(n, bands.threshold), n)
+        t, k, of = flat[order][head], k[head], row[head]
+        own, low = bands.of(n)
+        for band in np.unique(np.concatenate((own, low))):
+            some = np.flatnonzero((own == band) | (low == band))
+            new = np.full(len(n), -1)
+            new[some] = np.arange(len(some))
+            width, parts, blocks = (int(a[band]) for a in (bands.width, bands.parts, bands.blocks))
+            mine = new[row] >= 0
+            spot = new[row[mine]] * width + ((flat[mine] >> 20) % width)
+            odd = (np.bincount(spot, minlength=len(some) * width) & 1).astype(np.uint8)
+            bits = np.packbits(odd.reshape(len(some), width), axis=1)
+            mine = new[of] >= 0
+            cell = new[of[mine]] * parts + (t[mine] & 0xFFFFF) % parts
+            sort = np.argsort(cell, kind="stable")
+            cell, which = cell[sort], np.flatnonzero(np.diff(cell[sort], prepend=-1))
+            ends = pa.array(np.append(which, len(cell)).astype(np.int32))
+            tokens = pa.ListArray.from_arrays(ends, pa.array((t[mine][sort] >> 32).astype(np.int32)))
+            places = pa.ListArray.from_arrays(ends, pa.array(k[mine][sort].astype(np.int32)))
+            again = np.repeat(np.arange(len(which)), blocks)  # a row for each block that it meets
+            other = np.tile(np.arange(blocks), len(which))
+            one = cell[which][again] // parts
+            blk = (d[some] >> 7)[one] % blocks
+            cols = [np.full(len(again), band), cell[which][again] % parts, np.minimum(blk, other), np.maximum(blk, other)]
+            cols = [pa.array(c.astype(np.int32)) for c in cols] + [pa.array(d[some][one]), pa.array(n[some][one].astype(np.int32)), pa.array((own[some] == band)[one]), pa.array(blk.astype(np.int32))]
+            cols += [pa.array([b.tobytes() for b in bits], pa.binary()).take(pa.array(one)), tokens.take(pa.array(again)), places.take(pa.array(again))]
+            yield pa.RecordBatch.from_arrays(cols, ["band", "part", "i", "j", "d", "n", "own", "blk", "bits", "t", "k"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, one = np.unique(batch.column("d").to_numpy(), return_index=True)  # copies of a batch go as one
+            batch = batch.take(pa.array(one))
+            upto, start = np.cumsum(batch.column("x").value_lengths().to_numpy().astype(np.int64)), 0
+            while start < len(batch):
+                end = int(np.searchsorted(upto, (upto[start - 1] if start else 0) + (1 << 20), side="right"))
+                end = min(max(end, start + 1), start + 2000)
+                part = batch.slice(start, end - start)
+                yield from rows_of(part.column("d").to_numpy(), part.column("x"))
+                start = end
+
+    return run
+
+
+def _met(threshold: float):
+    """Arrow function: (u, v), u < v, of the sets of a cell that may be similar enough, by shared tokens, their places, sizes and sketches.
+
+    At the first token that two sets share, they have no more in common than what follows it in each.
+    """
+    need = threshold / (1 + threshold)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        cross = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        _, one = np.unique(table.column("d").to_numpy(), return_index=True)
+        table = table.take(pa.array(one)).combine_chunks()
+        d, own, blk = (table.column(c).to_numpy() for c in ("d", "own", "blk"))
+        n = table.column("n").to_numpy().astype(np.int64)
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(n), -1)
+        tokens = table.column("t").combine_chunks()
+        row = np.repeat(np.arange(len(n)), tokens.value_lengths().to_numpy())
+        t, rest = tokens.flatten().to_numpy(), n[row] - table.column("k").combine_chunks().flatten().to_numpy()
+        order = np.lexsort((n[row], t))
+        t, row, rest = t[order], row[order], rest[order]
+        size = n[row]
+        held: list[np.ndarray] = []
+        found: list[np.ndarray] = []
+
+        def sifted() -> None:
+            codes = np.unique(np.concatenate(held))
+            held.clear()
+            step = max(1, (1 << 21) // bits.shape[1])
+            for lo in range(0, len(codes), step):
+                some = codes[lo : lo + step]
+                x, y = some // len(n), some % len(n)
+                apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+                found.append(some[apart <= (1 - 2 * need) * (n[x] + n[y]) + 1e-6])
+
+        a, step, waiting = np.arange(len(t)), 0, 0
+        while len(a):
+            step += 1
+            a = a[a + step < len(t)]
+            a = a[(t[a] == t[a + step]) & (size[a] >= threshold * size[a + step] - 1e-6)]  # by size within a token: who fails now fails later
+            b = a + step
+            x, y = row[a], row[b]
+            ok = (np.minimum(rest[a], rest[b]) >= need * (size[a] + size[b]) - 1e-6) & (own[x] | own[y]) & (x != y)
+            ok &= (blk[x] != blk[y]) | (not cross)
+            x, y = x[ok], y[ok]
+            held.append(np.minimum(x, y) * len(n) + np.maximum(x, y))
+            waiting += len(x)
+            if waiting > 1 << 22 or len(held) > 1000:
+                sifted()
+                waiting = 0
+        if held:
+            sifted()
+        codes = np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
+        x, y = d[codes // max(1, len(n))], d[codes % max(1, len(n))]
+        return pa.table([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["u", "v"])
+
+    return run
+
+
+def _compared(threshold: float):
+    """Arrow function of a cell's pairs (u, v) and sets (d, x): the similar pairs with their similarity."""
+
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        ids, one = np.unique(sets.column("d").to_numpy(), return_index=True)
+        x = sets.column("x").combine_chunks().take(pa.array(one))
+        size = x.value_lengths().to_numpy().astype(np.int64)
+        names, flat = np.unique(x.flatten().to_numpy(), return_inverse=True)
+        start = np.cumsum(size) - size
+        u, v = (np.searchsorted(ids, pairs.column(c).to_numpy()) for c in ("u", "v"))
+        order = np.argsort(u, kind="stable")
+        u, v = u[order], v[order]
+        both, mark = np.zeros(len(u), np.int64), np.zeros(len(names) + 1, bool)
+        first = np.append(np.flatnonzero(np.diff(u, prepend=-1)), len(u))
+        for lo, hi in pairwise(first.tolist()):
+            own = flat[start[u[lo]] : start[u[lo]] + size[u[lo]]]
+            mark[own] = True
+            while lo < hi:
+                upto = np.cumsum(size[v[lo:hi]])
+                to = lo + max(1, int(np.searchsorted(upto, 1 << 21, side="right")))
+                w = v[lo:to]
+                ends = upto[: len(w)]
+                at = np.arange(ends[-1]) + np.repeat(start[w] - (ends - size[w]), size[w])
+                both[lo:to] = np.add.reduceat(mark[flat[at]].astype(np.int64), ends - size[w])
+                lo = to
+            mark[own] = False
+        alike = both / np.maximum(1, size[u] + size[v] - both)
+        ok = alike >= threshold
+        return pa.table([pa.array(ids[u[ok]]), pa.array(ids[v[ok]]), pa.array(alike[ok])], ["u", "v", "similarity"])
+
+    return run
+
+
+def _ranked(sets: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of tokens found most in a random sample, sorted, and the place of each, the most frequent last. They only set an order: results do not depend on them."""
+    sample = sets.select("x").sample(min(1.0, SAMPLE_ROWS / max(1, rows)), seed=7)
+    top = sample.select(F.explode("x").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("f")).orderBy(F.col("f").desc(), "t").limit(RANKED).select("t").collect()
+    t = np.array([r["t"] for r in top] or [0], np.int64)
+    order = np.argsort(t)
+    return t[order], len(t) - order
+
+
+def _expanded(pairs: DataFrame, members: DataFrame, copies: int = 1000) -> DataFrame:
+    """(a, b, similarity), a < b, of rows from pairs (u, v) of sets and the rows (d, o) of each; rows of one set have similarity 1.
+
+    Rows of a set with many are dealt over blocks of ``copies``, and their partners go to each of these.
+    """
+    sizes = members.groupBy("d").agg(F.ceil(F.count(F.lit(1)) / copies).cast("int").alias("blocks"), F.count(F.lit(1)).alias("m"))
+    rows = members.join(sizes, "d").select("d", "o", "m", "blocks", F.pmod(F.xxhash64("o"), F.col("blocks")).cast("int").alias("blk"))
+    left = rows.select("d", "blk", F.col("o").alias("a"))
+    many = rows.where("m > 1").select("d", F.col("o").alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"))
+    equal = left.join(many, ["d", "blk"]).where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
+    wide = pairs.join(sizes.select(F.col("d").alias("u"), "blocks"), "u").select("u", "v", "similarity", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"))
+    far = wide.join(left.withColumnRenamed("d", "u"), ["u", "blk"]).join(members.select(F.col("d").alias("v"), F.col("o").alias("b")), "v")
+    return equal.unionByName(far.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity"))
+
+
+def similar_pairs(df: DataFrame, order: str, tokens: str, threshold: float, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(a, b, similarity), a < b, of all rows whose token sets have a Jaccard similarity of ``threshold`` (above 0) or more.
+
+    Sets are 8-byte hashes, equal ones stand as one until the end. Prefix filter: in any one order of the tokens, similar
+    sets share one of their first n - ceil(threshold * n) + 1 tokens. A cell holds a part of the tokens of a band of
+    sizes, with a sketch of each set as wide as the band needs, which travels once for a cell and not with each token;
+    it lets through what places, sizes and sketches cannot rule out. Sets are fetched for these pairs only, once for each
+    pair of blocks that they meet in. The filters lose no pair, and nothing is cut.
+    """
+    sets = df.select(F.col(order).alias("o"), here(hashed(tokens)).alias("x")).where(F.size("x") > 0)
+    sets = cut(sets.select("o", "x", F.size("x").alias("n"), F.xxhash64("x").alias("d")))  # texts are folded once
+    sizes = sets.groupBy("n").agg(F.count(F.lit(1)).alias("rows")).toPandas()
+    bands = _Bands(sizes["n"].to_numpy().astype(np.int64), sizes["rows"].to_numpy(), threshold, cell_rows)
+    cells = sets.select("d", "x").mapInArrow(_posted(bands, *_ranked(sets, int(sizes["rows"].sum()))), _CELLS)
+    pairs = cut(cells.groupBy("band", "part", "i", "j").applyInArrow(_met(threshold), "u long, v long").distinct())
+    members = sets.select("d", "o")
+    firsts = sets.groupBy("d").agg(F.min("o").alias("rep"), F.first("n").alias("n"))
+    needed = cut(pairs.select(F.col("u").alias("d")).union(pairs.select(F.col("v").alias("d"))).distinct().join(firsts, "d"))
+    room = needed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] * 8
+    blocks = max(1, -(-room // BLOCK_BYTES), math.ceil(math.sqrt(pairs.count() / CELL_PAIRS)))
+    blk = lambda c: F.pmod(F.xxhash64(c, F.lit(5)), F.lit(blocks)).cast("int")
+    dealt = pairs.select("u", "v", F.least(blk("u"), blk("v")).alias("i"), F.greatest(blk("u"), blk("v")).alias("j"))
+    wanted = cut(dealt.select(F.col("u").alias("d"), "i", "j").union(dealt.select(F.col("v").alias("d"), "i", "j")).distinct().join(needed.select("d", "rep"), "d"))
+    few = F.broadcast(wanted) if wanted.count() <= SENT else wanted
+    fetched = sets.join(few.withColumnRenamed("d", "w"), (F.col("d") == F.col("w")) & F.col("o").eqNullSafe(F.col("rep"))).select("i", "j", "d", "x")
+    alike = cut(dealt.groupBy("i", "j").cogroup(fetched.groupBy("i", "j")).applyInArrow(_compared(threshold), "u long, v long, similarity double"))
+    return _expanded(alike, members)
+
+
 def _in_sequence(edges: DataFrame) -> DataFrame:
     """(id) of the rows that the greedy rule drops: component by component, one edge after the other.
 
@@ -343,7 +581,9 @@ def coordination_edges(df: DataFrame, similarity: float, story: float, hours: fl
     exact = same.join(groups.select("k", "a"), "k").where("ord > a").select("a", F.col("ord").alias("b"))
     if rows.where("ts IS NOT NULL").isEmpty():  # then no text is near another
         return exact
-    near = with_similarity(recent_pairs(rows, "ord", "toks", threshold=min(similarity, story)), rows, "ord", "toks", ["author", "media", "ts"]).where(F.col("similarity") >= similarity)
+    timed = rows.where("ts IS NOT NULL")
+    side = lambda k: timed.select(F.col("ord").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("author", "media", "ts")])
+    near = similar_pairs(timed, "ord", "toks", similarity).join(side("a"), "a").join(side("b"), "b")
     told = F.col("media_a") & F.col("media_b") & (F.col("similarity") >= story)
     close = F.abs(F.unix_micros("ts_a") - F.unix_micros("ts_b")) <= int(hours * 3600e6)
     near = near.where(~F.coalesce(F.col("author_a") == F.col("author_b"), F.lit(False)) & ~told & close)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -269,8 +268,10 @@ def set_join(df: DataFrame, order: str, tokens: str, group: str, threshold: floa
 
 
 #: Tokens whose order the sample of ``similar_pairs`` settles, steps of the threshold that a band of sizes spans, postings and bytes of
-#: sketches that a cell is meant to hold, parts of a band at most, pairs that a cell of the last step is meant to hold, rows that are broadcast at most.
-RANKED, STEPS, CELL_ROWS, CELL_BYTES, PARTS, CELL_PAIRS, SENT = 1 << 16, 3, 1 << 20, 32 << 20, 32, 1 << 21, 1 << 20
+#: sketches that a cell is meant to hold, parts of a band at most.
+RANKED, STEPS, CELL_ROWS, CELL_BYTES, PARTS = 1 << 16, 3, 1 << 20, 32 << 20, 32
+#: For the comparison: pairs that a block is meant to have, near copies that go to one block, rows that are broadcast at most.
+CELL_PAIRS, CROWD, SENT = 1 << 18, 512, 1 << 20
 _CELLS = "band int, part int, i int, j int, d long, n int, own boolean, blk int, bits binary, t array<int>, k array<int>"
 
 
@@ -475,6 +476,17 @@ def _expanded(pairs: DataFrame, members: DataFrame, copies: int = 1000) -> DataF
     return equal.unionByName(far.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity"))
 
 
+def _neighbours_together(pairs: DataFrame, blocks: int, crowd: int = CROWD) -> DataFrame:
+    """(u, v, i, j): pairs with the blocks of their sets, in order of the blocks. Sets with one least neighbour, themselves included,
+    go to one block, so near copies meet in it; more than ``crowd`` of them go to a block for each ``crowd``."""
+    both = pairs.select(F.col("u").alias("d"), F.col("v").alias("x")).union(pairs.select(F.col("v").alias("d"), F.col("u").alias("x")))
+    near = both.groupBy("d").agg(F.min("x").alias("x")).select("d", F.least("d", "x").alias("g"))
+    sizes = near.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / crowd).alias("m"))
+    near = cut(near.join(sizes, "g").select("d", F.pmod(F.xxhash64("g", F.pmod(F.xxhash64("d"), F.col("m"))), F.lit(blocks)).cast("int").alias("k")))
+    side = lambda c, k: near.select(F.col("d").alias(c), F.col("k").alias(k))
+    return pairs.join(side("u", "p"), "u").join(side("v", "q"), "v").select("u", "v", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"))
+
+
 def similar_pairs(df: DataFrame, order: str, tokens: str, threshold: float, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(a, b, similarity), a < b, of all rows whose token sets have a Jaccard similarity of ``threshold`` (above 0) or more.
 
@@ -482,7 +494,7 @@ def similar_pairs(df: DataFrame, order: str, tokens: str, threshold: float, cell
     sets share one of their first n - ceil(threshold * n) + 1 tokens. A cell holds a part of the tokens of a band of
     sizes, with a sketch of each set as wide as the band needs, which travels once for a cell and not with each token;
     it lets through what places, sizes and sketches cannot rule out. Sets are fetched for these pairs only, once for each
-    pair of blocks that they meet in. The filters lose no pair, and nothing is cut.
+    pair of blocks that they meet in; near copies lie in one block. The filters lose no pair, and nothing is cut.
     """
     sets = df.select(F.col(order).alias("o"), here(hashed(tokens)).alias("x")).where(F.size("x") > 0)
     sets = cut(sets.select("o", "x", F.size("x").alias("n"), F.xxhash64("x").alias("d")))  # texts are folded once
@@ -494,9 +506,8 @@ def similar_pairs(df: DataFrame, order: str, tokens: str, threshold: float, cell
     firsts = sets.groupBy("d").agg(F.min("o").alias("rep"), F.first("n").alias("n"))
     needed = cut(pairs.select(F.col("u").alias("d")).union(pairs.select(F.col("v").alias("d"))).distinct().join(firsts, "d"))
     room = needed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] * 8
-    blocks = max(1, -(-room // BLOCK_BYTES), math.ceil(math.sqrt(pairs.count() / CELL_PAIRS)))
-    blk = lambda c: F.pmod(F.xxhash64(c, F.lit(5)), F.lit(blocks)).cast("int")
-    dealt = pairs.select("u", "v", F.least(blk("u"), blk("v")).alias("i"), F.greatest(blk("u"), blk("v")).alias("j"))
+    blocks = max(1, -(-room // BLOCK_BYTES), -(-pairs.count() // CELL_PAIRS))
+    dealt = cut(_neighbours_together(pairs, blocks))
     wanted = cut(dealt.select(F.col("u").alias("d"), "i", "j").union(dealt.select(F.col("v").alias("d"), "i", "j")).distinct().join(needed.select("d", "rep"), "d"))
     few = F.broadcast(wanted) if wanted.count() <= SENT else wanted
     fetched = sets.join(few.withColumnRenamed("d", "w"), (F.col("d") == F.col("w")) & F.col("o").eqNullSafe(F.col("rep"))).select("i", "j", "d", "x")

@@ -33,7 +33,7 @@ def test_query_finds_partners_behind_any_number_of_rows_and_tokens(spark, tmp_pa
 def test_similar_pairs_are_all_pairs(spark, monkeypatch, threshold, cell_rows, small):
     """Sets of many sizes with near copies, copies and a crowd, whatever the number of parts and blocks."""
     if small:  # many blocks of sketches and of sets, tables that are not broadcast
-        for name, value in (("CELL_BYTES", 2000), ("BLOCK_BYTES", 2000), ("SENT", 10), ("RANKED", 20)):
+        for name, value in (("CELL_BYTES", 2000), ("BLOCK_BYTES", 2000), ("SENT", 10), ("RANKED", 20), ("CELL_PAIRS", 50)):
             monkeypatch.setattr(similarity, name, value)
     rnd = random.Random(3)
     words = [f"w{i}" for i in range(600)]
@@ -61,3 +61,14 @@ def test_rows_of_one_set_meet_over_blocks(spark):
     one, two = range(0, 50, 2), range(1, 20, 2)
     want = [(a, b, 1.0) for x in (one, two) for a, b in combinations(x, 2)] + [(min(a, b), max(a, b), 0.75) for a in one for b in two]
     assert sorted(got) == sorted(want)
+
+
+def test_near_copies_are_compared_in_one_block(spark):
+    """Each set of a crowd travels once, and once for each part of a crowd beyond the bound, not once for each of many blocks."""
+    crowd = [(u, v) for u, v in combinations(range(60), 2)] + [(u, v) for u, v in combinations(range(100, 103), 2)]
+    pairs = spark.createDataFrame(crowd, "u long, v long")
+    for bound, most in ((512, 1), (15, 4)):
+        rows = similarity._neighbours_together(pairs, 1000, bound).collect()
+        assert sorted((r["u"], r["v"]) for r in rows) == sorted(crowd)
+        cells = {d: {(r["i"], r["j"]) for r in rows if d in (r["u"], r["v"])} for d in range(60)}
+        assert max(map(len, cells.values())) <= most and (most == 1 or len(set().union(*cells.values())) > 1)
